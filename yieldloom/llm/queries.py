@@ -20,6 +20,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from yieldloom.llm import token_files
 

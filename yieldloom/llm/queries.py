@@ -26,6 +26,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import language
+
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from yieldloom.llm import token_files
 

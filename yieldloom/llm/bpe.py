@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers before it starts anew.
-CACHE_CHUNKS = 600_000
+#: Chunks and words in them that a worker remembers before it starts anew; they bound its memory.
+CACHE_CHUNKS = 400_000
 
 #: White space of any kind, for RE2.
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -51,45 +52,53 @@ class Encoder:
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.starts, self.lengths, self.used = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32), 0
+        self.flat, self.starts, self.lengths = array("I"), array("q"), array("i")
+
+    def _add(self, chunk: str, ids) -> None:
+        self.at[chunk] = len(self.starts)
+        self.starts.append(len(self.flat))
+        self.lengths.append(len(ids))
+        self.flat.extend(ids)
 
     def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
+        """The ids of one pre-token; those of two characters and more are remembered as chunks are."""
+        if piece in self.at:
+            k = self.at[piece]
+            return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
+        if piece.isascii() and piece.isalnum():
+            spelled = piece
+        else:
             spelled = "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(spelled)]
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)])
+        self._add(piece, ids)
         return ids
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _chunk(self, chunk: str):
         m = _SIMPLE.fullmatch(chunk)
         if m is None:
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         newline, word, marks = m.groups()
         if self.lower:
-            word = word and word.lstrip().lower()
-            newline = ""
-        return [*(self._piece(newline) if newline else ()), *(self._piece(word) if word else ()), *(self._piece(marks) if marks else ())]
+            word, newline = word and word.lstrip().lower(), ""
+        out = array("I")
+        for piece in (newline, word, marks):
+            if piece:
+                out += self._piece(piece)
+        return out
 
     def _known(self, chunks: list[str]) -> np.ndarray:
         """The entry of each chunk; unknown ones are encoded."""
         if len(self.at) > CACHE_CHUNKS:
             self._clear()
-        get, out = self.at.get, np.empty(len(chunks), np.int64)
-        for i, c in enumerate(chunks):
-            k = get(c)
-            if k is None:
+        get = self.at.get
+        out = np.array([get(c, -1) for c in chunks], np.int64)
+        for i in np.flatnonzero(out < 0).tolist():
+            c = chunks[i]
+            if c not in self.at:
                 ids = self._chunk(c)
-                k = self.at[c] = len(self.at)
-                if k == len(self.starts):
-                    self.starts, self.lengths = np.resize(self.starts, 2 * k), np.resize(self.lengths, 2 * k)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.starts[k], self.lengths[k] = self.used, len(ids)
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-            out[i] = k
+                if c not in self.at:
+                    self._add(c, ids)
+            out[i] = self.at[c]
         return out
 
     def _split(self, texts: pa.Array):
@@ -115,13 +124,15 @@ class Encoder:
         chunks = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         ends = ends - ends[0]
         entry = self._known(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
-        lengths = self.lengths[entry]
+        known, begin, size = np.frombuffer(self.flat or array("I", [0]), np.uint32), np.array(self.starts), np.array(self.lengths)
+        lengths = size[entry]
         at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         flat = np.empty(at[-1], np.uint32)
         for k in range(0, len(entry), 1 << 19):
             e, n = entry[k : k + (1 << 19)], lengths[k : k + (1 << 19)]
             base = at[k]
-            flat[base : base + n.sum()] = self.flat[np.repeat(self.starts[e] - (at[k : k + len(e)] - base), n) + np.arange(n.sum())]
+            flat[base : base + n.sum()] = known[np.repeat(begin[e] - (at[k : k + len(e)] - base), n) + np.arange(n.sum())]
+        del known  # while it lives, the array can't grow
         starts = at[ends]
         if whole:
             parts = [np.asarray(whole[i], np.uint32) if i in whole else flat[starts[i] : starts[i + 1]] for i in range(len(starts) - 1)]

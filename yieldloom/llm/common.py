@@ -50,7 +50,7 @@ def text_of(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def slices(batch, column: str, limit: int = 4 << 20):
+def slices(batch, column: str, limit: int = 6 << 20):
     """Cut an Arrow batch so that each part holds about `limit` bytes of the column, one row at least."""
     import numpy as np
     import pyarrow.compute as pc

@@ -13,6 +13,9 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Also ASCII punctuation.
+_APART = _SPACE.copy()
+_APART[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -29,14 +32,15 @@ class Words(NamedTuple):
     firsts: np.ndarray
 
 
-def words(texts: pa.Array, lower: bool = True) -> Words:
+def words(texts: pa.Array, lower: bool = True, punctuation: bool = False) -> Words:
+    """punctuation: whether ASCII punctuation parts words too."""
     blank = pa.scalar(" ", pa.large_string())
     ended = pc.binary_join_element_wise(texts.cast(pa.large_string()).fill_null(""), pa.scalar("", pa.large_string()), blank)
     if isinstance(ended, pa.ChunkedArray):
         ended = ended.combine_chunks()
     offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
     raw = np.frombuffer(ended.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    space = _SPACE[raw]
+    space = (_APART if punctuation else _SPACE)[raw]
     keep = ~space
     keep[1:] |= ~space[:-1]
     data, gap = (_LOWER[raw] if lower else raw)[keep], space[keep]

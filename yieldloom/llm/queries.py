@@ -20,12 +20,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from yieldloom.llm import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import secrets
+
+    paths, ledger = secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.digest(secrets.findings(paths, ledger))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from yieldloom.llm import language
 

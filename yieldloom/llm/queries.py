@@ -32,6 +32,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import lines
+
+    return lines.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from yieldloom.llm import secrets
 
@@ -64,4 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from yieldloom.llm import lines
+
+    return {"op4_line_dedup": lines.ORACLE_SQL}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from yieldloom.llm import ngrams
 from yieldloom.llm.common import slices, text_of
 
-SAMPLE = 2400
+SAMPLE = 1600
 EPOCHS = 300
 #: Of the two best languages' shares of belief; below it a text is ambiguous.
 MARGIN = 0.02
@@ -59,7 +59,7 @@ def codewords(n: int) -> np.ndarray:
 def _logistic(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias for each column of y (-1 or 1) by accelerated gradient descent; own: each row's weight."""
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
-    pw, pb, rate = w.copy(), b.copy(), 0.5 / max(1e-9, float((x * x).sum(axis=1).mean()))
+    pw, pb, rate = w.copy(), b.copy(), 0.5 / max(1e-9, float(np.einsum("ij,ij->i", x, x).mean()))
     for k in range(EPOCHS):
         z = x @ pw + pb
         g = (own[:, None] * y / (1 + np.exp(np.clip(y * z, -30, 30)))).astype(np.float32)
@@ -69,12 +69,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple[np.ndarray
     return w, b
 
 
-def sample(docs: DataFrame, usable: Column, size: int = SAMPLE) -> list[tuple[str, np.ndarray]]:
-    """(language, bucket shares) of about `size` rows, as many of each language where there are."""
+def sample(docs: DataFrame, usable: Column, size: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """(languages, scaled bucket shares) of about `size` rows, as many of each language where there are."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
-        return []
+        return [], np.zeros((0, ngrams.BUCKETS), np.float32)
     each = size / len(counts)
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])[F.col("lang")]
@@ -89,31 +89,29 @@ def sample(docs: DataFrame, usable: Column, size: int = SAMPLE) -> list[tuple[st
 
     # A row is at most BUCKETS numbers, however long its text.
     got = text_of(rows.filter(share < limit), "lang").mapInArrow(shares, "lang string, at array<int>, share array<float>").toArrow()
-    out = []
-    for lang, at, values in zip(got.column("lang").to_pylist(), got.column("at"), got.column("share"), strict=True):
-        row = np.zeros(ngrams.BUCKETS, np.float32)
+    x = np.zeros((got.num_rows, ngrams.BUCKETS), np.float32)
+    for row, at, values in zip(x, got.column("at"), got.column("share"), strict=True):
         row[np.asarray(at.values)] = np.asarray(values.values)
-        out.append((lang, row))
-    return out
+    x *= np.sqrt(ngrams.BUCKETS)
+    return got.column("lang").to_pylist(), x
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    langs = sorted({lang for lang, _ in rows})
+def fit(names: list[str], x: np.ndarray) -> Model:
+    langs = sorted(set(names))
     if len(langs) < 2:
         return Model(langs, np.ones((len(langs), 1)), np.zeros((ngrams.BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones((len(langs), 1)), 1.0)
     codes = codewords(len(langs))
-    x, of = np.stack([r for _, r in rows]), np.array([langs.index(lang) for lang, _ in rows])
-    scale = np.sqrt(ngrams.BUCKETS)
+    of = np.array([langs.index(n) for n in names])
     own = 1 / np.bincount(of)[of] / len(langs)
-    w, b = _logistic(x * scale, codes[of], own)
-    right = ((x * scale) @ w + b) * codes[of]
+    w, b = _logistic(x, codes[of], own)
+    right = (x @ w + b) * codes[of]
     trust = np.stack([(right[of == k] > 0).mean(axis=0) for k in range(len(langs))]) + 1e-3
     trust /= trust.sum(axis=1, keepdims=True)
-    return Model(langs, codes, np.ascontiguousarray(w * scale, np.float32), b, trust, 4.0)
+    return Model(langs, codes, np.ascontiguousarray(w * np.sqrt(ngrams.BUCKETS), np.float32), b, trust, 4.0)
 
 
 def learn(docs: DataFrame, usable: Column, size: int = SAMPLE) -> Model:
-    return fit(sample(docs, usable, size))
+    return fit(*sample(docs, usable, size))
 
 
 def decode(model: Model, margins: np.ndarray) -> np.ndarray:

@@ -32,6 +32,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import warc
+
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.digest(spark, path)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from yieldloom.llm import lines
 
@@ -45,6 +53,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(paths, ledger))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import toxicity
+
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from yieldloom.llm import language
 

@@ -195,5 +195,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def without(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents that cover no item; all their columns. Rows with a null doc_id are kept."""
-    bad = contaminated(docs, benchmark, coverage).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    # Written first, so that its size is known when the join is planned.
+    bad = materialize(contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -155,3 +155,21 @@ def identify(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held_out(5, 0))
     model = learn(docs, ~F.col("held_out"))
     return classify(docs, model, ["doc_id", "held_out"])
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that have a language: neither `und` nor ambiguous. If no language could be
+    learned, those with a letter."""
+    model = learn(docs, ~held_out(5, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text = part.column("text")
+                good = pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+                if len(model.langs) > 1:
+                    top = -np.sort(-decode(model, ngrams.weigh(text, model.weights) + model.bias), axis=1)
+                    good = good & (top[:, 0] - top[:, 1] >= MARGIN)
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -24,13 +24,13 @@ from yieldloom.llm.common import materialize
 
 #: Words of the shortest line that may be near another.
 WORDS = 5
-_KEY = ["doc", "version"]
-_PLACE = [*_KEY, "line"]
+_KEY = ["__doc", "__version"]
+_PLACE = [*_KEY, "__line"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc orders rows without an id last; version tells texts of one id apart."""
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("version", F.xxhash64("text"))
+    """__doc orders rows without an id last; __version tells texts of one id apart."""
+    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__version", F.xxhash64("text"))
 
 
 def _words(line: Column) -> Column:
@@ -38,7 +38,7 @@ def _words(line: Column) -> Column:
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    return docs.select(*_KEY, F.posexplode(F.split("text", "\n")).alias("line", "raw")).select(*_PLACE, _words(F.col("raw")).alias("words"))
+    return docs.select(*_KEY, F.posexplode(F.split("text", "\n")).alias("__line", "raw")).select(*_PLACE, _words(F.col("raw")).alias("words"))
 
 
 def _halves(n: Column) -> Column:
@@ -104,7 +104,7 @@ def _near(lines: DataFrame) -> DataFrame:
 
 
 def dropped(docs: DataFrame) -> DataFrame:
-    """doc, version and line of every line that goes. docs: keyed, with text."""
+    """__doc, __version and __line of every line that goes. docs: keyed, with text."""
     lines, first = _distinct_lines(docs)
     repeated = first.filter("count > 1").select("h1", "h2", F.struct(*_PLACE).alias("first"))
     equal = lines.join(repeated, ["h1", "h2"]).filter(F.struct(*_PLACE) > F.col("first")).select(*_PLACE)
@@ -112,23 +112,23 @@ def dropped(docs: DataFrame) -> DataFrame:
     own = lines.filter(F.col("n") >= WORDS).select("h1", "h2", F.explode("halves").alias("half"))
     shared = own.distinct().groupBy("half").agg(F.count("*").alias("k")).filter("k > 1").select("half")
     alive = own.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    alive = first.join(alive, ["h1", "h2"], "left_semi").groupBy(*_KEY).agg(F.collect_list("line").alias("wanted"))
+    alive = first.join(alive, ["h1", "h2"], "left_semi").groupBy(*_KEY).agg(F.collect_list("__line").alias("wanted"))
     texts = docs.select(*_KEY, "text").join(alive.hint("shuffle_hash"), _KEY)
-    wanted = texts.select(*_KEY, "wanted", F.posexplode(F.split("text", "\n")).alias("line", "raw")).filter(F.array_contains("wanted", F.col("line")))
+    wanted = texts.select(*_KEY, "wanted", F.posexplode(F.split("text", "\n")).alias("__line", "raw")).filter(F.array_contains("wanted", F.col("__line")))
     near = _near(materialize(wanted.select(*_PLACE, _words(F.col("raw")).alias("words")).withColumn("n", F.size("words")).dropDuplicates(_PLACE), "candidates"))
     return equal.unionByName(near).distinct()
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs, with the text that remains, n_lines (of the text as it was) and n_dropped."""
-    keyed = _keyed(docs.drop(*_KEY, "gone", "all"))
-    gone = dropped(keyed.select(*_KEY, "text")).groupBy(*_KEY).agg(F.collect_list("line").alias("gone"))
-    joined = keyed.join(gone.hint("shuffle_hash"), _KEY, "left").withColumn("all", F.split("text", "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("all", i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("all")).cast("long")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped", *_KEY, "gone", "all")]
-    return joined.select(*columns, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    keyed = _keyed(docs)
+    gone = dropped(keyed.select(*_KEY, "text")).groupBy(*_KEY).agg(F.collect_list("__line").alias("__gone"))
+    joined = keyed.join(gone.hint("shuffle_hash"), _KEY, "left").withColumn("__all", F.split("text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), "__gone")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__all", i)), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__all")).cast("long")
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    return joined.select(*columns, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 #: The same by DuckDB, with words and texts in place of hashes.

@@ -108,3 +108,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(ids, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The documents, with all their columns, that stay: of each component that with the smallest doc_id, once. Of a component
+    without any doc_id one row stays for each fingerprint and text."""
+    near = materialize(near_duplicates(docs, shingle), "near")
+    stays = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = materialize(stays.groupBy("doc_id").agg(F.count("*").alias("k")), "stays")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.col("__stay").eqNullSafe(F.col("doc_id").cast("long"))
+    once = ids.filter("k = 1").select(F.col("doc_id").alias("__stay")).hint("shuffle_hash")
+    many = ids.filter("k > 1").select(F.col("doc_id").alias("__stay"))
+    kept = docs.join(once, key, "left_semi").select(*columns)
+    if many.isEmpty():
+        return kept
+    # Of one doc_id, other texts may belong to other components.
+    texts = docs.join(many, key, "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns)
+    return kept.unionByName(texts)

@@ -72,6 +72,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     sample = bytes(head["c"]) if head else b""
     encoding = sniff_encoding(sample)
     text = sample.decode(encoding, "ignore")
+    if encoding.startswith("gb"):  # Spark reads these only when asked to, now and when the plan runs
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     options = {"sep": sniff_delimiter(text), "encoding": "utf-8" if encoding == "utf-8-sig" else encoding, "header": True, "mode": "DROPMALFORMED", "nullValue": "", "multiLine": True, "enforceSchema": False}
     return normalize(spark.read.options(**options).csv(path))
 

@@ -27,19 +27,19 @@ def active(versions: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def at_times(versions: DataFrame, times: DataFrame, column: str) -> DataFrame:
-    """For each time the newest version imported by then: one pass over both, ordered by time, not a range join."""
-    marks = versions.select(F.col("imported_at").alias("__t"), F.lit(0).alias("__k"), F.struct("imported_at", "version_id").alias("__v"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in times.schema])
-    asked = times.select(F.col(column).alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast(marks.schema["__v"].dataType).alias("__v"), *times.columns)
-    # Versions are few: the newest of each day goes along with the day's rows, so a day is the unit of work.
-    day = F.coalesce(F.col("__t").cast("date"), F.lit("0001-01-01").cast("date"))
-    both = marks.unionByName(asked).withColumn("__day", day)
-    last = marks.groupBy(F.col("__t").cast("date").alias("__from")).agg(F.max("__v").alias("__last"))
-    carried = last.withColumn("__until", F.lead("__from").over(Window.orderBy("__from")))
-    days = both.filter("__k = 1").select("__day").distinct()
-    before = days.join(carried, (F.col("__day") > F.col("__from")) & (F.col("__until").isNull() | (F.col("__day") <= F.col("__until"))), "left").select("__day", "__last")
-    w = Window.partitionBy("__day").orderBy("__t", "__k", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__here", F.max("__v").over(w)).filter("__k = 1").join(before, "__day", "left")
-    return seen.select(*times.columns, F.when(F.col("__t").isNotNull(), F.coalesce("__here", "__last").getField("version_id")).alias("version_id"))
+    """For each time the newest version imported by then, or null.
+
+    The versions that hold at some moment of a day are few, so times join them by their day: an equi-join whose small side
+    has a row for each day and change of version. Times are neither sorted nor spread by anything but their day, and not
+    even that where Spark finds the small side small enough to send to every task.
+    """
+    marks = versions.groupBy(F.col("imported_at").alias("__from")).agg(F.max("version_id").alias("version_id"))
+    held = marks.withColumn("__until", F.lead("__from").over(Window.orderBy("__from")))  # a row for each version
+    days = times.select(F.col(column).cast("date").alias("__day")).filter("__day IS NOT NULL").distinct()
+    spans = days.join(held, (F.col("__day") >= F.col("__from").cast("date")) & (F.col("__until").isNull() | (F.col("__day") <= F.col("__until").cast("date"))))
+    t = F.col(column)
+    on = (t.cast("date") == F.col("__day")) & (t >= F.col("__from")) & (F.col("__until").isNull() | (t < F.col("__until")))
+    return times.join(spans, on, "left").select(*times.columns, "version_id")
 
 
 def at_time(versions: DataFrame, moment: str) -> DataFrame:

@@ -22,11 +22,12 @@ def _kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     n, (_, others, width) = left.shape, right.shape
     decay = np.array([[DECAY ** (t - s) if t >= s else 0 for t in range(width)] for s in range(width)], np.float32)
     held = [np.ones((n[0], others, width + 1), np.float32)] + [np.zeros((n[0], others, width + 1), np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros((n[0], others), np.float32)
+    total, ones = np.zeros((n[0], others), np.float32), np.ones(width, np.float32)
     for s in range(n[1]):
         same = (left[:, s, None, None] == right).astype(np.float32) * np.float32(DECAY**2)
-        total += (same * held[-1][:, :, :-1]).sum(axis=2)
-        new = [np.float32(DECAY) * held[i][:, :, 1:] + (same * held[i - 1][:, :, :-1]) @ decay for i in range(1, ORDER)]
+        met = [(same * h[:, :, :-1]).reshape(-1, width) for h in held]
+        total += (met[-1] @ ones).reshape(total.shape)
+        new = [np.float32(DECAY) * held[i][:, :, 1:] + (met[i - 1] @ decay).reshape(same.shape) for i in range(1, ORDER)]
         for i, x in enumerate(new, 1):
             held[i][:, :, 1:] = x
     return total

@@ -30,7 +30,7 @@ from yieldloom.llm import strings
 from yieldloom.llm.common import slices, text_of
 from yieldloom.llm.language import held_out
 
-SAMPLE, SAMPLE_CHARS = 1600, 20_000
+SAMPLE, SAMPLE_CHARS = 1000, 20_000
 LANDMARKS = 40
 #: Log-likelihood ratio from which a piece can be a landmark.
 SURPRISE = 30.0
@@ -38,11 +38,13 @@ NEGATIVES, RIDGE = 8000, 2e-4
 #: Share of toxic texts that the calibrated score supposes.
 PRIOR = 0.4
 #: Units that a worker remembers before it starts anew.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 800_000
 _MARKS = re.compile(r"[\W_]+")
 _SPELLED = r"(?:^|\s)\pL(?:\s+\pL){2,}(?:\s|$)"
 _RUN = re.compile(r"(?<!\S)[^\W\d_](?:\s+[^\W\d_]){2,}(?!\S)")
 _NOTHING = -2.0
+#: Values of units by model, for all tasks of a worker.
+_known: dict[bytes, dict[str, float]] = {}
 
 
 class Model(NamedTuple):
@@ -91,8 +93,12 @@ def _surprise(k: np.ndarray, s: np.ndarray, toxic: int, clean: int) -> np.ndarra
 def _landmarks(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[str], dict[str, float]]:
     """Strings that tell toxic texts from clean ones, none much the same as another, and how telling each piece is."""
     where, spread = defaultdict(set), Counter()
+    # Counted by hash first, so that pieces of one or two texts, which are most, take no room.
+    bucket, counts = (1 << 22) - 1, np.zeros(1 << 22, np.int32)
+    for us in toxic:
+        counts[[*{hash(p) & bucket for u in us for p in _pieces(u)}]] += 1
     for i, us in enumerate(toxic):
-        for p in {p for u in us for p in _pieces(u)}:
+        for p in {p for u in us for p in _pieces(u) if counts[hash(p) & bucket] >= 3}:
             where[p].add(i)
     for us in clean:
         spread.update({p for u in us for p in _pieces(u)} & where.keys())
@@ -208,7 +214,10 @@ def rate(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select("doc_id", "held_out", F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        token = model.weights.tobytes() + repr(model.landmarks).encode()
+        if token not in _known:
+            _known.clear()
+        known = _known.setdefault(token, {})
         for batch in batches:
             for part in slices(batch, "text"):
                 text = part.column("text")

@@ -34,6 +34,8 @@ SAMPLE, SAMPLE_CHARS = 1000, 20_000
 LANDMARKS = 40
 #: Log-likelihood ratio from which a piece can be a landmark.
 SURPRISE = 30.0
+#: Times as usual in toxic texts as in clean ones, at least, must a landmark be.
+PRECISION = 8
 NEGATIVES, RIDGE = 8000, 2e-4
 #: Share of toxic texts that the calibrated score supposes.
 PRIOR = 0.4
@@ -90,6 +92,11 @@ def _surprise(k: np.ndarray, s: np.ndarray, toxic: int, clean: int) -> np.ndarra
     return np.where(k * clean > 2 * s * toxic, g, 0)
 
 
+def _alike(p: str, q: str) -> bool:
+    """Whether they share three letters in a row."""
+    return any(p[i : i + 3] in q for i in range(len(p) - 2))
+
+
 def _landmarks(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[str], dict[str, float]]:
     """Strings that tell toxic texts from clean ones, none much the same as another, and how telling each piece is."""
     where, spread = defaultdict(set), Counter()
@@ -109,7 +116,8 @@ def _landmarks(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[str
     for p in sorted(telling, key=lambda p: (-telling[p], -len(p), p)):
         if telling[p] < SURPRISE or len(chosen) == LANDMARKS:
             break
-        if all(len(where[p] & where[c]) < 0.7 * len(where[p]) for c in chosen):
+        rare = PRECISION * spread[p] * len(toxic) <= len(where[p]) * len(clean)
+        if rare and all(len(where[p] & where[c]) < 0.8 * len(where[p] | where[c]) or not _alike(p, c) for c in chosen):
             chosen.append(p)
     return chosen, telling
 

@@ -15,22 +15,40 @@ ODD = ["", " ", "\n\n\nfoo", "a  b", "a   b ", "foo\n\n", "x \n y", "don't  we'l
 
 
 def expected(name, texts):
-    enc = bpe.encoder(vocabulary(name)).tokenizer
-    return [e.ids for e in enc.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    with bpe.encoder(vocabulary(name)) as enc:
+        return [e.ids for e in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def encoded(name, texts):
+    with bpe.encoder(vocabulary(name)) as enc:
+        flat, starts = enc.encode(texts)
+    return [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_ids_equal_the_librarys(name):
-    flat, starts = bpe.encoder(vocabulary(name)).encode(pa.array([*ODD, None]))
-    assert [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == expected(name, [*ODD, None])
+    assert encoded(name, pa.array([*ODD, None])) == expected(name, [*ODD, None])
 
 
 @pytest.mark.parametrize("name", NAMES)
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab é\n\t.'’A1ß<|>́ "), max_size=25), max_size=4))
 def test_ids_of_any_text(name, texts):
-    flat, starts = bpe.encoder(vocabulary(name)).encode(pa.array(texts, pa.string()))
-    assert [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == expected(name, texts)
+    assert encoded(name, pa.array(texts, pa.string())) == expected(name, texts)
+
+
+def test_idle_workers_forget(monkeypatch):
+    import time
+
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.05)
+    assert encoded(NAMES[0], pa.array(["some text"])) and bpe._encoders
+    time.sleep(0.5)
+    assert not bpe._encoders
+    with bpe.encoder(vocabulary(NAMES[0])):
+        with bpe.encoder(vocabulary(NAMES[0])):
+            pass
+        time.sleep(0.3)
+        assert bpe._encoders
 
 
 @settings(max_examples=100, deadline=None)

@@ -6,9 +6,14 @@ Arrow finds the distinct chunks of a batch; only chunks not met before go to the
 
 from __future__ import annotations
 
+import gc
 import re
+import threading
+import time
 import zlib
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,9 @@ CACHE_CHUNKS = 400_000
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 _SIMPLE = re.compile(rf"(\n?)( ?{_WORD})?([.,;:!?]*)")
+IDLE_SECONDS = 4
 _encoders: dict[str, "Encoder"] = {}
+_lock, _users, _last = threading.Lock(), 0, [0.0]
 
 
 def _byte_letters() -> list[str]:
@@ -146,11 +153,33 @@ class Encoder:
         return np.insert(flat, starts[1:], np.uint32(end)), starts + np.arange(len(starts))
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for a vocabulary; its tasks share what it remembers. A worker that has had no such task for
+    IDLE_SECONDS forgets all, as idle workers stay alive beside those of later stages."""
+    global _users
+    with _lock:
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        found, _users = _encoders[path], _users + 1
+    try:
+        yield found
+    finally:
+        with _lock:
+            _users -= 1
+            timer = threading.Timer(IDLE_SECONDS, _forget, [time.monotonic()])
+            timer.daemon = True
+            _last[0] = time.monotonic()
+            timer.start()
+
+
+def _forget(since: float) -> None:
+    with _lock:
+        if _users or _last[0] > since + 1:
+            return
+        _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def crc(ids: np.ndarray) -> int:

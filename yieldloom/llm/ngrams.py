@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 
 #: Buckets of hashed n-grams of one to three bytes.
 BUCKETS = 1 << 14
+#: Bytes looked at together.
+STEP = 1 << 18
 #: ASCII letters in lower case; other ASCII as a blank; bytes of other letters as they are.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -15,51 +17,59 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, ends): three buckets for each byte of a text that isn't blank, text after text, and where each text's end."""
+def _folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(folded bytes of all texts, two blanks after each; where each text ends)."""
     blank = pa.scalar("  ", pa.large_string())
     ended = pc.binary_join_element_wise(texts.cast(pa.large_string()).fill_null(""), pa.scalar("", pa.large_string()), blank)
     offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
-    raw = _FOLD[np.frombuffer(ended.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]].astype(np.uint32)
-    at = np.flatnonzero(raw[:-2] != 32) if len(raw) > 2 else np.empty(0, np.int64)
-    one, two = raw[at], raw[at + 1]
+    return _FOLD[np.frombuffer(ended.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]], offsets[1:] - offsets[0]
+
+
+def _grams(raw: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, three buckets each) of the bytes from start to end that aren't blank."""
+    part = raw[start : end + 2].astype(np.uint32)
+    at = np.flatnonzero(part[: end - start] != 32)
+    at = at[at + 2 < len(part)]
+    one, two = part[at], part[at + 1]
+    before = raw[np.maximum(at + start - 1, 0)].astype(np.uint32)
     pair = one * np.uint32(257) + two + np.uint32(1000)
-    before = raw[np.maximum(at - 1, 0)]
-    three = pair * np.uint32(2654435761) + raw[at + 2] * np.uint32(40503)
+    three = pair * np.uint32(2654435761) + part[at + 2] * np.uint32(40503)
     lead = np.where(before == 32, pair * np.uint32(2246822519) + np.uint32(77), pair * np.uint32(3266489917) + before)
     out = np.empty((len(at), 3), np.uint32)
     out[:, 0] = pair * np.uint32(2654435761) >> np.uint32(18)
     out[:, 1] = (three ^ (three >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(18)
     out[:, 2] = (lead ^ (lead >> np.uint32(13))) * np.uint32(2654435761) >> np.uint32(18)
-    ends = np.searchsorted(at, offsets[1:] - offsets[0])
-    return out, ends
+    return at + start, out
 
 
 def frequencies(texts: pa.Array) -> np.ndarray:
     """Bucket shares of each text, one row each."""
-    buckets, ends = grams(texts)
+    raw, ends = _folded(texts)
     out, start = np.zeros((len(ends), BUCKETS), np.float32), 0
     for i, end in enumerate(ends):
-        if end > start:
-            out[i] = np.bincount(buckets[start:end].ravel(), minlength=BUCKETS) / (3 * (end - start))
+        counts, n = np.zeros(BUCKETS), 0
+        for k in range(start, end, STEP):
+            _, buckets = _grams(raw, k, min(end, k + STEP))
+            counts += np.bincount(buckets.ravel(), minlength=BUCKETS)
+            n += buckets.size
+        out[i] = counts / max(n, 1)
         start = end
     return out
 
 
 def weigh(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """frequencies(texts) @ weights without the wide rows; weights has a row for each bucket."""
-    buckets, ends = grams(texts)
-    counts = np.diff(ends, prepend=0)
-    out = np.zeros((len(ends), weights.shape[1]), np.float64)
-    step = 1 << 17
-    for k in range(0, len(buckets), step):
-        part = buckets[k : k + step]
-        sums = weights[part[:, 0]]
-        sums += weights[part[:, 1]]
-        sums += weights[part[:, 2]]
-        first, last = np.searchsorted(ends, k, side="right"), np.searchsorted(ends, k + len(part) - 1, side="right")
-        rows = np.arange(first, last + 1)
-        rows = rows[counts[rows] > 0]
-        cuts = np.maximum((ends[rows] - counts[rows]) - k, 0)
-        out[rows] += np.add.reduceat(sums, cuts, axis=0)
-    return out / np.maximum(3 * counts, 1)[:, None]
+    """frequencies(texts) @ weights without the wide rows; weights has a row for each bucket. Works by STEP bytes at a time."""
+    raw, ends = _folded(texts)
+    out, n = np.zeros((len(ends), weights.shape[1]), np.float64), np.zeros(len(ends), np.int64)
+    for k in range(0, len(raw), STEP):
+        at, buckets = _grams(raw, k, min(len(raw), k + STEP))
+        if not len(at):
+            continue
+        sums = weights[buckets[:, 0]]
+        sums += weights[buckets[:, 1]]
+        sums += weights[buckets[:, 2]]
+        of = np.searchsorted(ends, at, side="right")
+        cuts = np.flatnonzero(np.diff(of, prepend=-1))
+        out[of[cuts]] += np.add.reduceat(sums, cuts, axis=0)
+        n[of[cuts]] += np.diff(np.append(cuts, len(of)))
+    return out / np.maximum(3 * n, 1)[:, None]

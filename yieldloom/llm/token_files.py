@@ -24,20 +24,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode every text, add end_id, and write the ids by doc_id. Each file holds a range of doc_ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(tokenizer)
-        names, counts, parts, held = [], [], [], 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                flat, starts = enc.encode_ended(part.column("text"), end_id)
-                names += part.column("doc_id").to_pylist()
-                counts.append(np.diff(starts))
-                parts.append(flat)
-                held += len(flat)
-                if held >= SEGMENT_IDS:
-                    yield pa.record_batch([pa.array([pfor.encode(names, np.concatenate(counts), np.concatenate(parts))], pa.binary())], ["segment"])
-                    names, counts, parts, held = [], [], [], 0
-        if names:
-            yield pa.record_batch([pa.array([pfor.encode(names, np.concatenate(counts), np.concatenate(parts))], pa.binary())], ["segment"])
+        with bpe.encoder(tokenizer) as enc:
+            names, counts, parts, held = [], [], [], 0
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    flat, starts = enc.encode_ended(part.column("text"), end_id)
+                    names += part.column("doc_id").to_pylist()
+                    counts.append(np.diff(starts))
+                    parts.append(flat)
+                    held += len(flat)
+                    if held >= SEGMENT_IDS:
+                        yield pa.record_batch([pa.array([pfor.encode(names, np.concatenate(counts), np.concatenate(parts))], pa.binary())], ["segment"])
+                        names, counts, parts, held = [], [], [], 0
+            if names:
+                yield pa.record_batch([pa.array([pfor.encode(names, np.concatenate(counts), np.concatenate(parts))], pa.binary())], ["segment"])
 
     spark = docs.sparkSession
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")

@@ -29,7 +29,7 @@ from yieldloom.llm.common import materialize, shuffle_partitions
 
 #: Bytes of payload that one file holds, about; the reader holds one file at a time.
 FILE_BYTES = 16 << 20
-#: The capture time of page 0; page n was captured n seconds later, unless the table has times of its own.
+#: The capture time of page 0; page n was captured n seconds (modulo 10**9) later, unless the table has times of its own.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
@@ -45,7 +45,7 @@ def _sha1(payload: Column) -> Column:
 
 
 def _pages(pages: DataFrame, time: str | None) -> DataFrame:
-    moment = F.col(time) if time else F.lit(EPOCH.replace(tzinfo=None)).cast("timestamp_ntz") + F.make_dt_interval(secs=F.coalesce("page_id", F.lit(0)).cast("decimal(18,6)"))
+    moment = F.col(time) if time else F.lit(EPOCH.replace(tzinfo=None)).cast("timestamp_ntz") + F.make_dt_interval(secs=F.pmod(F.coalesce("page_id", F.lit(0)).cast("long"), F.lit(10**9)).cast("decimal(18,6)"))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
         F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),

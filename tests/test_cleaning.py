@@ -119,3 +119,14 @@ def test_specifications(spark, tmp_path):
 def test_defect_rows_are_cleaned(spark):
     df = spark.createDataFrame([("F1", "3", "10", "30.0"), (None, "1", "1", "1"), ("", "1", "1", "1"), ("F2", "x", "5", "bad"), ("F3", None, "5", "0.5")], "fai_name string, ng_count string, total string, ng_rate_pct string")
     assert sorted(map(tuple, clean_defect_rows(df).collect())) == [("F1", 3, 10, 30.0), ("F3", 0, 5, 0.5)]
+
+
+def test_workbooks(spark):
+    from yieldloom.sources import workbook
+
+    cells = [["SN", None, "检测时间", "CFG", "FAI1"], ["a<&>", "skip", 45595.2904, "L", "#REF!"], [None, None, "2026-01-02", None, 2], ["b"], [True, 1.5]]
+    data = workbook.write([("Spec", [["FAI", "USL"]]), ("Data", cells)])
+    assert [r + [None] * (5 - len(r)) for r in workbook.rows(data, "Data")] == [r + [None] * (5 - len(r)) for r in cells]
+    got = [tuple(r) for r in tables.import_workbook(spark, data).collect()]
+    assert got[:3] == [("a<&>", datetime(2024, 10, 30, 6, 58, 10), "L", None), (None, datetime(2026, 1, 2), None, 2.0), ("b", None, None, None)]
+    assert workbook._column(701) == "ZZ" and workbook._place("AA10") == 26

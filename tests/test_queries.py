@@ -11,6 +11,7 @@ from yieldloom.operators.filters import Filters
 from yieldloom.operators.latest import latest_rows
 from yieldloom.plans import defects, rectification, registry, report, yields
 from yieldloom.plans.facade import DashboardQueries
+from yieldloom.sources import workbook
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,8 +90,15 @@ def test_pure_collapse():
     assert latest_rows(data) == [("a", 3, "w"), ("b", 1, "y")] and latest_rows(data, first=True) == [("a", 2, "x"), ("b", 0, "v")] and latest_rows([]) == []
 
 
-def test_exports(spark):
+def test_exports(spark, tmp_path):
     j = rows(spark)
     assert report.csv_bytes(report.trend_rows(j, ["n"])).startswith("﻿line,mode,production_day,total,ok_count,ng_count,yield_pct".encode())
-    pytest.importorskip("openpyxl")
-    assert report.report_bytes(j, ["n"], True).startswith(b"PK")
+    data = report.report_bytes(j, ["n"], True, top=1)
+    assert [*workbook.titles(data)] == list(report.SHEETS)
+    sheet = [*workbook.rows(data, report.SHEETS[0])]
+    assert sheet[0] == list(report.YIELD_HEADINGS) and sheet[1] == ["2026-07-24", 1, 1, 0, 100.0, 0, 1, 100.0] and len(sheet) == 5
+    assert [r[1] for r in workbook.rows(data, report.SHEETS[1])][1:] == [1, 1]
+    assert len([*workbook.rows(report.report_bytes(j, ["n"], False), report.SHEETS[0])][0]) == 5
+    pre, post = report.export_both(j, ["n"], str(tmp_path))
+    assert {pre, post} == {str(p) for p in tmp_path.iterdir()}
+    assert len([*workbook.rows(report.rows_bytes(yields.regression_rows(j, ["n"])), "RegressionRawdata")]) == 6

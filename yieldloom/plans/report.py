@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from datetime import datetime
 from pathlib import Path
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.operators.filters import Filters
 from yieldloom.plans import defects, rectification, yields
+from yieldloom.sources import workbook
 
 # Sheets and headings.
 SHEETS = ("每日良率", "每日TOP不良")
@@ -28,23 +28,16 @@ def daily_tables(judged: DataFrame, tie: list, regression: bool, top: int = 10,
 
 
 def report_bytes(judged: DataFrame, tie: list, regression: bool, top: int = 10, filters: Filters = yields.ALL) -> bytes:
-    """The workbook; a few rows for each day. Needs openpyxl."""
-    from openpyxl import Workbook
-
+    """The workbook; a few rows for each day."""
     days, worst = daily_tables(judged, tie, regression, top, filters)
-    book = Workbook()
-    sheet = book.active
-    sheet.title = SHEETS[0]
-    sheet.append(YIELD_HEADINGS[: len(days.columns)])
-    for row in days.collect():
-        sheet.append([str(row[0]), *row[1:]])
-    sheet = book.create_sheet(SHEETS[1])
-    sheet.append(DEFECT_HEADINGS)
-    for r in worst.collect():
-        sheet.append([str(r["production_day"]), r["rank"], r["fai_name"], r["ng_count"], r["total"], r["ng_rate_pct"]])
-    out = io.BytesIO()
-    book.save(out)
-    return out.getvalue()
+    first = [[*YIELD_HEADINGS[: len(days.columns)]], *[[str(r[0]), *r[1:]] for r in days.collect()]]
+    second = [[*DEFECT_HEADINGS], *[[str(r["production_day"]), r["rank"], r["fai_name"], r["ng_count"], r["total"], r["ng_rate_pct"]] for r in worst.collect()]]
+    return workbook.write([(SHEETS[0], first), (SHEETS[1], second)])
+
+
+def rows_bytes(df: DataFrame, sheet: str = "RegressionRawdata") -> bytes:
+    """A result that fits a sheet, as a workbook."""
+    return workbook.write([(sheet, [df.columns, *[[*r] for r in df.collect()]])])
 
 
 def export_both(judged: DataFrame, tie: list, folder: str, top: int = 10) -> tuple[str, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldloom.operators.cleaning import canonical_headers, normalize, raw_schema
+from yieldloom.sources import workbook
 
 # Fixed values.
 ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "gb2312", "latin-1")
@@ -102,13 +103,15 @@ def pick_sheet(names: list[str]) -> str:
     raise ValueError(f"cannot tell the data sheet among {names}")
 
 
-def read_sheet(path: str, sheet: str | None = None) -> tuple[list, list[list]]:
-    """(header, rows) of a workbook on the driver, where openpyxl is installed."""
-    from openpyxl import load_workbook
+def read_sheet(data: bytes, sheet: str | None = None) -> tuple[list, list[list]]:
+    """(header, rows) of a workbook's sheet."""
+    cells = [*workbook.rows(data, sheet or pick_sheet([*workbook.titles(data)]))]
+    return (cells[0], cells[1:]) if cells else ([], [])
 
-    book = load_workbook(path, read_only=True, data_only=True)
-    rows = book[sheet or pick_sheet(book.sheetnames)].iter_rows(values_only=True)
-    return [*next(rows, [])], [[*r] for r in rows]
+
+def import_workbook(spark: SparkSession, data: bytes, sheet: str | None = None) -> DataFrame:
+    """A workbook's data sheet as raw rows."""
+    return rows_to_raw(spark, *read_sheet(data, sheet))
 
 
 def spec_rows(header: list, rows: list[list]) -> list[tuple]:

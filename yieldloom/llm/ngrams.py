@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 #: Buckets of hashed n-grams of one to three bytes.
 BUCKETS = 1 << 14
 #: Bytes looked at together.
-STEP = 1 << 18
+STEP = 1 << 16
 #: ASCII letters in lower case; other ASCII as a blank; bytes of other letters as they are.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32

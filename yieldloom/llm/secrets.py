@@ -112,7 +112,9 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) ->
     """doc_id, blob and findings (kind, start, end; by start, then in the order of the rules) of every path."""
     order = F.array(*[F.lit(r.name) for r in rules])
     own = F.transform(F.filter(F.flatten(F.collect_list("findings")), lambda f: F.array_contains(order, f["rule"])), lambda f: F.struct(f["start"].alias("start"), F.array_position(order, f["rule"]).alias("place"), f["kind"].alias("kind"), f["end"].alias("end")))
-    by_blob = ledger.groupBy("blob").agg(F.array_sort(own).alias("findings"))  # a row for each run that met the blob
+    some = ledger.filter(F.size("findings") > 0)  # a row for each run that found something in the blob
+    # Written first: the join then has plain exchanges on both sides, of which Spark splits those of much-copied blobs.
+    by_blob = materialize(some.groupBy("blob").agg(F.array_sort(own).alias("findings")), "by-blob")
     return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast("array<struct<start:int,place:bigint,kind:string,end:int>>")).alias("findings"))
 
 

@@ -50,33 +50,31 @@ def _halves(n: Column) -> Column:
 
 
 def _distinct_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(every line with words, by hashes; the first place, count and halves of each distinct line)."""
+    """(every line with words, by its hashes; the first place, count and halves of each distinct line)."""
     n = F.size("words")
-    lines = _exploded(docs).filter(n > 0).select(*_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), n.alias("n"), _halves(n).alias("halves"))
+    lines = _exploded(docs).filter(n > 0).select(*_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), _halves(n).alias("halves"))
     lines = materialize(lines, "lines")
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("count"), F.first("n").alias("n"))
-    return lines, materialize(first.select("h1", "h2", "first.*", "count", "n"), "first")
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("count"), F.first("halves").alias("halves"))
+    return lines.drop("halves"), materialize(first.select("h1", "h2", "first.*", "count", "halves"), "first")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """v1, v2, at: the hash of a line's words without the one at that place. Words hash with their places, so a running xor of
-    those before and of those after (each one place earlier) is the variant's hash."""
-    words = lines.select(*_PLACE, "n", F.posexplode("words").alias("at", "word"))
+    """v, at, n: the hash of a line of n words without the one at that place. Words hash with their places, so a running xor of
+    those before and of those after (each one place earlier) is the variant's hash. As n and at are part of the key, lines of
+    other lengths or places don't collide; what does is found out when words are compared."""
+    words = lines.select(*_PLACE, F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    hashed = words.select(*_PLACE, "n", "at", F.xxhash64("at", "word").alias("here"), F.xxhash64(F.col("at") - 1, "word").alias("moved"))
     own = Window.partitionBy(*_PLACE).orderBy("at")
     so_far, whole = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = []
-    for name, seed in (("v1", 11), ("v2", 13)):
-        here, moved = F.xxhash64(F.lit(seed), "at", "word"), F.xxhash64(F.lit(seed), F.col("at") - 1, "word")
-        before = F.bit_xor(here).over(so_far).bitwiseXOR(here)
-        after = F.bit_xor(moved).over(whole).bitwiseXOR(F.bit_xor(moved).over(so_far))
-        out.append(before.bitwiseXOR(after).alias(name))
-    return words.select(*_PLACE, "at", *out)
+    before = F.bit_xor("here").over(so_far).bitwiseXOR(F.col("here"))
+    after = F.bit_xor("moved").over(whole).bitwiseXOR(F.bit_xor("moved").over(so_far))
+    return hashed.select(before.bitwiseXOR(after).alias("v"), "at", "n", *_PLACE)
 
 
 def _whole(lines: DataFrame) -> DataFrame:
-    """v1, v2 of the words as they are."""
-    words = lines.select(*_PLACE, F.posexplode("words").alias("at", "word"))
-    return words.groupBy(*_PLACE).agg(*[F.bit_xor(F.xxhash64(F.lit(seed), "at", "word")).alias(name) for name, seed in (("v1", 11), ("v2", 13))])
+    """v and n of the words as they are."""
+    words = lines.select(*_PLACE, F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    return words.groupBy(*_PLACE, "n").agg(F.bit_xor(F.xxhash64("at", "word")).alias("v"))
 
 
 def _without(words: Column, at: Column) -> Column:
@@ -86,11 +84,11 @@ def _without(words: Column, at: Column) -> Column:
 def _near(lines: DataFrame) -> DataFrame:
     """The place of each line that has an earlier near one. lines: distinct, with their words."""
     place = F.struct(*_PLACE).alias("place")
-    variants = materialize(_variants(lines).select("v1", "v2", "at", place), "variants")
-    whole = materialize(_whole(lines).select("v1", "v2", place), "whole")
-    least = variants.groupBy("v1", "v2", "at").agg(F.min("place").alias("other"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    same_place = variants.join(least, ["v1", "v2", "at"]).filter(F.col("other") < F.col("place"))
-    met = variants.join(whole.select("v1", "v2", F.col("place").alias("short")), ["v1", "v2"])
+    variants = materialize(_variants(lines), "variants")
+    whole = materialize(_whole(lines), "whole")
+    least = variants.groupBy("v", "at", "n").agg(F.min(place).alias("other"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    same_place = variants.join(least, ["v", "at", "n"]).select("at", "other", place).filter(F.col("other") < F.col("place"))
+    met = variants.join(whole.select("v", (F.col("n") + 1).alias("n"), F.struct(*_PLACE).alias("short")), ["v", "n"]).select("at", "short", place)
     longer_goes = met.filter(F.col("short") < F.col("place")).select("place", F.col("short").alias("other"), "at", F.lit("long").alias("kind"))
     shorter_goes = met.filter(F.col("short") > F.col("place")).groupBy("short").agg(F.min(F.struct("place", "at")).alias("m")).select(F.col("short").alias("place"), F.col("m.place").alias("other"), "m.at", F.lit("short").alias("kind"))
     found = same_place.select("place", "other", "at", F.lit("same").alias("kind")).unionByName(longer_goes).unionByName(shorter_goes)
@@ -109,13 +107,14 @@ def dropped(docs: DataFrame) -> DataFrame:
     repeated = first.filter("count > 1").select("h1", "h2", F.struct(*_PLACE).alias("first"))
     equal = lines.join(repeated, ["h1", "h2"]).filter(F.struct(*_PLACE) > F.col("first")).select(*_PLACE)
 
-    own = lines.filter(F.col("n") >= WORDS).select("h1", "h2", F.explode("halves").alias("half"))
-    shared = own.distinct().groupBy("half").agg(F.count("*").alias("k")).filter("k > 1").select("half")
-    alive = own.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    alive = first.join(alive, ["h1", "h2"], "left_semi").groupBy(*_KEY).agg(F.collect_list("__line").alias("wanted"))
+    # A half of two lines at least; a chance collision of hashes only lets a line through to the next step.
+    own = first.select("h1", F.explode("halves").alias("half"))
+    shared = own.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("half")
+    alive = own.join(shared, "half", "left_semi").groupBy("h1").agg(F.count("*"))
+    alive = first.select("h1", *_PLACE).join(alive, "h1", "left_semi").groupBy(*_KEY).agg(F.collect_list("__line").alias("wanted"))
     texts = docs.select(*_KEY, "text").join(alive.hint("shuffle_hash"), _KEY)
     wanted = texts.select(*_KEY, "wanted", F.posexplode(F.split("text", "\n")).alias("__line", "raw")).filter(F.array_contains("wanted", F.col("__line")))
-    near = _near(materialize(wanted.select(*_PLACE, _words(F.col("raw")).alias("words")).withColumn("n", F.size("words")).dropDuplicates(_PLACE), "candidates"))
+    near = _near(materialize(wanted.select(*_PLACE, _words(F.col("raw")).alias("words")).dropDuplicates(_PLACE), "candidates"))
     return equal.unionByName(near).distinct()
 
 

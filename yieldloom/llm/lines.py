@@ -7,8 +7,8 @@ the order is doc_id, then place in the text.
 Each line emits all its variants that lack one word, as a hash and the place of the word. Two lines that share a variant at
 one place differ by a substitution there, so only the earliest of each such group is joined to the others; a line that
 equals another's variant differs by a deletion. So no pairs within a group are made. Partners are then compared word by word.
-Beforehand, lines are left out that cannot have a partner: of two near lines, the first or the last half of the words of
-the shorter one is equal, so a line whose halves no other line has is unique.
+Beforehand, lines are left out that cannot have a partner: one word lies within the first or within the last half of a line,
+so two near lines begin or end with the same words, and a line whose ends no other line has is unique.
 
 Defined results: blank lines stay and match nothing; a null text stays null, an empty one empty; a text all of whose lines
 go becomes empty; null doc_ids come last; rows with equal doc_id and text count as one and keep the same lines, others of
@@ -29,8 +29,11 @@ _PLACE = [*_KEY, "__line"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """__doc orders rows without an id last; __version tells texts of one id apart."""
-    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__version", F.xxhash64("text"))
+    """__doc orders rows without an id last; __version tells texts of one id apart, and is nothing where no id repeats."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__doc"))
+    again = ids.groupBy("__doc").agg(F.count("*").alias("k")).agg(F.max("k").alias("k")).first()["k"] or 0
+    version = F.xxhash64("text") if again > 1 else F.lit(0).cast("long")
+    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__version", version)
 
 
 def _words(line: Column) -> Column:
@@ -41,21 +44,29 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return docs.select(*_KEY, F.posexplode(F.split("text", "\n")).alias("__line", "raw")).select(*_PLACE, _words(F.col("raw")).alias("words"))
 
 
-def _halves(n: Column) -> Column:
-    """Hashes of the first and last words, at half the count of this line and of one that is shorter by a word."""
+def _stretch(n: Column) -> Column:
+    """At most half the words of a line and of one longer by a word, rounded down to 2, 3, 4, 6, 8, 12 and so on: so most
+    lengths share their stretch with their neighbours, and a line has few."""
+    half = F.floor((n - 1) / 2)
+    power = F.pow(F.lit(2.0), F.floor(F.log2(half)))
+    return F.greatest(F.when(half >= 1.5 * power, 1.5 * power).otherwise(power).cast("int"), F.lit(2))
+
+
+def _ends(n: Column) -> Column:
+    """Hashes of the first and last words, by the stretch of this line and of one shorter by a word."""
     words, parts = F.col("words"), []
-    for half in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        parts += [F.xxhash64(F.lit(0), half, F.slice(words, F.lit(1), half)), F.xxhash64(F.lit(1), half, F.slice(words, n - half + 1, half))]
+    for size in (_stretch(n), _stretch(n - 1)):
+        parts += [F.xxhash64(F.lit(0), size, F.slice(words, F.lit(1), size)), F.xxhash64(F.lit(1), size, F.slice(words, n - size + 1, size))]
     return F.when(n >= WORDS, F.array_distinct(F.array(*parts)))
 
 
 def _distinct_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(every line with words, by its hashes; the first place, count and halves of each distinct line)."""
+    """(every line with words: its hashes and ends; the first place and count of each distinct line)."""
     n = F.size("words")
-    lines = _exploded(docs).filter(n > 0).select(*_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), _halves(n).alias("halves"))
+    lines = _exploded(docs).filter(n > 0).select(*_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), _ends(n).alias("ends"))
     lines = materialize(lines, "lines")
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("count"), F.first("halves").alias("halves"))
-    return lines.drop("halves"), materialize(first.select("h1", "h2", "first.*", "count", "halves"), "first")
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("count"))
+    return lines, materialize(first.select("h1", "h2", "first.*", "count"), "first")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -107,10 +118,10 @@ def dropped(docs: DataFrame) -> DataFrame:
     repeated = first.filter("count > 1").select("h1", "h2", F.struct(*_PLACE).alias("first"))
     equal = lines.join(repeated, ["h1", "h2"]).filter(F.struct(*_PLACE) > F.col("first")).select(*_PLACE)
 
-    # A half of two lines at least; a chance collision of hashes only lets a line through to the next step.
-    own = first.select("h1", F.explode("halves").alias("half"))
-    shared = own.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("half")
-    alive = own.join(shared, "half", "left_semi").groupBy("h1").agg(F.count("*"))
+    # An end of two different lines at least; a chance collision of hashes only lets a line through to the next step.
+    own = lines.select("h1", F.explode("ends").alias("end"))
+    shared = own.groupBy("end").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("end")
+    alive = own.join(shared, "end", "left_semi").groupBy("h1").agg(F.count("*"))
     alive = first.select("h1", *_PLACE).join(alive, "h1", "left_semi").groupBy(*_KEY).agg(F.collect_list("__line").alias("wanted"))
     texts = docs.select(*_KEY, "text").join(alive.hint("shuffle_hash"), _KEY)
     wanted = texts.select(*_KEY, "wanted", F.posexplode(F.split("text", "\n")).alias("__line", "raw")).filter(F.array_contains("wanted", F.col("__line")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.llm.common import materialize, shuffle_partitions
 
-#: Bytes of payload that one file holds, about; the reader holds one file at a time.
+#: Bytes of payload that one file holds at most, at the mean size of a payload; the reader holds one file at a time.
 FILE_BYTES = 16 << 20
 #: The capture time of page 0; page n was captured n seconds (modulo 10**9) later, unless the table has times of its own.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -80,12 +80,13 @@ def write(pages: DataFrame, path: str, least: int = 0, time: str | None = None)
     first = seen.filter(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "date", "url")).alias("first"), F.count("*").alias("k"))
     later = first.filter("k > 1 AND first.page_id IS NOT NULL").select(F.col("digest").alias("same"), "first")
     later = seen.filter(F.col("n") >= least).join(later, F.col("digest") == F.col("same")).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select(F.col("page_id").alias("again"), F.col("digest").alias("same"), "first").distinct()
-    total = seen.agg(F.sum("n")).first()[0] or 0
+    sums = seen.agg(F.sum("n").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    each = max(1, FILE_BYTES * sums["rows"] // max(1, sums["bytes"] or 0))
     joined = rows.join(later, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same")), "left")
     records = joined.select(_record(F.col("first.page_id"), F.col("first.url"), F.col("first.date")).alias("record"))
     # The text writer puts a value's bytes as they are, on any file system that Spark knows, and commits whole tasks.
-    out = records.repartition(max(1, -(-total // FILE_BYTES))).select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", _END).option("compression", "gzip").text(path)
+    out = records.select(F.col("record").cast("string").alias("value"))
+    out.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:

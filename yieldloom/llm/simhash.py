@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.llm import graph, words
+from yieldloom.llm import graph, jaccard, words
 from yieldloom.llm.common import materialize, slices, text_of
 
 #: Fingerprints at a grid point beyond which it is refined.
@@ -111,9 +111,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents, with all their columns, that stay: of each component that with the smallest doc_id, once. Of a component
-    without any doc_id one row stays for each fingerprint and text."""
-    near = materialize(near_duplicates(docs, shingle), "near")
+    """The documents, with all their columns, that stay: of each group that links at a Jaccard similarity of at least 0.8 connect
+    (see jaccard) that with the smallest doc_id, once. Of a group without any doc_id one row stays for each text."""
+    near = materialize(jaccard.groups(docs, shingle), "near")
+    near = near.join(near.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
     stays = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = materialize(stays.groupBy("doc_id").agg(F.count("*").alias("k")), "stays")
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -88,3 +88,12 @@ def test_empty_tables(spark):
     docs, items = cases()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 == decontaminate.contaminated(d, b.limit(0)).count()
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_an_item_that_repeats_a_short_passage(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "SEEDS", limit)
+    item = " ".join(["one two three four five six seven eight nine ten"] * 20)
+    d = spark.createDataFrame([(1, "before it " + item), (2, "nothing of all this is in here")], "doc_id long, text string")
+    got = decontaminate.contaminated(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["coverage"], r["tokens"]) for r in got] == [(1, 5, 1.0, 200)]

@@ -154,17 +154,17 @@ def _by_seed(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFram
                     h, firsts, s = tokens(part.column("text"))
                     good = _usable(firsts, len(h))
                     for i in range(part.num_rows):
-                        own = np.unique(s[firsts[i] : firsts[i + 1]][good[firsts[i] : firsts[i + 1]]])
+                        own, times = np.unique(s[firsts[i] : firsts[i + 1]][good[firsts[i] : firsts[i + 1]]], return_counts=True)
                         for k in range(0, len(own), 1 << 16):
                             cut = own[k : k + (1 << 16)].view(np.int64)
-                            cols = [pa.array([part.column(name)[i].as_py()] * len(cut), pa.int64()), pa.array(cut), pa.array(np.full(len(cut), firsts[i + 1] - firsts[i]))]
-                            yield pa.RecordBatch.from_arrays(cols[: 2 + with_size], [name, "seed", "size"][: 2 + with_size])
+                            cols = [pa.array([part.column(name)[i].as_py()] * len(cut), pa.int64()), pa.array(cut), pa.array(np.full(len(cut), firsts[i + 1] - firsts[i])), pa.array(times[k : k + (1 << 16)])]
+                            yield pa.RecordBatch.from_arrays(cols[: 2 + 2 * with_size], [name, "seed", "size", "times"][: 2 + 2 * with_size])
 
         return run
 
     left = docs.mapInArrow(seeds("doc_id", False), "doc_id long, seed long")
-    right = benchmark.mapInArrow(seeds("item_id", True), "item_id long, seed long, size long")
-    pairs = left.join(right, "seed").groupBy("doc_id", "item_id", "size").agg(F.count("*").alias("shared"))
+    right = benchmark.mapInArrow(seeds("item_id", True), "item_id long, seed long, size long, times long")
+    pairs = left.join(right, "seed").groupBy("doc_id", "item_id", "size").agg(F.sum("times").alias("shared"))  # each place in the item counts
     pairs = materialize(pairs.filter(LEAST * F.col("shared") >= coverage * F.col("size")).select("doc_id", "item_id").distinct(), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,3 +63,11 @@ def test_a_copy_of_similarity_above_eight_tenths_goes(spark):
     copy[40], copy[90] = "x", "y"
     rows = [(1, " ".join(base)), (2, " ".join(copy))]
     assert similar(rows[0][1], rows[1][1]) and [r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1]
+
+
+def test_rows_stay_by_their_own_group(spark):
+    """A group of null ids alone keeps no null row of others, and a repeated id keeps no text whose group has a smaller id."""
+    a, b, c = "a b c d e f", "only null rows have this text here", "the text of the third group is this one"
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (3, c), (3, "quite another text than that one"), (3, "quite another text than that one")]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (None, b), (2, c), rows[-1]], key=str)

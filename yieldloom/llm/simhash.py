@@ -112,18 +112,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents, with all their columns, that stay: of each group that links at a Jaccard similarity of at least 0.8 connect
-    (see jaccard) that with the smallest doc_id, once. Of a group without any doc_id one row stays for each text."""
+    (see jaccard) one row, of those with the smallest doc_id; a row without an id stays only if its group has none."""
     near = materialize(jaccard.groups(docs, shingle), "near")
-    near = near.join(near.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
-    stays = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = materialize(stays.groupBy("doc_id").agg(F.count("*").alias("k")), "stays")
+    least = near.groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Of one doc_id, other texts may belong to other groups: a row is named by its id and text.
+    rows = near.join(least, "root").filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    stays = materialize(rows.groupBy("root", "doc_id").agg(F.min("t").alias("__t")).select(F.col("doc_id").alias("__stay"), "__t"), "stays")
+    own = near.join(stays, F.col("doc_id").eqNullSafe(F.col("__stay")) & (F.col("t") == F.col("__t")), "left_semi")
+    repeated = materialize(own.groupBy("doc_id", "t").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("__stay"), F.col("t").alias("__t")), "repeated")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.col("__stay").eqNullSafe(F.col("doc_id").cast("long"))
-    once = ids.filter("k = 1").select(F.col("doc_id").alias("__stay")).hint("shuffle_hash")
-    many = ids.filter("k > 1").select(F.col("doc_id").alias("__stay"))
-    kept = docs.join(once, key, "left_semi").select(*columns)
-    if many.isEmpty():
-        return kept
-    # Of one doc_id, other texts may belong to other components.
-    texts = docs.join(many, key, "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns)
-    return kept.unionByName(texts)
+    key = F.col("__stay").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__t") == F.xxhash64(F.coalesce("text", F.lit(""))))
+    if repeated.isEmpty():
+        return docs.join(stays.hint("shuffle_hash"), key, "left_semi").select(*columns)
+    once = stays.join(repeated.select(F.col("__stay").alias("i"), F.col("__t").alias("j")), F.col("__stay").eqNullSafe(F.col("i")) & (F.col("__t") == F.col("j")), "left_anti")
+    kept = docs.join(once.hint("shuffle_hash"), key, "left_semi").select(*columns)
+    again = docs.join(repeated, key, "left_semi").withColumn("__text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "__text"]).select(*columns)
+    return kept.unionByName(again)

@@ -97,3 +97,11 @@ def test_an_item_that_repeats_a_short_passage(spark, monkeypatch, limit):
     d = spark.createDataFrame([(1, "before it " + item), (2, "nothing of all this is in here")], "doc_id long, text string")
     got = decontaminate.contaminated(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["coverage"], r["tokens"]) for r in got] == [(1, 5, 1.0, 200)]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_rows_without_an_id_go_by_their_own_text(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "SEEDS", limit)
+    rows = [(None, ITEM), (None, "a text that has no id and no item"), (1, ITEM), (1, "another text of the first id"), (2, None)]
+    kept = decontaminate.without_rows(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string"), spark.createDataFrame([(100, ITEM)], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "source"] and {(r["doc_id"], r["text"]) for r in kept.collect()} == {rows[1], rows[3], rows[4]}

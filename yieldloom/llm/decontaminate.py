@@ -193,6 +193,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return _everywhere(docs, Benchmark.of_rows(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks()), coverage)
 
 
+def without_rows(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The rows whose own text covers no item, whatever their doc_id is; all their columns."""
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    bad = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark, coverage).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(materialize(bad, "contaminated"), row == F.col("__bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def without(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents that cover no item; all their columns. Rows with a null doc_id are kept."""
     # Written first, so that its size is known when the join is planned.

@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join, with DataFrame functions only.
 
 A line is its words (parted by blanks). Lines are equal, or, from WORDS words on, near if one word substituted, inserted or
-deleted makes them equal (a similarity of at least 0.8). A line goes if an earlier line of any document is equal or near;
+deleted makes them equal. That is a similarity of 0.8 at five words and more at longer lines: of those, lines that differ by
+two words or more both stay, even above 0.8 (on a sample of sf0.1, 3966 pairs against 670 of one word). A line goes if an earlier line of any document is equal or near;
 the order is doc_id, then place in the text.
 
 Each line emits all its variants that lack one word, as a hash and the place of the word. Two lines that share a variant at

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -141,3 +142,14 @@ def test_search_empties_a_bin():
 
     bins = Counter({(6, 2): 1, (4, 3): 1, (3, 2): 1})
     assert packing.local_search(bins, 10).total() == 2
+
+
+def test_search_goes_on_where_the_emptiest_patterns_cannot_move(monkeypatch):
+    monkeypatch.setattr(packing, "SOURCES", 1)
+    rng = random.Random(2)
+    for _ in range(300):
+        bins = Counter(tuple(sorted((rng.randint(3, 12) for _ in range(2)), reverse=True)) for _ in range(12))
+        got = packing.local_search(bins, 24)
+        least = -(-sum(sum(p) * n for p, n in bins.items()) // 24)
+        under = sorted((p for p in got if sum(p) < 24), key=lambda p: (-sum(p), p))
+        assert got.total() <= least or not packing._moves(under, 24, len(under))

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from yieldloom.llm import bpe
 from yieldloom.llm.common import materialize, slices, text_of
 
-#: Passes of the local search, and the emptiest patterns from which each pass moves documents away.
-SEARCH_ROUNDS, SOURCES = 60, 300
+#: The emptiest patterns from which a pass of the local search moves documents away; all underfull ones once these can't move.
+SOURCES = 300
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, part int, nth long"
 
 Pattern = tuple[int, ...]
@@ -106,15 +106,15 @@ def _less(pattern: Pattern, gone: Pattern, come: Pattern) -> Pattern:
     return tuple(sorted([*rest, *come], reverse=True))
 
 
-def _moves(under: list[Pattern], limit: int) -> list[tuple[Pattern, Pattern, Pattern, Pattern]]:
-    """(source, what leaves it, target, what leaves that) for the emptiest patterns, emptiest first: of all swaps with a fuller
+def _moves(under: list[Pattern], limit: int, sources: int) -> list[tuple[Pattern, Pattern, Pattern, Pattern]]:
+    """(source, what leaves it, target, what leaves that) for the `sources` emptiest patterns, emptiest first: of all swaps with a fuller
     bin, the one that brings it most. under: patterns from the fullest to the emptiest."""
     room, where, outs = np.full(limit + 1, -1), np.full(limit + 1, -1), []
     found = []
     for k, source in enumerate(under):
         outs.append(_out(source))
         best, move = 0, None
-        if k >= len(under) - SOURCES:
+        if k >= len(under) - sources:
             for x, leaves in outs[k].items():
                 gain = x - np.arange(x)  # by what the target gives back; no more than it has room for
                 fits = np.flatnonzero(gain <= room[:x])
@@ -129,17 +129,18 @@ def _moves(under: list[Pattern], limit: int) -> list[tuple[Pattern, Pattern, Pat
     return found[::-1]
 
 
-def local_search(bins: Counter[Pattern], limit: int, rounds: int = SEARCH_ROUNDS) -> Counter[Pattern]:
+def local_search(bins: Counter[Pattern], limit: int) -> Counter[Pattern]:
     """Move or swap one or two documents for none, one or two between underfull bins; the emptier bin loses, so the sum of
     squared fills grows with each swap. A bin that has lost all its documents is gone. The search ends when no swap is left,
-    or at the fewest bins that could hold the sum of lengths, or after `rounds`; the fewest bins met are returned."""
+    or at the fewest bins that could hold the sum of lengths."""
     least = -(-sum(sum(p) * n for p, n in bins.items()) // limit)
     bins = Counter(bins)
-    for _ in range(rounds):
-        if bins.total() <= least:
+    while bins.total() > least:
+        under = sorted((p for p in bins if sum(p) < limit), key=lambda p: (-sum(p), p))
+        moves = _moves(under, limit, SOURCES) or _moves(under, limit, len(under))
+        if not moves:
             break
-        moved = False
-        for source, leaves, target, back in _moves(sorted((p for p in bins if sum(p) < limit), key=lambda p: (-sum(p), p)), limit):
+        for source, leaves, target, back in moves:
             n = min(bins[source], bins[target])  # patterns that an earlier swap used up are met again in the next round
             if not n:
                 continue
@@ -149,9 +150,6 @@ def local_search(bins: Counter[Pattern], limit: int, rounds: int = SEARCH_ROUNDS
                     del bins[p]
                 if q:
                     bins[q] += n
-            moved = True
-        if not moved:
-            break
     return bins
 
 

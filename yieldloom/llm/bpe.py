@@ -1,17 +1,18 @@
-"""Token ids of whole texts, equal to those of the tokenizers library, with each distinct chunk encoded once.
+"""Token ids of whole texts, equal to those of the tokenizers library, with each distinct word encoded once.
 
-A text is cut before blanks and line ends, where no pre-token of either kind of vocabulary can span the cut.
-Arrow finds the distinct chunks of a batch; only chunks not met before go to the library.
+A text is cut before blanks and line ends, where no pre-token of the two kinds of vocabulary known here can span the cut.
+Arrow finds the distinct chunks of a batch and parts words from line ends and final marks; only words not met before go to
+the library. With a vocabulary whose normalizer or pre-tokenizer is of another kind, whole texts go to the library.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import re
 import threading
 import time
 import zlib
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -19,17 +20,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks and words in them that a worker remembers before it starts anew; they bound its memory.
-CACHE_CHUNKS = 400_000
+#: Words that a worker remembers; beyond it, only those of the last slice of texts. It bounds its memory.
+CACHE_WORDS = 300_000
 
 #: White space of any kind, for RE2.
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-_WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-_SIMPLE = re.compile(rf"(\n?)( ?{_WORD})?([.,;:!?]*)")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_WORD = rf"\A ?{_LETTERS}\z"
+_MARKS = ".,;:!?"
 IDLE_SECONDS = 4
 _encoders: dict[str, "Encoder"] = {}
 _lock, _users, _last = threading.Lock(), 0, [0.0]
 
+# The normalizers and pre-tokenizers whose pre-tokens never span a cut.
+_BYTE_KIND = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_WORD_KIND = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
 
 def _byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if visible, else the next code point from 256."""
@@ -42,6 +51,64 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _kind(path: str) -> str:
+    """byte, word, or nothing for a vocabulary whose texts can't be cut in this way."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    parts = spec.get("normalizer"), spec.get("pre_tokenizer")
+    plain = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
+    for t in spec.get("added_tokens") or []:  # they are found before texts are cut into pre-tokens
+        plain = plain and not (re.search(r"\s", t["content"]) or re.fullmatch(rf"{_LETTERS}[{_MARKS}]*", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"])
+    return ("byte" if parts == _BYTE_KIND else "word" if parts == _WORD_KIND else "") if plain else ""
+
+
+class _Known:
+    """Id lists in one growing array. Entry 0 is the empty list."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n, self.ids = 1, 0
+
+    def add(self, names: list[str], lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        new = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+        while self.n + len(names) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.ids + len(new) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.starts[self.n : self.n + len(names)] = self.ids + np.cumsum(sizes) - sizes
+        self.lengths[self.n : self.n + len(names)] = sizes
+        self.flat[self.ids : self.ids + len(new)] = new
+        self.at.update(zip(names, range(self.n, self.n + len(names)), strict=True))
+        self.n, self.ids = self.n + len(names), self.ids + len(new)
+
+    def only(self, names: list[str]) -> None:
+        """Forget all but these."""
+        old, entries = self.at, np.array([self.at[x] for x in names], np.int64)
+        flat, sizes = _gather(self.flat, self.starts, self.lengths, entries)
+        del old
+        ends = np.cumsum(sizes).tolist()
+        ids = flat.tolist()
+        self.__init__()
+        self.add(names, [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the lists of the entries one after another, their lengths), by steps that bound what is held besides."""
+    sizes = lengths[entries]
+    out, at = np.empty(int(sizes.sum()), np.uint32), 0
+    for k in range(0, len(entries), 1 << 18):
+        n = sizes[k : k + (1 << 18)]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        places = np.repeat(starts[entries[k : k + (1 << 18)]] - (ends - n), n)
+        places += np.arange(total)
+        np.take(flat, places, out=out[at : at + total])
+        at += total
+    return out, sizes
+
+
 class Encoder:
     """encode() gives the ids of many texts as one flat array and the place where each text starts."""
 
@@ -52,95 +119,92 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lower = self.tokenizer.normalizer is not None
+        self.kind = _kind(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = array("I"), array("q"), array("i")
-
-    def _add(self, chunk: str, ids) -> None:
-        self.at[chunk] = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.lengths.append(len(ids))
-        self.flat.extend(ids)
-
-    def _piece(self, piece: str) -> list[int]:
-        """The ids of one pre-token; those of two characters and more are remembered as chunks are."""
-        if piece in self.at:
-            k = self.at[piece]
-            return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
-        if piece.isascii() and piece.isalnum():
-            spelled = piece
-        else:
-            spelled = "".join(map(self.letters.__getitem__, piece.encode()))
-        ids = array("I", [t.id for t in self.model.tokenize(spelled)])
-        self._add(piece, ids)
-        return ids
-
-    def _chunk(self, chunk: str):
-        m = _SIMPLE.fullmatch(chunk)
-        if m is None:
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        newline, word, marks = m.groups()
-        if self.lower:
-            word, newline = word and word.lstrip().lower(), ""
-        out = array("I")
-        for piece in (newline, word, marks):
-            if piece:
-                out += self._piece(piece)
+        self.known = _Known()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _word(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        elif word[0] == " ":
+            word = self.letters[32] + word[1:]
+        elif word == "\n":
+            word = self.letters[10]
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _entries(self, names: list[str], simple: np.ndarray) -> np.ndarray:
+        """The entry of each name; unknown ones are encoded, as a pre-token or (not simple) as a text."""
+        get = self.known.at.get
+        out = np.fromiter((get(x, -1) for x in names), np.int64, len(names))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            fresh = [names[i] for i in new.tolist()]
+            first = self.known.n
+            self.known.add(fresh, [self._word(x) if s else self._whole(x) for x, s in zip(fresh, simple[new].tolist(), strict=True)])
+            out[new] = np.arange(first, first + len(fresh))
         return out
 
-    def _known(self, chunks: list[str]) -> np.ndarray:
-        """The entry of each chunk; unknown ones are encoded."""
-        if len(self.at) > CACHE_CHUNKS:
-            self._clear()
-        get = self.at.get
-        out = np.array([get(c, -1) for c in chunks], np.int64)
-        for i in np.flatnonzero(out < 0).tolist():
-            c = chunks[i]
-            if c not in self.at:
-                ids = self._chunk(c)
-                if c not in self.at:
-                    self._add(c, ids)
-            out[i] = self.at[c]
-        return out
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct chunks one after another, how many each has)."""
+        size = lambda x: pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
+        truth = lambda x: x.to_numpy(zero_copy_only=False)
+        body = chunks if self.kind == "word" else pc.utf8_ltrim(chunks, characters="\n")
+        word = pc.utf8_rtrim(body, characters=_MARKS)
+        tail, lead = size(body) - size(word), size(chunks) - size(body)
+        simple = truth(pc.match_substring_regex(word, _WORD)) & (tail <= 1) & (lead <= 1)
+        names = pc.if_else(pa.array(simple), pc.utf8_lower(word) if self.kind == "word" else word, chunks).dictionary_encode()
+        places = names.indices.to_numpy()
+        distinct = names.dictionary.to_pylist()
+        plain = np.zeros(len(distinct), bool)
+        plain[places] = simple
+        if len(self.known.at) > CACHE_WORDS:
+            self.known.only([x for x in distinct if x in self.known.at])
+        own = self._entries(distinct, plain)[places]
+        marks = self._entries(list(_MARKS), np.ones(len(_MARKS), bool))
+        newline = self._entries(["\n"], np.ones(1, bool))[0] if self.kind == "byte" else 0
+        by_byte = np.zeros(256, np.int64)
+        by_byte[list(_MARKS.encode())] = marks
+        ended = np.zeros(len(chunks), np.int64)
+        with_mark = np.flatnonzero(simple & (tail == 1))
+        if len(with_mark):
+            ends = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset + 1 : chunks.offset + 1 + len(chunks)]
+            ended[with_mark] = by_byte[np.frombuffer(chunks.buffers()[2], np.uint8)[ends[with_mark] - 1]]
+        entries = np.stack([np.where(simple & (lead == 1), newline, 0), own, ended], axis=1)
+        flat, sizes = _gather(self.known.flat, self.known.starts, self.known.lengths, entries.ravel())
+        return flat, sizes.reshape(-1, 3).sum(axis=1)
 
     def _split(self, texts: pa.Array):
-        if self.lower:
+        if self.kind == "word":
             return pc.ascii_split_whitespace(texts)
         return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n"), "\0")
 
     def _uneasy(self, texts: pa.Array) -> np.ndarray:
         """Texts in which a cut could change the ids: long or final runs of white space, or the mark of a cut."""
+        if not self.kind:
+            return np.ones(len(texts), bool)
         found = pc.match_substring(texts, "\0")
-        if not self.lower:
+        if self.kind == "byte":
             found = pc.or_(found, pc.match_substring_regex(texts, rf"{_WS}{{3}}|{_WS}{{2}}\z"))
         return found.to_numpy(zero_copy_only=False)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("")
         uneasy = self._uneasy(texts)
-        whole = {int(i): self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(uneasy)}
+        whole = {int(i): self._whole(texts[int(i)].as_py()) for i in np.flatnonzero(uneasy)}
         if whole:
             texts = pc.if_else(pa.array(uneasy), pa.scalar("", pa.large_string()), texts)
         lists = self._split(texts)
         ends = lists.offsets.to_numpy().astype(np.int64)
         chunks = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        del lists
         ends = ends - ends[0]
-        entry = self._known(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
-        known, begin, size = np.frombuffer(self.flat or array("I", [0]), np.uint32), np.array(self.starts), np.array(self.lengths)
-        lengths = size[entry]
-        at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        flat = np.empty(at[-1], np.uint32)
-        for k in range(0, len(entry), 1 << 19):
-            e, n = entry[k : k + (1 << 19)], lengths[k : k + (1 << 19)]
-            base = at[k]
-            flat[base : base + n.sum()] = known[np.repeat(begin[e] - (at[k : k + len(e)] - base), n) + np.arange(n.sum())]
-        del known  # while it lives, the array can't grow
-        starts = at[ends]
+        of, places = self._chunks(chunks.dictionary) if len(chunks.dictionary) else (np.zeros(1, np.uint32), np.zeros(0, np.int64)), chunks.indices.to_numpy()
+        flat, sizes = _gather(of[0], np.cumsum(of[1]) - of[1], of[1], places)
+        starts = np.concatenate([[0], np.cumsum(sizes)])[ends]
         if whole:
             parts = [np.asarray(whole[i], np.uint32) if i in whole else flat[starts[i] : starts[i + 1]] for i in range(len(starts) - 1)]
             starts = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])

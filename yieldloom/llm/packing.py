@@ -1,9 +1,11 @@
 """Best-fit packing of token pieces into sequences, improved by swaps between underfull sequences.
 
-Only the lengths of pieces matter to a packing, and there are at most `limit` of them. So the plan is made over counts
-by length (at most `limit` rows, whatever the input), as bin patterns with the number of bins that have each: best fit by
-descending length, then local search. Pieces take the places of their length in the order of a rank that each task counts
-by itself, so no task ever holds all pieces of one length.
+Only the lengths of pieces matter to a packing, and there are at most `limit` of them. So a plan is made over counts by
+length, as bin patterns with the number of bins that have each: best fit by descending length, then local search. The pieces
+of SHARD_TASKS input splits (some hundred thousand and more) are planned together in one task, which costs less than one
+sequence for each shard beside a common plan; neither the driver nor any task holds a plan that grows with the input.
+Each task numbers its pieces by length; a shard's plan is cut into runs of those numbers by task, and each task's pieces
+meet only their own runs, so no task ever holds all pieces of one length.
 
 Defined results: a null text is the empty one (a piece that is the end id alone); null and repeated doc_ids are packed
 row by row; an empty table yields no row; further columns are ignored.
@@ -19,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.llm import bpe
@@ -27,6 +29,9 @@ from yieldloom.llm.common import materialize, slices, text_of
 
 #: The emptiest patterns from which a pass of the local search moves documents away; all underfull ones once these can't move.
 SOURCES = 300
+#: Tasks, of an input split each, whose pieces are packed together.
+SHARD_TASKS = 64
+RUN = "part int, length int, first long, sequence long, offset long"
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, part int, nth long"
 
 Pattern = tuple[int, ...]
@@ -167,22 +172,40 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int]]:
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, limit: int = 2048, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids): where each piece stands."""
-    cut = materialize(pieces(docs, tokenizer, end_id, limit, with_ids), "pieces")
-    counts = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `limit` rows at most
+def _runs_of_parts(counts: pa.Table, limit: int) -> pa.Table:
+    """The plan of one shard, cut at the ends of its tasks' pieces. counts: part, length, n; at most SHARD_TASKS x limit rows."""
+    part, length, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("part", "length", "n"))
+    order = np.lexsort((part, length))
+    part, length, n = part[order], length[order], n[order]
+    before = np.cumsum(n) - n
+    base = before - before[np.searchsorted(length, length)]  # rank of a task's first piece among the shard's of that length
+    lengths, first = np.unique(length, return_index=True)
+    totals = dict(zip(lengths.tolist(), np.add.reduceat(n, first).tolist(), strict=True))
     runs = np.array(sorted(plan(totals, limit)), np.int64).reshape(-1, 4)
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    keys = (runs[:, 0] << 44) + runs[:, 1]
+    keys, tasks = (runs[:, 0] << 44) + runs[:, 1], (length << 44) + base
+    starts = np.union1d(keys, tasks)
+    run, task = np.searchsorted(keys, starts, side="right") - 1, np.searchsorted(tasks, starts, side="right") - 1
+    first = starts - tasks[task]
+    sequence = runs[run, 2] + starts - keys[run] + (int(part[0]) // SHARD_TASKS << 40)
+    columns = [part[task], length[task], first, sequence, runs[run, 3]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], RUN.replace(",", "").split()[::2])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-            run = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(runs[run, 2] + rank - runs[run, 1]), pa.array(runs[run, 3])], [*kept, "sequence_id", "offset"])
 
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, limit: int = 2048, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids): where each piece stands."""
+    cut = materialize(pieces(docs, tokenizer, end_id, limit, with_ids), "pieces")
+    counts = cut.groupBy("part", "length").agg(F.count("*").alias("n")).withColumn("shard", F.expr(f"part div {SHARD_TASKS}"))
+    runs = materialize(counts.groupBy("shard").applyInArrow(lambda rows: _runs_of_parts(rows, limit), RUN), "runs")
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    rows = cut.join(bases, ["part", "length"]).select(*kept[:3], F.col("length").cast("long").alias("length"), *kept[4:], (F.col("base") + F.col("nth")).alias("rank"))
-    return rows.mapInArrow(place, f"doc_id long, piece int, start long, length long, ids_crc32 long, {'ids binary, ' * with_ids}sequence_id long, offset long")
+
+    def place(rows: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by([("length", "ascending"), ("first", "ascending")])
+        keys = (own.column("length").to_numpy().astype(np.int64) << 44) + own.column("first").to_numpy()
+        at = (rows.column("length").to_numpy().astype(np.int64) << 44) + rows.column("nth").to_numpy()
+        run = np.searchsorted(keys, at, side="right") - 1
+        sequence, offset = own.column("sequence").to_numpy()[run] + at - keys[run], own.column("offset").to_numpy()[run]
+        columns = [c.cast(pa.int64()) if k == "length" else c for k, c in ((k, rows.column(k)) for k in kept)]
+        return pa.table([*columns, pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
+
+    schema = f"doc_id long, piece int, start long, length long, ids_crc32 long, {'ids binary, ' * with_ids}sequence_id long, offset long"
+    return cut.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(place, schema)

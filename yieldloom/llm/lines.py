@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import materialize
+from yieldloom.llm.common import materialize, release, shuffle_partitions
 
 #: Words of the shortest line that may be near another.
 WORDS = 5
@@ -37,56 +37,62 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__version", version)
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\r\f\x0b", "    "), " "), "")
+def _spaced(line: Column) -> Column:
+    for blank in "\t\r\f\x0b":
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return line
 
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    return docs.select(*_KEY, F.posexplode(F.split("text", "\n")).alias("__line", "raw")).select(*_PLACE, _words(F.col("raw")).alias("words"))
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(_spaced(line), " "), "")
 
 
 def _stretch(n: Column) -> Column:
-    """At most half the words of a line and of one longer by a word, rounded down to 2, 3, 4, 6, 8, 12 and so on: so most
+    """Of half the words of a line, rounded down to 2, 3, 4, 6, 8, 12 and so on (the two highest binary digits): so most
     lengths share their stretch with their neighbours, and a line has few."""
-    half = F.floor((n - 1) / 2)
-    power = F.pow(F.lit(2.0), F.floor(F.log2(half)))
-    return F.greatest(F.when(half >= 1.5 * power, 1.5 * power).otherwise(power).cast("int"), F.lit(2))
-
-
-def _ends(n: Column) -> Column:
-    """Hashes of the first and last words, by the stretch of this line and of one shorter by a word."""
-    words, parts = F.col("words"), []
-    for size in (_stretch(n), _stretch(n - 1)):
-        parts += [F.xxhash64(F.lit(0), size, F.slice(words, F.lit(1), size)), F.xxhash64(F.lit(1), size, F.slice(words, n - size + 1, size))]
-    return F.when(n >= WORDS, F.array_distinct(F.array(*parts)))
-
-
-def _distinct_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(every line with words: its hashes and ends; the first place and count of each distinct line)."""
-    n = F.size("words")
-    lines = _exploded(docs).filter(n > 0).select(*_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), _ends(n).alias("ends"))
-    lines = materialize(lines, "lines")
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("count"))
-    return lines, materialize(first.select("h1", "h2", "first.*", "count"), "first")
+    half = F.expr(f"({n}) div 2")
+    low = F.expr(f"shiftleft(1, greatest(length(bin(({n}) div 2)) - 2, 0))")
+    return F.greatest(half - half % low, F.lit(2)).cast("int")
+
+
+def _distinct_lines(docs: DataFrame) -> DataFrame:
+    """Of each distinct line with words: the first place and up to four ends (first words, last words, and both again), which are
+    hashes of the words by the stretch of this line and, if that is another, of one shorter by a word. Lines of under WORDS
+    words have no ends."""
+    # A projection each, as otherwise the sizes would be worked out in each of the hashes and the generated code be too long to be compiled.
+    rows = docs.select(*_KEY, F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("__line", "raw")).filter(F.trim("raw") != "")
+    plain = F.when(F.contains("raw", F.lit("  ")), F.array_join(F.array_remove(F.split("raw", " "), ""), " ")).otherwise(F.trim("raw"))
+    rows = rows.select(*_PLACE, plain.alias("line"))
+    rows = rows.select(*_PLACE, "line", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    rows = rows.select("*", _stretch("n - 1").alias("s1"), _stretch("n - 2").alias("s2"))
+    ends = [F.array(*[F.xxhash64(F.lit(k), s, F.call_function("substring_index", "line", F.lit(" "), F.col(s) * (1 - 2 * k))) for k in range(2)]) for s in ("s1", "s2")]
+    first, second = F.when(F.col("n") >= WORDS, ends[0]), F.when((F.col("n") >= WORDS) & (F.col("s2") < F.col("s1")), ends[1])
+    rows = rows.select(*_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), first.alias("e1"), second.alias("e2"))
+    found = rows.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE, "e1", "e2")).alias("m"))
+    return found.select("m.*")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """v, at, n: the hash of a line of n words without the one at that place. Words hash with their places, so a running xor of
-    those before and of those after (each one place earlier) is the variant's hash. As n and at are part of the key, lines of
-    other lengths or places don't collide; what does is found out when words are compared."""
-    words = lines.select(*_PLACE, F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    hashed = words.select(*_PLACE, "n", "at", F.xxhash64("at", "word").alias("here"), F.xxhash64(F.col("at") - 1, "word").alias("moved"))
-    own = Window.partitionBy(*_PLACE).orderBy("at")
-    so_far, whole = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.bit_xor("here").over(so_far).bitwiseXOR(F.col("here"))
-    after = F.bit_xor("moved").over(whole).bitwiseXOR(F.bit_xor("moved").over(so_far))
-    return hashed.select(before.bitwiseXOR(after).alias("v"), "at", "n", *_PLACE)
-
-
-def _whole(lines: DataFrame) -> DataFrame:
-    """v and n of the words as they are."""
-    words = lines.select(*_PLACE, F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    return words.groupBy(*_PLACE, "n").agg(F.bit_xor(F.xxhash64("at", "word")).alias("v"))
+    """v, at, n, place: the hash of a line of n words without the one at that place; with at -1 that of the whole line.
+    Words hash with their places, so a running xor of those before and of those after (each one place earlier) is the variant's
+    hash. What collides is found out when words are compared."""
+    # Dealt out by document before words are, so that each line's words stay together.
+    own = lines.repartition(shuffle_partitions(lines.sparkSession), *_KEY)
+    words = own.select(*_PLACE, "kinds", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    words = words.withColumn("s", _stretch("n - 2"))
+    # The other line has the same beginning and differs after it, or the same end and differs before it.
+    wanted = ((F.col("kinds") != 2) & (F.col("at") >= F.col("s"))) | ((F.col("kinds") != 1) & (F.col("at") < F.col("n") - F.col("s")))
+    hashed = words.select(*_PLACE, "n", "at", wanted.alias("wanted"), F.xxhash64("at", "word").alias("here"), F.xxhash64(F.col("at") - 1, "word").alias("moved"))
+    line = Window.partitionBy(*_PLACE).orderBy("at")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    rows = hashed.select(*_PLACE, "n", "at", "wanted", "here", F.bit_xor("here").over(so_far).alias("to"), F.bit_xor("moved").over(so_far).alias("gone"))
+    # The last row of a line has the xor of all its words.
+    last = Window.partitionBy(*_PLACE).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select(*_PLACE, "n", "at", "wanted", "here", "to", "gone", F.last("gone").over(last).alias("all"))
+    lacking = F.col("to").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("gone"))
+    variant, whole = F.struct(lacking.alias("v"), F.col("at")), F.struct(F.col("to").alias("v"), F.lit(-1).alias("at"))
+    kinds = F.array(F.when(F.col("wanted"), variant), F.when(F.col("at") == F.col("n") - 1, whole))
+    return rows.select("n", *_PLACE, F.explode(kinds).alias("k")).filter("k is not null").select("n", *_PLACE, "k.*")
 
 
 def _without(words: Column, at: Column) -> Column:
@@ -96,50 +102,58 @@ def _without(words: Column, at: Column) -> Column:
 def _near(lines: DataFrame) -> DataFrame:
     """The place of each line that has an earlier near one. lines: distinct, with their words."""
     place = F.struct(*_PLACE).alias("place")
-    variants = materialize(_variants(lines), "variants")
-    whole = materialize(_whole(lines), "whole")
-    least = variants.groupBy("v", "at", "n").agg(F.min(place).alias("other"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    same_place = variants.join(least, ["v", "at", "n"]).select("at", "other", place).filter(F.col("other") < F.col("place"))
-    met = variants.join(whole.select("v", (F.col("n") + 1).alias("n"), F.struct(*_PLACE).alias("short")), ["v", "n"]).select("at", "short", place)
-    longer_goes = met.filter(F.col("short") < F.col("place")).select("place", F.col("short").alias("other"), "at", F.lit("long").alias("kind"))
-    shorter_goes = met.filter(F.col("short") > F.col("place")).groupBy("short").agg(F.min(F.struct("place", "at")).alias("m")).select(F.col("short").alias("place"), F.col("m.place").alias("other"), "m.at", F.lit("short").alias("kind"))
-    found = same_place.select("place", "other", "at", F.lit("same").alias("kind")).unionByName(longer_goes).unionByName(shorter_goes)
-    best = found.groupBy("place").agg(F.min(F.struct("other", "at", "kind")).alias("m")).select("place", "m.*")
+    every = materialize(_variants(lines), "variants")
+    shared = every.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1").select("v")
+    met = materialize(every.join(shared.hint("shuffle_hash"), "v", "left_semi").select("v", "at", "n", place), "met")
+    variants, whole = met.filter("at >= 0"), met.filter("at < 0").select("v", (F.col("n") + 1).alias("n"), F.col("place").alias("short"))
+    least = variants.groupBy("v", "at", "n").agg(F.min("place").alias("other"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    same = variants.join(least, ["v", "at", "n"]).filter(F.col("other") < F.col("place")).select("place", "other", "at", F.lit("same").alias("kind"))
+    pairs = variants.join(whole, ["v", "n"])
+    longer = pairs.filter(F.col("short") < F.col("place")).select("place", F.col("short").alias("other"), "at", F.lit("long").alias("kind"))
+    shorter = pairs.filter(F.col("short") > F.col("place")).select(F.col("short").alias("place"), F.col("place").alias("other"), "at", F.lit("short").alias("kind"))
+    found = same.unionByName(longer).unionByName(shorter)
     texts = lines.select(F.struct(*_PLACE).alias("p"), "words")
-    best = best.join(texts.select(F.col("p").alias("place"), F.col("words").alias("mine")), "place").join(texts.select(F.col("p").alias("other"), F.col("words").alias("theirs")), "other")
+    both = found.join(texts.select(F.col("p").alias("place"), F.col("words").alias("mine")), "place").join(texts.select(F.col("p").alias("other"), F.col("words").alias("theirs")), "other")
     mine, theirs = F.col("mine"), F.col("theirs")
     mine = F.when(F.col("kind") != "short", _without(mine, F.col("at"))).otherwise(mine)
     theirs = F.when(F.col("kind") != "long", _without(theirs, F.col("at"))).otherwise(theirs)
-    return best.filter(mine == theirs).select("place.*")
+    return both.filter(mine == theirs).select("place.*").distinct()
 
 
-def dropped(docs: DataFrame) -> DataFrame:
-    """__doc, __version and __line of every line that goes. docs: keyed, with text."""
-    lines, first = _distinct_lines(docs)
-    repeated = first.filter("count > 1").select("h1", "h2", F.struct(*_PLACE).alias("first"))
-    equal = lines.join(repeated, ["h1", "h2"]).filter(F.struct(*_PLACE) > F.col("first")).select(*_PLACE)
+def _places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the first place of each distinct line with words, those of them that are near an earlier line). docs: keyed, with text."""
+    first = materialize(_distinct_lines(docs), "first")
 
     # An end of two different lines at least; a chance collision of hashes only lets a line through to the next step.
-    own = lines.select("h1", F.explode("ends").alias("end"))
-    shared = own.groupBy("end").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("end")
-    alive = own.join(shared, "end", "left_semi").groupBy("h1").agg(F.count("*"))
-    alive = first.select("h1", *_PLACE).join(alive, "h1", "left_semi").groupBy(*_KEY).agg(F.collect_list("__line").alias("wanted"))
-    texts = docs.select(*_KEY, "text").join(alive.hint("shuffle_hash"), _KEY)
-    wanted = texts.select(*_KEY, "wanted", F.posexplode(F.split("text", "\n")).alias("__line", "raw")).filter(F.array_contains("wanted", F.col("__line")))
-    near = _near(materialize(wanted.select(*_PLACE, _words(F.col("raw")).alias("words")).dropDuplicates(_PLACE), "candidates"))
-    return equal.unionByName(near).distinct()
+    own = first.filter("e1 is not null").select(*_PLACE, F.posexplode(F.concat("e1", F.coalesce("e2", F.array().cast("array<bigint>")))).alias("kind", "end"))
+    shared = own.groupBy("end").agg(F.count("*").alias("k")).filter("k > 1").select("end")
+    alive = own.join(shared.hint("shuffle_hash"), "end", "left_semi").groupBy(*_PLACE).agg(F.bit_or(F.col("kind") % 2 + 1).alias("kinds"))
+    alive = alive.groupBy(*_KEY).agg(F.collect_list(F.struct("__line", "kinds")).alias("wanted"))
+    texts = docs.select(*_KEY, "text").join(alive.hint("shuffle_hash"), _KEY).select(*_KEY, "wanted", F.split("text", "\n").alias("all"))
+    wanted = F.transform(F.filter("wanted", lambda x: x["__line"] < F.size("all")), lambda x: F.struct(x["__line"].alias("__line"), x["kinds"].alias("kinds"), F.get("all", x["__line"]).alias("raw")))
+    lines = texts.select(*_KEY, F.inline(wanted)).select(*_PLACE, "kinds", _words(F.col("raw")).alias("words"))
+    lines = materialize(lines.dropDuplicates(_PLACE), "candidates")
+    release(docs.sparkSession)
+    return first.select(*_PLACE), materialize(_near(lines), "near")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs, with the text that remains, n_lines (of the text as it was) and n_dropped."""
     keyed = _keyed(docs)
-    gone = dropped(keyed.select(*_KEY, "text")).groupBy(*_KEY).agg(F.collect_list("__line").alias("__gone"))
-    joined = keyed.join(gone.hint("shuffle_hash"), _KEY, "left").withColumn("__all", F.split("text", "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), "__gone")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__all", i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__all")).cast("long")
+    first, near = _places(keyed.select(*_KEY, "text"))
+    release(docs.sparkSession)
+    marked = first.select("*", F.lit(True).alias("stays")).unionByName(near.select("*", F.lit(False).alias("stays")))
+    stays = F.array_except(F.collect_list(F.when(F.col("stays"), F.col("__line"))), F.collect_list(F.when(~F.col("stays"), F.col("__line"))))
+    kept = marked.groupBy(*_KEY).agg(stays.alias("__stays"))
+    joined = keyed.join(kept.hint("shuffle_hash"), _KEY, "left").withColumn("__all", F.split("text", "\n"))
+    # Places of blank lines, and of all that stay.
+    joined = joined.withColumn("__blank", F.filter(F.sequence(F.lit(0), F.size("__all") - 1), lambda i: F.trim(_spaced(F.get("__all", i))) == ""))
+    joined = joined.withColumn("__kept", F.array_sort(F.concat("__blank", F.coalesce("__stays", F.array().cast("array<int>")))))
+    dropped = F.size("__all") - F.size("__kept")
+    text = F.when(dropped == 0, F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__all", i)), "\n"))
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return joined.select(*columns, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(x).cast("long") for x in (F.size("__all"), dropped)]
+    return joined.select(*columns, F.when(F.col("text").isNotNull(), text).alias("text"), counts[0].alias("n_lines"), counts[1].alias("n_dropped"))
 
 
 #: The same by DuckDB, with words and texts in place of hashes.

@@ -50,8 +50,8 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch):
                 x, y = sorted((top(i), top(j)))
                 root[y] = x
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for sample in (20_000, 40):
-        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    for crowd in (64, 8):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
         kept = simhash.representatives(docs).collect()
         assert sorted(r["doc_id"] for r in kept) == sorted({top(i) for i, _ in rows})
 

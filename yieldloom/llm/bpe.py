@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker remembers; beyond it, only those of the last slice of texts. It bounds its memory.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 #: White space of any kind, for RE2.
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -141,11 +141,11 @@ class Encoder:
         get = self.known.at.get
         out = np.fromiter((get(x, -1) for x in names), np.int64, len(names))
         new = np.flatnonzero(out < 0)
-        if len(new):
-            fresh = [names[i] for i in new.tolist()]
-            first = self.known.n
-            self.known.add(fresh, [self._word(x) if s else self._whole(x) for x, s in zip(fresh, simple[new].tolist(), strict=True)])
-            out[new] = np.arange(first, first + len(fresh))
+        for k in range(0, len(new), 1 << 14):
+            part = new[k : k + (1 << 14)]
+            fresh = [names[i] for i in part.tolist()]
+            out[part] = np.arange(self.known.n, self.known.n + len(fresh))
+            self.known.add(fresh, [self._word(x) if s else self._whole(x) for x, s in zip(fresh, simple[part].tolist(), strict=True)])
         return out
 
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:

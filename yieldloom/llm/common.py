@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is unset a fresh one."""
@@ -53,8 +55,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES from now on, as each worker and its executor hold some; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if now.isdigit() and not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_of(df: DataFrame, *keep: str) -> DataFrame:
     """The named columns and text, where a null text is the empty one."""
+    small_batches(df.sparkSession)
     return df.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.llm import ngrams
-from yieldloom.llm.common import slices, text_of
+from yieldloom.llm.common import slices, small_batches, text_of
 
 SAMPLE = 1600
 EPOCHS = 300
@@ -162,14 +162,16 @@ def accepted(docs: DataFrame) -> DataFrame:
     learned, those with a letter."""
     model = learn(docs, ~held_out(5, 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                text = part.column("text")
-                good = pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
-                if len(model.langs) > 1:
-                    top = -np.sort(-decode(model, ngrams.weigh(text, model.weights) + model.bias), axis=1)
-                    good = good & (top[:, 0] - top[:, 1] >= MARGIN)
-                yield part.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+
+    # Only the text goes to Python, and a flag comes back.
+    @F.arrow_udf("boolean")
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            found = pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+            if len(model.langs) > 1:
+                top = -np.sort(-decode(model, ngrams.weigh(text, model.weights) + model.bias), axis=1)
+                found = found & (top[:, 0] - top[:, 1] >= MARGIN)
+            yield pa.array(found)
+
+    return docs.filter(good("text"))

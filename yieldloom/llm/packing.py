@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, with_ids: b
         seen, task = np.zeros(limit + 1, np.int64), TaskContext.get().partitionId()
         with bpe.encoder(tokenizer) as enc:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", 4 << 20):
                     flat, starts = enc.encode_ended(part.column("text"), end_id)
                     rows = []
                     for doc, a, b in zip(part.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.llm import graph, jaccard, words
+from yieldloom.llm import graph, words
 from yieldloom.llm.common import materialize, slices, text_of
 
 #: Fingerprints at a grid point beyond which it is refined.
@@ -29,7 +29,7 @@ CROWD = 48
 _ONES = np.uint64(0x0101010101010101)
 
 
-def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each text, the bits that are set in over half its hashes. Byte counters run over at most 255 hashes."""
     out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
@@ -52,7 +52,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def fingerprints_of(texts: pa.Array, shingle: int, seed: int = 42) -> np.ndarray:
     w = words.words(texts)
     first, last, counts = words.shingles(w, shingle)
-    return _majority(words.xxh64(w.data, w.starts[first], w.ends[last], seed), counts)
+    return majority(words.xxh64(w.data, w.starts[first], w.ends[last], seed), counts)
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -113,13 +113,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents, with all their columns, that stay: of each group that links at a Jaccard similarity of at least 0.8 connect
     (see jaccard) one row, of those with the smallest doc_id; a row without an id stays only if its group has none."""
+    from yieldloom.llm import jaccard
+
     near = materialize(jaccard.groups(docs, shingle), "near")
-    least = near.groupBy("root").agg(F.min("doc_id").alias("least"))
     # Of one doc_id, other texts may belong to other groups: a row is named by its id and text.
-    rows = near.join(least, "root").filter(F.col("doc_id").eqNullSafe(F.col("least")))
-    stays = materialize(rows.groupBy("root", "doc_id").agg(F.min("t").alias("__t")).select(F.col("doc_id").alias("__stay"), "__t"), "stays")
-    own = near.join(stays, F.col("doc_id").eqNullSafe(F.col("__stay")) & (F.col("t") == F.col("__t")), "left_semi")
-    repeated = materialize(own.groupBy("doc_id", "t").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("__stay"), F.col("t").alias("__t")), "repeated")
+    rows = near.groupBy("root", "doc_id", "t").agg(F.count("*").alias("k"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "k")).alias("m"))
+    stays = materialize(least.select(F.col("m.doc_id").alias("__stay"), F.col("m.t").alias("__t"), "m.k"), "stays")
+    repeated, stays = stays.filter("k > 1").drop("k"), stays.drop("k")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = F.col("__stay").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__t") == F.xxhash64(F.coalesce("text", F.lit(""))))
     if repeated.isEmpty():

@@ -27,7 +27,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         with bpe.encoder(tokenizer) as enc:
             names, counts, parts, held = [], [], [], 0
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", 4 << 20):
                     flat, starts = enc.encode_ended(part.column("text"), end_id)
                     names += part.column("doc_id").to_pylist()
                     counts.append(np.diff(starts))

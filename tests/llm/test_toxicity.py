@@ -21,7 +21,7 @@ def test_kernel_equals_its_definition():
     rng = random.Random(1)
     left = ["".join(rng.choices("abcé", k=rng.randint(0, 8))) for _ in range(40)]
     marks = ["abca", "cab", "éabcab", "bbb"]
-    got = strings.similarities(left, marks)
+    got = strings.similarities(left, strings.Landmarks(marks))
     for i, a in enumerate(left):
         for j, b in enumerate(marks):
             want = plain(a, b) ** 2 / (plain(a, a) * plain(b, b)) if len(a) >= strings.ORDER else 0
@@ -65,3 +65,23 @@ def test_nothing_to_learn_from(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert [r["score"] for r in toxicity.score(docs, labels.limit(0)).collect()] == [0.0]
     assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_learning_and_scoring_see_the_same_units():
+    import pyarrow as pa
+
+    texts = ["aa bb C-c", "say f l u m p f now", "x y z", "", "Ä.b_c  d\te", "- ."]
+    of, ends, names = toxicity.units(pa.array(texts))
+    each = [sorted({names[k] for k in of[a:b] if names[k]} | set(toxicity.spelled(t))) for t, a, b in zip(texts, ends[:-1], ends[1:])]
+    assert toxicity.units_of(pa.array(texts)) == each and "^aabb$" in each[0] and "^cc$" in each[0] and each[4] == ["^d$", "^e$", "^äbc$"]
+
+
+def test_few_labels_are_enough_for_plain_insults():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeioutnrsld", k=rng.randint(2, 9))) for _ in range(900)]
+    clean = [[f"^{w}$" for w in rng.sample(words, 40)] for _ in range(250)]
+    toxic = [[f"^{w}$" for w in rng.sample(words, 40)] + [f"^{rng.choice(['grobnik', 'flumpf', 'zwackel'])}$"] for _ in range(30)]
+    model = toxicity.fit(toxic, clean)
+    assert len(model.landmarks) >= 3
+    rate = lambda u: 1 / (1 + np.exp(-(model.slope * toxicity.values(model, [u])[0] + model.shift)))
+    assert all(rate(u) >= 0.7 for u in ("^grobnik$", "^flumpf$", "^zwackel$", "^grobnnik$")) and max(rate(f"^{w}$") for w in words) < 0.7

@@ -16,7 +16,7 @@ without both classes every score is 0; an empty table yields no row; further col
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,18 +32,19 @@ from yieldloom.llm.language import held_out
 
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
 LANDMARKS = 40
-#: Log-likelihood ratio from which a piece can be a landmark.
-SURPRISE = 30.0
+#: Toxic texts that have a piece at least, and what its log-likelihood ratio must have above that of chance.
+LEAST, MARGIN = 3, 2.0
 #: Times as usual in toxic texts as in clean ones, at least, must a landmark be.
-PRECISION = 8
+PRECISION = 25
 NEGATIVES, RIDGE = 8000, 2e-4
 #: Share of toxic texts that the calibrated score supposes.
 PRIOR = 0.4
 #: Units that a worker remembers before it starts anew.
-CACHE_UNITS = 800_000
-_MARKS = re.compile(r"[\W_]+")
-_SPELLED = r"(?:^|\s)\pL(?:\s+\pL){2,}(?:\s|$)"
-_RUN = re.compile(r"(?<!\S)[^\W\d_](?:\s+[^\W\d_]){2,}(?!\S)")
+CACHE_UNITS = 500_000
+#: What parts chunks, in learning as in scoring: ASCII white space.
+_BLANK = "[\t-\r ]"
+_SPELLED = rf"(?:^|{_BLANK})\pL(?:{_BLANK}+\pL){{2,}}(?:{_BLANK}|$)"
+_RUN = re.compile(rf"(?<![^\t-\r ])[^\W\d_](?:{_BLANK}+[^\W\d_]){{2,}}(?![^\t-\r ])")
 _NOTHING = -2.0
 #: Values of units by model, for all tasks of a worker.
 _known: dict[bytes, dict[str, float]] = {}
@@ -57,10 +58,14 @@ class Model(NamedTuple):
     shift: float
 
 
-def unit(chunk: str) -> str:
-    """^ and $ stand for the ends, so that a kernel sees them; nothing for a chunk without letters."""
-    inner = _MARKS.sub("", chunk.lower())
-    return f"^{inner}$" if inner else ""
+def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(the unit of each chunk, where each text's chunks begin and the end, the distinct units). A unit is a chunk's letters and
+    digits between ^ and $, so that a kernel sees the ends; it is empty for a chunk without any."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    found = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    inner = pc.replace_substring_regex(pc.utf8_lower(found.dictionary), r"[^\p{L}\p{N}]+", "").dictionary_encode()
+    return inner.indices.to_numpy()[found.indices.to_numpy()], ends - ends[0], [f"^{x}$" if x else "" for x in inner.dictionary.to_pylist()]
 
 
 def spelled(text: str) -> list[str]:
@@ -68,20 +73,23 @@ def spelled(text: str) -> list[str]:
     return [f"^{''.join(m[0].split()).lower()}$" for m in _RUN.finditer(text)]
 
 
-def units_of(text: str) -> list[str]:
-    return [*{u for c in text.split() if (u := unit(c))} | set(spelled(text))]
+def units_of(texts: pa.Array) -> list[list[str]]:
+    """The distinct units of each text, runs of single letters included."""
+    of, ends, names = units(texts)
+    runs = {i: spelled(texts[i].as_py()) for i in pc.indices_nonzero(pc.match_substring_regex(texts, _SPELLED)).to_pylist()}
+    return [sorted({u for u in (names[k] for k in np.unique(of[a:b])) if u} | set(runs.get(i, ()))) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
 
 
-def values(model: Model, units: list[str]) -> np.ndarray:
+def values(model: Model, units: list[str], marks: strings.Landmarks | None = None) -> np.ndarray:
     """A unit's value: the highest of its windows."""
     parts = [strings.windows(u) for u in units]
-    flat = strings.similarities([p for ps in parts for p in ps], model.landmarks) @ model.weights + model.bias
+    flat = strings.similarities([p for ps in parts for p in ps], strings.Landmarks(model.landmarks) if marks is None else marks) @ model.weights + model.bias
     starts = np.cumsum([0, *map(len, parts)])[:-1]
     return np.maximum.reduceat(flat, starts) if len(units) else np.zeros(0)
 
 
 def _pieces(u: str) -> set[str]:
-    return {u[i : i + n] for n in (4, 5, 6, 7, 9) for i in range(len(u) - n + 1)}
+    return {u[i : i + n] for n in (4, 5, 6, 7, 8, 10) for i in range(len(u) - n + 1)}
 
 
 def _surprise(k: np.ndarray, s: np.ndarray, toxic: int, clean: int) -> np.ndarray:
@@ -92,33 +100,42 @@ def _surprise(k: np.ndarray, s: np.ndarray, toxic: int, clean: int) -> np.ndarra
     return np.where(k * clean > 2 * s * toxic, g, 0)
 
 
-def _alike(p: str, q: str) -> bool:
-    """Whether they share three letters in a row."""
-    return any(p[i : i + 3] in q for i in range(len(p) - 2))
-
-
 def _landmarks(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[str], dict[str, float]]:
-    """Strings that tell toxic texts from clean ones, none much the same as another, and how telling each piece is."""
-    where, spread = defaultdict(set), Counter()
+    """Strings that tell toxic texts from clean ones, and how telling each piece is. The most telling piece is chosen again
+    and again, each time without the units that hold one chosen before, so no landmark says what others have said.
+    A piece tells something if its log-likelihood ratio is beyond what the best of so many pieces would have by chance."""
     # Counted by hash first, so that pieces of one or two texts, which are most, take no room.
     bucket, counts = (1 << 22) - 1, np.zeros(1 << 22, np.int32)
     for us in toxic:
         counts[[*{hash(p) & bucket for u in us for p in _pieces(u)}]] += 1
-    for i, us in enumerate(toxic):
-        for p in {p for u in us for p in _pieces(u) if counts[hash(p) & bucket] >= 3}:
-            where[p].add(i)
+    has = [{p for u in us for p in _pieces(u) if counts[hash(p) & bucket] >= LEAST} for us in toxic]
+    least = max(LEAST, len(toxic) // 100)
+    names = sorted(p for p, k in Counter(p for ps in has for p in ps).items() if k >= least)
+    index = {p: i for i, p in enumerate(names)}
+    k, s = np.zeros(len(names)), np.zeros(len(names))
+    for ps in has:
+        k[[index[p] for p in ps if p in index]] += 1
     for us in clean:
-        spread.update({p for u in us for p in _pieces(u)} & where.keys())
-    names = sorted(p for p, s in where.items() if len(s) >= 3)
-    surprise = _surprise(np.array([len(where[p]) for p in names], float), np.array([spread[p] for p in names], float), len(toxic), len(clean))
-    telling = {p: float(g) for p, g in zip(names, surprise, strict=True) if g > 0}
-    chosen: list[str] = []
-    for p in sorted(telling, key=lambda p: (-telling[p], -len(p), p)):
-        if telling[p] < SURPRISE or len(chosen) == LANDMARKS:
+        s[[*{index[p] for u in us for p in _pieces(u) if p in index}]] += 1
+    surprise = 2 * np.log(max(2, len(names))) + MARGIN
+    telling = {p: float(g) for p, g in zip(names, _surprise(k, s, len(toxic), len(clean)), strict=True) if g > surprise}
+    rare = PRECISION * s * len(toxic) <= k * len(clean)
+    parts = {u: [index[p] for p in _pieces(u) if p in index] for us in toxic for u in us}
+    left = [{u for u in us if parts[u]} for us in toxic]
+    times = [Counter(p for u in us for p in parts[u]) for us in left]  # units of the text that have a piece
+    length, chosen = np.array([len(p) for p in names]), []
+    while names and len(chosen) < LANDMARKS:
+        gain = np.where(rare, _surprise(k, s, len(toxic), len(clean)), 0)
+        best = int(np.lexsort((-length, -gain))[0])
+        if gain[best] <= surprise:
             break
-        rare = PRECISION * spread[p] * len(toxic) <= len(where[p]) * len(clean)
-        if rare and all(len(where[p] & where[c]) < 0.8 * len(where[p] | where[c]) or not _alike(p, c) for c in chosen):
-            chosen.append(p)
+        chosen.append(names[best])
+        for us, count in zip(left, times, strict=True):
+            if count[best]:
+                for u in [u for u in us if best in parts[u]]:
+                    us.remove(u)
+                    count.subtract(parts[u])
+                    k[[p for p in set(parts[u]) if not count[p]]] -= 1
     return chosen, telling
 
 
@@ -143,14 +160,15 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
     marks, telling = _landmarks(toxic, clean)
     if not marks:
         return None
-    basis = strings.similarities(marks, marks).astype(np.float64)
+    prepared = strings.Landmarks(marks)
+    basis = strings.similarities(marks, prepared).astype(np.float64)
     high, turn = np.linalg.eigh((basis + basis.T) / 2)
     root = turn[:, high > 1e-3] / np.sqrt(high[high > 1e-3])
 
     names = sorted({u for us in [*toxic, *clean] for u in us})
     index = {u: i for i, u in enumerate(names)}
     parts = [strings.windows(u) for u in names]
-    sims = strings.similarities([w for ps in parts for w in ps], marks)
+    sims = strings.similarities([w for ps in parts for w in ps], prepared)
     starts = np.cumsum([0, *map(len, parts)])[:-1]
     # The window with the strongest landmark stands for a unit.
     order = np.lexsort((sims.max(axis=1), np.repeat(np.arange(len(names)), np.diff([*starts, len(sims)]))))
@@ -166,7 +184,7 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
     bad = np.flatnonzero(seen)
     frequent = bad[np.argsort(-seen[bad], kind="stable")][: NEGATIVES // 2]
     # Besides a witness of each toxic text, units that only toxic texts have and that have a telling piece are positive.
-    plain = np.flatnonzero((seen == 0) & (tell >= SURPRISE))
+    plain = np.flatnonzero((seen == 0) & (tell > 0))
     witness, value = np.array([us[tell[us].argmax()] for us in own]), tell
     for _ in range(6):
         hard = bad[np.argsort(-value[bad], kind="stable")][: NEGATIVES // 2]
@@ -207,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([sorted(units_of(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))], ["doc_id", "toxic", "units"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(units_of(batch.column("text")), pa.list_(pa.string()))], ["doc_id", "toxic", "units"])
 
     got = rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, units array<string>").toArrow().sort_by("doc_id")
     by: dict[int, list] = {0: [], 1: []}
@@ -225,27 +243,23 @@ def rate(docs: DataFrame, model: Model | None) -> DataFrame:
         token = model.weights.tobytes() + repr(model.landmarks).encode()
         if token not in _known:
             _known.clear()
-        known = _known.setdefault(token, {})
+        known, marks = _known.setdefault(token, {}), strings.Landmarks(model.landmarks)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 text = part.column("text")
-                lists = pc.ascii_split_whitespace(text)
-                ends = lists.offsets.to_numpy()
-                found = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-                chunks = found.dictionary.to_pylist()
+                of, ends, names = units(text)
                 if len(known) > CACHE_UNITS:
                     known.clear()
-                units = [unit(c) for c in chunks]
-                new = sorted({u for u in units if u not in known and len(u) >= strings.ORDER})
-                known.update(zip(new, values(model, new).tolist(), strict=True))
-                value = np.array([known.get(u, _NOTHING) for u in units] or [_NOTHING])
+                new = [u for u in names if u not in known and len(u) >= strings.ORDER]
+                known.update(zip(new, values(model, new, marks).tolist(), strict=True))
+                value = np.array([known.get(u, _NOTHING) for u in names] or [_NOTHING])
                 top = np.full(part.num_rows, _NOTHING)
                 some = np.flatnonzero(np.diff(ends))
                 if len(some):
-                    top[some] = np.maximum.reduceat(value[found.indices.to_numpy()], ends[:-1][some] - ends[0])
+                    top[some] = np.maximum.reduceat(value[of], ends[:-1][some])
                 for i in pc.indices_nonzero(pc.match_substring_regex(text, _SPELLED)).to_pylist():
                     if runs := spelled(text[i].as_py()):
-                        top[i] = max(top[i], values(model, runs).max())
+                        top[i] = max(top[i], values(model, runs, marks).max())
                 score = 1 / (1 + np.exp(-np.clip(model.slope * top + model.shift, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score)], ["doc_id", "held_out", "score"])
 

@@ -75,6 +75,7 @@ def rows_of(spark, texts, **extra):
 
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_IDS", 30)
+    monkeypatch.setattr(token_files, "FILE_SEGMENTS", 2)
     texts = [*ODD, None, "very long " * 5000]
     docs, path = rows_of(spark, texts), new_path(spark, "t")
     token_files.write(docs, path, vocabulary(NAMES[0]), 1)
@@ -87,6 +88,63 @@ def test_token_files(spark, monkeypatch):
         start += len(ids)
 
 
+def test_token_files_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 40)
+    monkeypatch.setattr(token_files, "FILE_SEGMENTS", 3)
+    rows = [(None if i % 3 == 0 else i % 7, f"text number {i // 2} of many") for i in range(400)]
+    path = new_path(spark, "t")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), path, vocabulary(NAMES[0]), 1)
+    got = sorted(token_files.digest(spark, path).collect(), key=lambda r: r["start"])
+    ids = [(d, (*e, 1)) for (d, _), e in zip(rows, expected(NAMES[0], [t for _, t in rows]))]
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((d, len(x), bpe.crc(np.array(x))) for d, x in ids)
+    keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert keys == sorted(keys) and [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
+
+
+def test_other_vocabularies_get_whole_texts(tmp_path):
+    import json
+
+    spec = json.load(open(vocabulary(NAMES[1]), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    with bpe.encoder(path) as enc:
+        assert enc.kind == "" and [bpe._kind(vocabulary(n)) for n in NAMES] == ["word", "byte"]
+        flat, starts = enc.encode(pa.array([*ODD, None]))
+        want = [e.ids for e in enc.tokenizer.encode_batch([*ODD, ""], add_special_tokens=False)]
+    assert [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == want
+
+
+def fewest(lengths, limit):
+    """The fewest bins that hold all lengths, by trying every way."""
+    best = [len(lengths)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(bins)
+            return
+        for i in {b: i for i, b in enumerate(bins)}.values():
+            if bins[i] + lengths[k] <= limit:
+                place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_packings_against_the_best():
+    rng, over = random.Random(5), 0
+    for _ in range(150):
+        lengths = sorted((rng.randint(2, 19) for _ in range(rng.randint(1, 10))), reverse=True)
+        found = packing.local_search(packing.best_fit(dict(Counter(lengths)), 20), 20).total()
+        best = fewest(lengths, 20)
+        assert best <= found <= best + 1
+        over += found > best
+    assert over <= 3
+
+
 def test_token_files_of_nothing(spark):
     path = new_path(spark, "t")
     token_files.write(rows_of(spark, []), path, vocabulary(NAMES[0]), 1)

@@ -10,11 +10,13 @@ from __future__ import annotations
 import gc
 import json
 import re
+import string
 import threading
 import time
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ CACHE_WORDS = 250_000
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 _WORD = rf"\A ?{_LETTERS}\z"
-_MARKS = ".,;:!?"
+#: A run of these after a word is one pre-token.
+_MARKS = string.punctuation
 IDLE_SECONDS = 4
 _encoders: dict[str, "Encoder"] = {}
 _lock, _users, _last = threading.Lock(), 0, [0.0]
@@ -58,7 +61,7 @@ def _kind(path: str) -> str:
     parts = spec.get("normalizer"), spec.get("pre_tokenizer")
     plain = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
     for t in spec.get("added_tokens") or []:  # they are found before texts are cut into pre-tokens
-        plain = plain and not (re.search(r"\s", t["content"]) or re.fullmatch(rf"{_LETTERS}[{_MARKS}]*", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"])
+        plain = plain and not (re.search(r"\s", t["content"]) or re.fullmatch(rf"(?:{_LETTERS})?[{re.escape(_MARKS)}]*", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"])
     return ("byte" if parts == _BYTE_KIND else "word" if parts == _WORD_KIND else "") if plain else ""
 
 
@@ -122,30 +125,25 @@ class Encoder:
         self.kind = _kind(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.spelled = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(128, 256)}
         self.known = _Known()
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> list[int]:
-        if not word.isascii():
-            word = "".join(map(self.letters.__getitem__, word.encode()))
-        elif word[0] == " ":
-            word = self.letters[32] + word[1:]
-        elif word == "\n":
-            word = self.letters[10]
-        return [t.id for t in self.model.tokenize(word)]
-
-    def _entries(self, names: list[str], simple: np.ndarray) -> np.ndarray:
-        """The entry of each name; unknown ones are encoded, as a pre-token or (not simple) as a text."""
-        get = self.known.at.get
-        out = np.fromiter((get(x, -1) for x in names), np.int64, len(names))
+    def _lists(self, names: list[str], plain: list[bool]) -> list[list[int]]:
+        tokenize, spelled = self.model.tokenize, self.spelled
+        return [[t.id for t in tokenize(x)] if p else self._whole(x[1:]) if x[0] == "\0" else [t.id for t in tokenize(x.translate(spelled))] for x, p in zip(names, plain, strict=True)]
+
+    def _entries(self, names: list[str], plain: np.ndarray) -> np.ndarray:
+        """The entry of each name as in _chunks; unknown ones are encoded. plain: of those that the model spells as they are."""
+        out = np.fromiter(map(self.known.at.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(out < 0)
         for k in range(0, len(new), 1 << 14):
             part = new[k : k + (1 << 14)]
             fresh = [names[i] for i in part.tolist()]
             out[part] = np.arange(self.known.n, self.known.n + len(fresh))
-            self.known.add(fresh, [self._word(x) if s else self._whole(x) for x, s in zip(fresh, simple[part].tolist(), strict=True)])
+            self.known.add(fresh, self._lists(fresh, plain[part].tolist()))
         return out
 
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,24 +153,26 @@ class Encoder:
         body = chunks if self.kind == "word" else pc.utf8_ltrim(chunks, characters="\n")
         word = pc.utf8_rtrim(body, characters=_MARKS)
         tail, lead = size(body) - size(word), size(chunks) - size(body)
-        simple = truth(pc.match_substring_regex(word, _WORD)) & (tail <= 1) & (lead <= 1)
-        names = pc.if_else(pa.array(simple), pc.utf8_lower(word) if self.kind == "word" else word, chunks).dictionary_encode()
+        simple = truth(pc.match_substring_regex(word, _WORD)) & (lead <= 1)
+        ascii_ = truth(pc.string_is_ascii(word)) & simple
+        # A word is named as its vocabulary spells it; what isn't a word has a mark before it that no chunk holds.
+        word = pc.utf8_lower(word) if self.kind == "word" else pc.replace_substring(word, " ", self.letters[32])
+        other = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), chunks, pa.scalar("", pa.large_string()))
+        names = pc.if_else(pa.array(simple), word, other).dictionary_encode()
         places = names.indices.to_numpy()
-        distinct = names.dictionary.to_pylist()
+        distinct = names.dictionary.to_numpy(zero_copy_only=False).tolist()
         plain = np.zeros(len(distinct), bool)
-        plain[places] = simple
+        plain[places] = ascii_
         if len(self.known.at) > CACHE_WORDS:
             self.known.only([x for x in distinct if x in self.known.at])
         own = self._entries(distinct, plain)[places]
-        marks = self._entries(list(_MARKS), np.ones(len(_MARKS), bool))
-        newline = self._entries(["\n"], np.ones(1, bool))[0] if self.kind == "byte" else 0
-        by_byte = np.zeros(256, np.int64)
-        by_byte[list(_MARKS.encode())] = marks
+        newline = self._entries([self.letters[10]], np.ones(1, bool))[0] if self.kind == "byte" else 0
         ended = np.zeros(len(chunks), np.int64)
-        with_mark = np.flatnonzero(simple & (tail == 1))
-        if len(with_mark):
-            ends = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset + 1 : chunks.offset + 1 + len(chunks)]
-            ended[with_mark] = by_byte[np.frombuffer(chunks.buffers()[2], np.uint8)[ends[with_mark] - 1]]
+        marked = np.flatnonzero(simple & (tail > 0))
+        if len(marked):
+            ends = [c[-n:] for c, n in zip(chunks.take(pa.array(marked)).to_numpy(zero_copy_only=False), tail[marked].tolist(), strict=True)]
+            runs = {x: i for i, x in enumerate(dict.fromkeys(ends))}
+            ended[marked] = self._entries([*runs], np.ones(len(runs), bool))[[runs[x] for x in ends]]
         entries = np.stack([np.where(simple & (lead == 1), newline, 0), own, ended], axis=1)
         flat, sizes = _gather(self.known.flat, self.known.starts, self.known.lengths, entries.ravel())
         return flat, sizes.reshape(-1, 3).sum(axis=1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +14,18 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 
+#: Folders of the scratch() blocks that are open, the innermost last.
+_open: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is unset a fresh one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else the context's checkpoint folder. Where
+    neither is set, a session on one machine gets a fresh one; on a cluster that would be a folder of each machine's own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="yieldloom-")
-        spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -26,20 +34,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What materialize() writes within the block is deleted at its end, but for what is asked to outlive it."""
+    _open.append(new_path(spark, "scratch"))
+    try:
+        yield
+    finally:
+        drop_path(spark, _open.pop())
+
+
+def materialize(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, name)
+    folders = _open[:-1] if outlive else _open
+    path = f"{folders[-1]}/{name}-{uuid.uuid4().hex}" if folders else new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that have ended; else they stay until the driver happens to collect its
-    garbage, which small plans rarely make it do."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system once nothing reads it."""
     jvm = spark.sparkContext._jvm
@@ -47,6 +59,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that have ended; else they stay until the driver happens to collect its
+    garbage, which small plans rarely make it do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

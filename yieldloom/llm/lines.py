@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import materialize, release, shuffle_partitions
+from yieldloom.llm.common import materialize, release, scratch, shuffle_partitions
 
 #: Words of the shortest line that may be near another.
 WORDS = 5
@@ -122,7 +122,7 @@ def _near(lines: DataFrame) -> DataFrame:
 
 def _places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the first place of each distinct line with words, those of them that are near an earlier line). docs: keyed, with text."""
-    first = materialize(_distinct_lines(docs), "first")
+    first = materialize(_distinct_lines(docs), "first", outlive=True)
 
     # An end of two different lines at least; a chance collision of hashes only lets a line through to the next step.
     own = first.filter("e1 is not null").select(*_PLACE, F.posexplode(F.concat("e1", F.coalesce("e2", F.array().cast("array<bigint>")))).alias("kind", "end"))
@@ -134,13 +134,14 @@ def _places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = texts.select(*_KEY, F.inline(wanted)).select(*_PLACE, "kinds", _words(F.col("raw")).alias("words"))
     lines = materialize(lines.dropDuplicates(_PLACE), "candidates")
     release(docs.sparkSession)
-    return first.select(*_PLACE), materialize(_near(lines), "near")
+    return first.select(*_PLACE), materialize(_near(lines), "near", outlive=True)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs, with the text that remains, n_lines (of the text as it was) and n_dropped."""
     keyed = _keyed(docs)
-    first, near = _places(keyed.select(*_KEY, "text"))
+    with scratch(docs.sparkSession):
+        first, near = _places(keyed.select(*_KEY, "text"))
     release(docs.sparkSession)
     marked = first.select("*", F.lit(True).alias("stays")).unionByName(near.select("*", F.lit(False).alias("stays")))
     stays = F.array_except(F.collect_list(F.when(F.col("stays"), F.col("__line"))), F.collect_list(F.when(~F.col("stays"), F.col("__line"))))

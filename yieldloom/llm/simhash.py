@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.llm import graph, words
-from yieldloom.llm.common import materialize, slices, text_of
+from yieldloom.llm.common import materialize, release, scratch, slices, text_of
 
 #: Fingerprints at a grid point beyond which it is refined.
 CROWD = 48
@@ -101,10 +101,11 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach, itself included)."""
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = graph.components(links(classes.select("fp")))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialize(named, "named")
+    with scratch(docs.sparkSession):
+        classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+        roots = graph.components(links(classes.select("fp")))
+        named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        named = materialize(named, "named", outlive=True)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(ids, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -115,11 +116,12 @@ def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
     (see jaccard) one row, of those with the smallest doc_id; a row without an id stays only if its group has none."""
     from yieldloom.llm import jaccard
 
-    near = materialize(jaccard.groups(docs, shingle), "near")
-    # Of one doc_id, other texts may belong to other groups: a row is named by its id and text.
-    rows = near.groupBy("root", "doc_id", "t").agg(F.count("*").alias("k"))
-    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "k")).alias("m"))
-    stays = materialize(least.select(F.col("m.doc_id").alias("__stay"), F.col("m.t").alias("__t"), "m.k"), "stays")
+    with scratch(docs.sparkSession):
+        # Of one doc_id, other texts may belong to other groups: a row is named by its id and text.
+        rows = jaccard.groups(docs, shingle).groupBy("root", "doc_id", "t").agg(F.count("*").alias("k"))
+        least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "k")).alias("m"))
+        stays = materialize(least.select(F.col("m.doc_id").alias("__stay"), F.col("m.t").alias("__t"), "m.k"), "stays", outlive=True)
+    release(docs.sparkSession)
     repeated, stays = stays.filter("k > 1").drop("k"), stays.drop("k")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = F.col("__stay").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__t") == F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -77,4 +77,4 @@ def test_streamed_batches_are_judged_once(spark, tmp_path):
     t = [datetime(2026, 1, d) for d in (1, 2, 3)]
     state = spark.createDataFrame([("a", t[1], t[1], 1)], "SN string, first_time timestamp, Time timestamp, overall_result int")
     batch = spark.createDataFrame([("a", t[2], 0), ("a", t[0], 1), ("b", t[0], 0)], "SN string, Time timestamp, overall_result int")
-    assert sorted(map(tuple, merge_latest(state, batch).collect())) == [("a", t[0], t[2], 0), ("b", t[0], t[0], 0)]
+    assert sorted(map(tuple, merge_latest(state, batch, ["overall_result"]).collect())) == [("a", t[0], t[2], 0), ("b", t[0], t[0], 0)]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from yieldloom.config import HEADER_ALIASES, METADATA, MIGRATION_FILL, REQUIRED_METADATA
 from yieldloom.functions.columns import missing, safe_float, safe_text, safe_timestamp
+from yieldloom.sources import files
 
 TEXT_COLUMNS = ("SN", "Line", "Project", "Vendor")
 
@@ -71,16 +73,54 @@ def clean(df: DataFrame) -> DataFrame:
     return df.filter(~dirty())
 
 
-def clean_table(spark, path: str, target: str, dry_run: bool = False) -> dict:
-    """Inspect a Parquet table and, unless dry_run, write its clean rows to another path."""
+def rewrite(df: DataFrame, target: str) -> None:
+    """Write df in the place of target, which may be what df reads: it is written beside it and moved there when it is whole."""
+    spark = df.sparkSession
+    new = f"{target.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(new)
+        files.replace(spark, new, target.rstrip("/"))
+    finally:
+        files.remove(spark, new)
+
+
+def clean_table(spark: SparkSession, path: str, target: str | None = None, dry_run: bool = False) -> dict:
+    """Inspect a Parquet table and, unless dry_run, write its clean rows to another path or in its own place (a file becomes a
+    folder of that name). A table without dirty rows is left as it is in its own place."""
+    if not files.exists(spark, path):
+        raise FileNotFoundError(path)
     df = spark.read.parquet(path)
     row = inspect(df).first()
     per_column = {c: row[f"{c.lower()}_missing"] for c in REQUIRED_METADATA}
-    if not dry_run:
-        clean(df).write.mode("overwrite").parquet(target)
+    target = target or path
+    if not dry_run and (row["invalid_total"] or target.rstrip("/") != path.rstrip("/")):
+        rewrite(clean(df), target)
     return {"path": path, "total_rows": row["total"], "removed": row["invalid_total"], "remaining": row["total"] - row["invalid_total"], "per_column": per_column, "dry_run": dry_run}
 
 
+def clean_tables(spark: SparkSession, pattern: str, dry_run: bool = False) -> list[dict]:
+    """clean_table in place for each table that a glob pattern names, in order."""
+    return [clean_table(spark, path, dry_run=dry_run) for path in files.matching(spark, pattern)]
+
+
+def totals(results: list[dict]) -> dict:
+    """The sums of several tables' results."""
+    per_column = {c: sum(r["per_column"][c] for r in results) for c in REQUIRED_METADATA}
+    return {"files": len(results), **{k: sum(r[k] for r in results) for k in ("total_rows", "removed", "remaining")}, "per_column": per_column}
+
+
+def migrate_table(spark: SparkSession, path: str, archive: str) -> str:
+    """Rename a table's old columns in place, after a copy of it as it was has been put into the archive folder; the copy's path."""
+    if not files.exists(spark, path):
+        raise FileNotFoundError(path)
+    kept = f"{archive.rstrip('/')}/{path.rstrip('/').rsplit('/', 1)[-1]}"
+    if files.exists(spark, kept):
+        kept += f"-{uuid.uuid4().hex}"
+    spark.read.parquet(path).write.parquet(kept)
+    rewrite(migrate(spark.read.parquet(path)), path)
+    return kept
+
+
 def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.dropna(how="all", subset=["SN", "Time"])
 

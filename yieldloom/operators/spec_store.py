@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldloom.config import UNBOUNDED
+from yieldloom.sources import files, tables
 
 VERSIONS = "version_id string, source_file string, imported_at timestamp_ntz, is_active boolean, description string"
 LIMITS = "id string, version_id string, fai_name string, lower_limit double, upper_limit double, nominal double"
@@ -79,39 +81,86 @@ def _number(x) -> float | None:
 
 
 class SpecStore:
-    """The two tables as Parquet below a folder. A change writes a new copy beside the old and then points to it."""
+    """The two tables as Parquet below a folder. A change writes a new copy beside the old, and then a pointer to both
+    tables' copies; another store on the folder reads the newest pointer. Changes are made by one process at a time."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.tables = {"versions": spark.createDataFrame([], VERSIONS), "limits": spark.createDataFrame([], LIMITS)}
+        self.kinds = {"versions": VERSIONS, "limits": LIMITS}
+        self.paths: dict[str, str] = {}
+        newest = max(files.names(spark, self.folder, "current-*.json"), default=None)
+        self.turn = 0
+        if newest:
+            self.turn = int(newest.removeprefix("current-").removesuffix(".json"))
+            self.paths = json.loads(files.head(spark, f"{self.folder}/{newest}"))
+
+    def _table(self, name: str) -> DataFrame:
+        if name in self.paths:
+            return self.spark.read.schema(self.kinds[name]).parquet(f"{self.folder}/{self.paths[name]}")
+        return self.spark.createDataFrame([], self.kinds[name])
 
     @property
     def versions(self) -> DataFrame:
-        return self.tables["versions"]
+        return self._table("versions")
 
     @property
     def limits(self) -> DataFrame:
-        return self.tables["limits"]
+        return self._table("limits")
 
-    def _put(self, name: str, df: DataFrame) -> None:
-        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.tables[name] = self.spark.read.schema(df.schema).parquet(path)
+    def _put(self, **tables: DataFrame) -> None:
+        """New copies of the named tables, and then the pointer: a reader sees all of a change or nothing."""
+        paths = dict(self.paths)
+        for name, df in tables.items():
+            paths[name] = f"{name}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.folder}/{paths[name]}")
+        files.put(self.spark, f"{self.folder}/current-{self.turn + 1:012d}.json", json.dumps(paths).encode())
+        self.turn, self.paths = self.turn + 1, paths
 
     def create(self, source: str, description: str = "", at: datetime | None = None) -> str:
         version = str(uuid.uuid4())
-        self._put("versions", self.versions.unionByName(self.spark.createDataFrame([(version, source, at or datetime.now(), False, description)], VERSIONS)))
+        self._put(versions=self.versions.unionByName(self._version(version, source, description, at)))
         return version
 
+    def _version(self, version: str, source: str, description: str, at: datetime | None) -> DataFrame:
+        return self.spark.createDataFrame([(version, source, at or datetime.now(), False, description)], VERSIONS)
+
+    def _limits(self, version: str, rows: list[tuple]) -> DataFrame:
+        return self.limits.filter(F.col("version_id") != version).unionByName(self.spark.createDataFrame([(str(uuid.uuid4()), version, *r) for r in rows], LIMITS))
+
     def save_limits(self, version: str, rows: list[tuple]) -> int:
-        new = self.spark.createDataFrame([(str(uuid.uuid4()), version, *r) for r in rows], LIMITS)
-        self._put("limits", self.limits.filter(F.col("version_id") != version).unionByName(new))
+        self._put(limits=self._limits(version, rows))
         return len(rows)
 
     def activate(self, version: str) -> None:
         if self.versions.filter(F.col("version_id") == version).isEmpty():
             raise ValueError(f"no version {version}")
-        self._put("versions", self.versions.withColumn("is_active", F.col("version_id") == version))
+        self._put(versions=self.versions.withColumn("is_active", F.col("version_id") == version))
+
+    def load(self, data: bytes, source: str, description: str = "", sheet: str = "Spec", use: bool = True, at: datetime | None = None) -> str:
+        """A workbook's specification as a new version: read, checked, saved and (use) made the active one, as one change.
+        Faults raise ValueError and change nothing."""
+        header, rows = tables.read_sheet(data, sheet)
+        limits = [(name, lower, upper, mid) for name, upper, mid, lower in ((n, *(_number(x) for x in rest)) for n, *rest in tables.spec_rows(header, rows))]
+        if not limits:
+            raise ValueError(f"{source}: no limits in sheet {sheet}")
+        frame = self.spark.createDataFrame([(k, *r) for k, r in enumerate(limits, 1)], "row int, fai_name string, lower_limit double, upper_limit double, nominal double")
+        faults = [f"row {r['row']}: {r['error']}" for r in validate(frame).orderBy("row", "error").collect()]  # a specification has some hundred rows
+        if faults:
+            raise ValueError(f"{source}: " + "; ".join(faults))
+        version = str(uuid.uuid4())
+        versions = self.versions.unionByName(self._version(version, source, description, at))
+        if use:
+            versions = versions.withColumn("is_active", F.col("version_id") == version)
+        self._put(versions=versions, limits=self._limits(version, limits))
+        return version
+
+    def names(self, version: str) -> list[str]:
+        """The dimensions that a version has limits for, in order."""
+        return [r["fai_name"] for r in self.limits.filter(F.col("version_id") == version).select("fai_name").distinct().orderBy("fai_name").collect()]
+
+    def active_version(self) -> str | None:
+        row = self.versions.filter("is_active").orderBy(F.col("imported_at").desc_nulls_last(), "version_id").first()
+        return row["version_id"] if row else None
 
     def active_limits(self) -> dict[str, tuple[float | None, float | None]]:
         return {r["fai_name"]: (r["lower_limit"], r["upper_limit"]) for r in active(self.versions, self.limits).collect()}  # some hundred rows

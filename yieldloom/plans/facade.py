@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 
 from yieldloom.operators.filters import Filters
 from yieldloom.plans import rectification, yields
+from yieldloom.sources import tables
+
+
+Source = Callable[[], DataFrame]
+_default: list[Source] = []
+
+
+def set_default_source(source: Source | None) -> None:
+    """What DashboardQueries reads where it is given nothing: a function that returns the judged table. None: nothing again."""
+    _default[:] = [source] if source else []
+
+
+def folder_source(spark: SparkSession, folder: str, mapper: Mapper | None = None) -> Source:
+    """The judged batches of a folder, and of those that come later; mapper: their columns under this package's names."""
+    return lambda: mapped(tables.judged(spark, f"{folder.rstrip('/')}/judged_*"), mapper or {})
+
+
+Mapper = Mapping[str, str]
+
+
+def mapped(df: DataFrame, mapper: Mapper) -> DataFrame:
+    """Columns of another naming by this package's names; others stay."""
+    return df.withColumnsRenamed({old: new for new, old in mapper.items()})
+
+
+def query_tables(spark: SparkSession, sql: str, **paths: str) -> DataFrame:
+    """Spark SQL over Parquet tables by the names given."""
+    return spark.sql(sql, **{name: spark.read.parquet(path) for name, path in paths.items()})
 
 
 class DashboardQueries:
-    """tie: the columns that decide between equal times of a unit."""
+    """tie: the columns that decide between equal times of a unit. judged: the table, a function that returns it at each question,
+    or nothing for the default source."""
+
+    def __init__(self, judged: DataFrame | Source | None = None, tie: list | None = None):
+        if judged is None and not _default:
+            raise ValueError("no judged table and no default source")
+        self.source, self.tie = judged if judged is not None else _default[0], tie or []
 
-    def __init__(self, judged: DataFrame, tie: list):
-        self.judged, self.tie = judged, tie
+    @property
+    def judged(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
 
     def get_summary(self, line: str | None = None) -> DataFrame:
         return yields.summary(self.judged, Filters(line=line))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from yieldloom.functions import columns as C
 from yieldloom.operators import cleaning, filters, spec_store
 from yieldloom.operators.filters import Filters
+from yieldloom.operators.judge import judge
 from yieldloom.plans import defects, rectification, report, views, yields
 from yieldloom.plans.views import EVENT_TIE, EVENTS_SQL, ITEM_TIE, ITEMS_SQL, LATEST_SQL
 from yieldloom.sources import tables
@@ -62,6 +63,36 @@ query("j_batch_summary", f"WITH {ITEMS_SQL} SELECT count(*) AS total_rows, CAST(
     lambda s, d: views.items(s, d).agg(F.count(F.lit(1)).alias("total_rows"), F.sum(F.col("overall_result").cast("bigint")).alias("ng_count")).select("total_rows", "ng_count", (F.col("total_rows") - F.col("ng_count")).alias("ok_count"), C.round2((F.col("total_rows") - F.col("ng_count")) / F.col("total_rows"), 4).alias("yield_rate"))
 )
 
+#: More dimensions than plain columns are made for: the batches of numpy judge them.
+WIDE_COLUMNS = 60
+
+
+def _wide_limits() -> dict[str, tuple[float | None, float | None]]:
+    """A lower limit, an upper one, both or none, in turn."""
+    return {f"FAI{k:03d}": ((float(k), None), (None, 400.0 - k), (5.0 + k, 300.0), (None, None))[k % 4] for k in range(1, WIDE_COLUMNS + 1)}
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events")
+    measured = [F.when((F.col("event_id") + k) % 13 != 0, F.col("value") * (1 + k % 3)).alias(f"FAI{k:03d}") for k in range(1, WIDE_COLUMNS + 1)]
+    out = judge(e.select("event_id", F.col("user_id").cast("string").alias("SN"), *measured), _wide_limits(), "w", views.JUDGED_AT)
+    return out.select("event_id", "SN", *[c for c in out.columns if c.endswith("_result")])
+
+
+def _wide_sql() -> str:
+    verdicts = []
+    for name, (low, high) in _wide_limits().items():
+        k = int(name[3:])
+        v = f"(CASE WHEN (event_id + {k}) % 13 <> 0 THEN value * {1 + k % 3} END)"
+        tests = [f"{v} >= {low}" if low is not None else "", f"{v} <= {high}" if high is not None else ""]
+        if any(tests):
+            verdicts.append(f"CAST(CASE WHEN {v} IS NULL OR isnan({v}) OR ({' AND '.join(t for t in tests if t)}) THEN 0 ELSE 1 END AS TINYINT) AS {name}_result")
+    names = ", ".join(v.rsplit(" ", 1)[1] for v in verdicts)
+    return f"SELECT *, greatest({names}) AS overall_result FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS SN, {', '.join(verdicts)} FROM events)"
+
+
+query("j_judge_wide", _wide_sql())(_wide)
+
 # --- yields
 on_events("a01_summary", f"SELECT {YIELD} FROM J", yields.summary)
 on_events("a01_summary_line", f"SELECT {YIELD} FROM J WHERE Line = 'click'", lambda j: yields.summary(j, Filters(line="click")))
@@ -91,6 +122,19 @@ on_events("f13_last_days", f"SELECT * FROM (SELECT {DAY} AS production_day, {YIE
 on_events("f2_date_range", f"SELECT {YIELD} FROM J WHERE Time >= TIMESTAMP '2024-01-05' AND Time < TIMESTAMP '2024-01-12'", lambda j: yields.summary(j, Filters(start="2024-01-05", end="2024-01-11")))
 on_events("jn3_gap_filled", f"SELECT {FIRST_DAY} AS production_day, count(*) AS total, CAST(sum(1 - overall_result) AS BIGINT) AS ok_count, round(sum(1 - overall_result) * 100.0 / count(*), 2) AS yield_pct FROM L GROUP BY 1", lambda j: yields.gap_filled(yields.regression_daily(j, EVENT_TIE), yields.daily(j)), LATEST_SQL)
 
+
+
+def _zero_days(days: DataFrame, column: str, every: int) -> DataFrame:
+    """Days as if every so many had no collapsed unit at all (and, with two, no plain one either)."""
+    off = F.day("production_day") % every == 0
+    return days.withColumns({c: F.when(off, F.lit(0).cast(days.schema[c].dataType)).otherwise(F.col(c)) for c in ("total", "ok_count", column)})
+
+
+on_events("jn3_zero_days", f"""SELECT production_day, CASE WHEN z THEN p_total ELSE total END AS total, CASE WHEN z THEN p_ok ELSE ok_count END AS ok_count, CASE WHEN z THEN p_pct ELSE yield_pct END AS yield_pct FROM
+ (SELECT *, day(production_day) % 3 = 0 AS z FROM (SELECT {FIRST_DAY} AS production_day, {YIELD} FROM L GROUP BY 1)) LEFT JOIN
+ (SELECT production_day, CASE WHEN day(production_day) % 6 = 0 THEN 0 ELSE total END AS p_total, CASE WHEN day(production_day) % 6 = 0 THEN 0 ELSE ok_count END AS p_ok, yield_pct AS p_pct FROM (SELECT {DAY} AS production_day, {YIELD} FROM J WHERE Time IS NOT NULL GROUP BY 1)) USING (production_day)
+ WHERE CASE WHEN z THEN p_total ELSE total END > 0""", lambda j: yields.gap_filled(_zero_days(yields.regression_daily(j, EVENT_TIE), "yield_pct", 3), _zero_days(yields.daily(j), "yield_pct", 6)), LATEST_SQL)
+
 # --- units' rows
 _CORE = "SN, Line, first_prod_time AS Time, Project, Vendor, overall_result"
 _EVERY = LATEST_SQL.replace(" WHERE Time IS NOT NULL", "").replace("Time DESC,", "Time DESC NULLS LAST,")
@@ -187,6 +231,7 @@ query("s1_union_by_name", events_sql("SELECT event_id, SN, try_cast(CASE WHEN ev
 query("s17_unjudged", "SELECT DISTINCT event_type AS batch_id FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id < 2)")(
     lambda s, d: tables.unjudged(views.table(s, d, "events").withColumnRenamed("event_type", "batch_id"), views.table(s, d, "events").filter("event_id < 2").withColumnRenamed("event_type", "batch_id"))
 )
+# Above, the batches of the first two events stand for those that are judged.
 query("s5_s6_row_count", "SELECT count(*) AS n, CAST(greatest(1, ceil(count(*) / 25000.0)) AS BIGINT) AS chunks FROM lineitem")(
     lambda s, d: views.table(s, d, "lineitem").agg(F.count(F.lit(1)).alias("n")).select("n", F.greatest(F.lit(1), F.ceil(F.col("n") / 25000)).cast("bigint").alias("chunks"))
 )
@@ -196,6 +241,7 @@ query("s5_s6_row_count", "SELECT count(*) AS n, CAST(greatest(1, ceil(count(*) /
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nation = views.table(spark, sf_dir, "nation")
     v = nation.select(F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("version_id"), F.col("n_name").alias("source_file"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("n_nationkey").cast("int"), hours=F.col("n_regionkey").cast("int"))).alias("imported_at"), (F.col("n_nationkey") % 4 == 1).alias("is_active"), F.lit("").alias("description"))
+    # Every fifth nation stands for a version without limits, which p5_versions must count as none.
     supplier = views.table(spark, sf_dir, "supplier").filter("s_nationkey % 5 <> 0")
     lim = supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("v"), F.col("s_nationkey").cast("string")).alias("version_id"), F.concat(F.lit("FAI"), F.col("s_suppkey").cast("string")).alias("fai_name"), F.lit(-1.0).alias("lower_limit"), F.col("s_acctbal").cast("double").alias("upper_limit"), F.lit(0.0).alias("nominal"))
     return v, lim

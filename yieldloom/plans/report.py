@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from datetime import datetime
 from pathlib import Path
 
@@ -17,6 +19,7 @@ SHEETS = ("每日良率", "每日TOP不良")
 YIELD_HEADINGS = ("日期", "总数", "OK", "NG", "良率(%)", "可整改", "预计OK", "整改后良率(%)")
 DEFECT_HEADINGS = ("日期", "排名", "FAI", "NG数", "总数", "不良率(%)")
 CSV_ENCODING = "utf-8-sig"
+SHEET_ROWS = 1_048_576
 
 
 def daily_tables(judged: DataFrame, tie: list, regression: bool, top: int = 10, filters: Filters = yields.ALL) -> tuple[DataFrame, DataFrame]:
@@ -35,23 +38,41 @@ def report_bytes(judged: DataFrame, tie: list, regression: bool, top: int = 10,
     return workbook.write([(SHEETS[0], first), (SHEETS[1], second)])
 
 
-def rows_bytes(df: DataFrame, sheet: str = "RegressionRawdata") -> bytes:
-    """A result that fits a sheet, as a workbook."""
-    return workbook.write([(sheet, [df.columns, *[[*r] for r in df.collect()]])])
+def _few(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write them as files instead")
+    return rows
+
+
+def rows_bytes(df: DataFrame, sheet: str = "RegressionRawdata", most: int = SHEET_ROWS - 1) -> bytes:
+    """A result as a workbook; more rows than a sheet holds are an error."""
+    return workbook.write([(sheet, [df.columns, *[[*r] for r in _few(df, most)]])])
+
+
+def export_report(judged: DataFrame, tie: list, folder: str, regression: bool, top: int = 10, filters: Filters = yields.ALL, stamp: str | None = None) -> str:
+    """One report's workbook in a folder of the driver; its path."""
+    path = Path(folder, f"{'daily_report_regression' if regression else 'daily_report'}_{stamp or f'{datetime.now():%Y%m%d_%H%M%S}'}.xlsx")
+    path.write_bytes(report_bytes(judged, tie, regression, top, filters))
+    return str(path)
 
 
 def export_both(judged: DataFrame, tie: list, folder: str, top: int = 10) -> tuple[str, str]:
-    stamp, out = datetime.now().strftime("%Y%m%d_%H%M%S"), []
-    for name, regression in (("daily_report", False), ("daily_report_regression", True)):
-        path = Path(folder, f"{name}_{stamp}.xlsx")
-        path.write_bytes(report_bytes(judged, tie, regression, top))
-        out.append(str(path))
-    return out[0], out[1]
+    stamp = f"{datetime.now():%Y%m%d_%H%M%S}"
+    return export_report(judged, tie, folder, False, top, stamp=stamp), export_report(judged, tie, folder, True, top, stamp=stamp)
+
+
+def csv_bytes(df: DataFrame, most: int = SHEET_ROWS - 1) -> bytes:
+    """A result as CSV that spreadsheets read; more rows than a sheet holds are an error (see csv_files)."""
+    out = io.StringIO()
+    lines = csv.writer(out, lineterminator="\n")
+    lines.writerows([df.columns, *_few(df, most)])
+    return out.getvalue().encode(CSV_ENCODING)
 
 
-def csv_bytes(df: DataFrame) -> bytes:
-    """A small result as CSV that spreadsheets read."""
-    return df.toPandas().to_csv(index=False).encode(CSV_ENCODING)
+def csv_files(df: DataFrame, path: str) -> None:
+    """A result of any size as a folder of CSV files."""
+    df.write.option("header", True).mode("overwrite").csv(path)
 
 
 def trend_rows(judged: DataFrame, tie: list, filters: Filters = yields.ALL) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import csv
+import re
+import uuid
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yieldloom.config import METADATA, RESULT
 from yieldloom.operators.cleaning import canonical_headers, normalize, raw_schema
-from yieldloom.sources import workbook
+from yieldloom.sources import files, workbook
 
 # Fixed values.
 ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "gb2312", "latin-1")
@@ -31,9 +35,32 @@ def judged(spark: SparkSession, *paths: str) -> DataFrame:
     try:
         return spark.read.option("mergeSchema", True).parquet(*paths)
     except Exception as e:  # types that differ between files cannot be merged
-        if "CANNOT_MERGE_SCHEMAS" not in str(e) or len(paths) < 2:
+        every = [f for p in paths for f in files.matching(spark, p)]
+        if "CANNOT_MERGE_SCHEMAS" not in str(e) or len(every) < 2:
             raise
-        return union_by_name([spark.read.parquet(p) for p in paths])
+        return union_by_name([spark.read.parquet(p) for p in every])
+
+
+def list_batches(spark: SparkSession, folder: str, kind: str = "raw") -> list[tuple[str, str]]:
+    """(batch id, path) of the batches of a kind (raw or judged) in a folder, in order."""
+    found = files.names(spark, folder, f"{kind}_*")
+    return [(n.removeprefix(f"{kind}_").removesuffix(".parquet"), f"{folder.rstrip('/')}/{n}") for n in found]
+
+
+def batch_info(spark: SparkSession, path: str) -> dict:
+    """Rows, columns and dimensions of a batch; only its footers are read."""
+    df = spark.read.parquet(path)
+    meta = {m.lower() for m in METADATA}
+    dimensions = [c for c in df.columns if c.lower() not in meta and not c.endswith(RESULT)]
+    return {"path": path, "rows": df.count(), "columns": len(df.columns), "dimensions": len(dimensions), "names": df.columns}
+
+
+def write_raw(df: DataFrame, folder: str, batch: str | None = None) -> tuple[str, str]:
+    """Write raw rows as a new batch; (its id, its path). A batch of that id that is there already is an error."""
+    batch = batch or f"{datetime.now():%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:6]}"
+    path = f"{folder.rstrip('/')}/raw_{batch}"
+    df.write.option("compression", "snappy").parquet(path)
+    return batch, path
 
 
 def batch_of(df: DataFrame) -> DataFrame:
@@ -67,16 +94,33 @@ def sniff_delimiter(text: str) -> str:
         return ","
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file as raw rows: canonical names and types; broken lines are skipped."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 100_000).alias("c")).first()
-    sample = bytes(head["c"]) if head else b""
+def _csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(the cells of a CSV file, what its beginning says about it). Only quoted line ends in that beginning make Spark read the
+    file in one task; else it is split."""
+    sample = files.head(spark, path, 100_000)
     encoding = sniff_encoding(sample)
     text = sample.decode(encoding, "ignore")
     if encoding.startswith("gb"):  # Spark reads these only when asked to, now and when the plan runs
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    options = {"sep": sniff_delimiter(text), "encoding": "utf-8" if encoding == "utf-8-sig" else encoding, "header": True, "mode": "DROPMALFORMED", "nullValue": "", "multiLine": True, "enforceSchema": False}
-    return normalize(spark.read.options(**options).csv(path))
+    quoted = re.search(r'"[^"\n]*\n[^"]*"(?:\W|$)', re.sub(r'"[^"\n]*"', "", text)) is not None
+    found = {"sep": sniff_delimiter(text), "encoding": "utf-8" if encoding == "utf-8-sig" else encoding, "multiLine": quoted}
+    return spark.read.options(**found, header=True, mode="DROPMALFORMED", nullValue="", enforceSchema=False).csv(path), found
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file as raw rows: canonical names and types; broken lines are skipped."""
+    return normalize(_csv(spark, path)[0])
+
+
+def csv_info(spark: SparkSession, path: str) -> dict:
+    """Encoding, delimiter, canonical header and number of rows of a CSV file."""
+    cells, found = _csv(spark, path)
+    return {"encoding": found["encoding"], "delimiter": found["sep"], "header": canonical_headers(cells.columns), "rows": cells.select(F.lit(1)).count()}
+
+
+def csv_to_parquet(spark: SparkSession, path: str, folder: str, batch: str | None = None) -> tuple[str, str]:
+    """A CSV file as a new raw batch; (its id, its path)."""
+    return write_raw(read_csv(spark, path), folder, batch)
 
 
 def rows_to_raw(spark: SparkSession, header: list, rows: list[list]) -> DataFrame:

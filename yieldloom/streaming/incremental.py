@@ -16,16 +16,21 @@ def judge_new(spark: SparkSession, raw: str, judged: str, checkpoint: str, schem
     return judge(rows, limits, spec_version).writeStream.format("parquet").option("path", judged).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def daily_yield(rows: DataFrame, cutoff: int = 7, late: str = "2 days") -> DataFrame:
-    """A running count by production day; days end as soon as the watermark passes them. Time must be a timestamp."""
-    days = rows.withWatermark("Time", late).groupBy(F.window("Time", "1 day", startTime=f"{cutoff} hours"))
-    return days.agg(F.count(F.lit(1)).alias("total"), F.sum(F.when(F.col("overall_result") == 0, 1).otherwise(0)).alias("ok_count")).select(F.col("window.start").cast("date").alias("production_day"), "total", "ok_count")
-
-
-def merge_latest(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """One row for each SN: first_time, and the row with the last Time, of what was known and what came. For foreachBatch."""
+def daily_yield(rows: DataFrame, cutoff: int = 7, late: str = "2 days", week: bool = False) -> DataFrame:
+    """A running count by production day (or week, from its Monday); each ends as soon as the watermark passes it. Time must be a
+    timestamp."""
+    # Windows are counted from a Thursday, the first day of 1970.
+    window = F.window("Time", "7 days", startTime=f"{4 * 24 + cutoff} hours") if week else F.window("Time", "1 day", startTime=f"{cutoff} hours")
+    days = rows.withWatermark("Time", late).groupBy(window)
+    ok = F.sum(F.when(F.col("overall_result") == 0, 1).otherwise(0)).alias("ok_count")
+    return days.agg(F.count(F.lit(1)).alias("total"), ok).select(F.col("window.start").cast("date").alias("production_week" if week else "production_day"), "total", "ok_count")
+
+
+def merge_latest(state: DataFrame, batch: DataFrame, tie: list[str]) -> DataFrame:
+    """One row for each SN: first_time, and the row with the last Time, of what was known and what came. For foreachBatch.
+    tie: the columns that decide between equal times; the larger wins."""
     own = [c for c in batch.columns if c not in ("SN", "first_time")]
     new = batch.select("SN", F.col("Time").alias("first_time"), *own)
     both = state.select(*new.columns).unionByName(new)
-    last = both.groupBy("SN").agg(F.min("first_time").alias("first_time"), F.max_by(F.struct(*own), F.col("Time")).alias("last"))
+    last = both.groupBy("SN").agg(F.min("first_time").alias("first_time"), F.max_by(F.struct(*own), F.struct("Time", *tie)).alias("last"))
     return last.select("SN", "first_time", "last.*")

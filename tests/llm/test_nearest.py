@@ -41,3 +41,10 @@ def test_few_candidates_are_all_returned(spark):
     assert {i: [j for j, _ in g] for i, g in run(spark, rows).items()} == {0: [1, 2, 3, 4, 5, 6, 7]}
     assert run(spark, {20: [1.0, 2.0]}) == {} and run(spark, {}) == {}
     assert run(spark, {20: [1.0, 2.0], 3: [1.0, 2.0], 1: [1.0, 2.0]})[20] == [(1, 5.0), (3, 5.0)]
+
+
+def test_a_repeated_id_takes_part_once(spark):
+    rows = [(0, [1.0, 0.0], 1.0), (1, [0.5, 0.0], 1.0), (1, [0.25, 9.0], 1.0), (0, [2.0, 1.0], 1.0), (2, [3.0, 0.0], 1.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score double")
+    got = [tuple(r) for r in nearest.search(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 3.0), (0, 2, 1, 0.25)]

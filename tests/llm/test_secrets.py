@@ -57,3 +57,17 @@ def test_only_unseen_blobs_and_rule_versions_are_scanned(spark):
 
 def test_empty_table(spark):
     assert secrets.digest(secrets.findings(*secrets.scan(docs_of(spark).limit(0)))).count() == 0
+
+
+def test_a_ledger_in_a_folder_grows_by_what_is_unseen(spark, tmp_path):
+    docs, path = docs_of(spark), str(tmp_path / "ledger")
+    assert secrets.read_ledger(spark, path) is None
+    secrets.update(docs, path, secrets.BASE)
+    first = secrets.read_ledger(spark, path).count()
+    secrets.update(docs, path, secrets.BASE)
+    assert secrets.read_ledger(spark, path).count() == first
+    paths = secrets.update(docs, path)
+    ledger = secrets.read_ledger(spark, path)
+    assert ledger.count() == 2 * first
+    got = secrets.digest(secrets.findings(paths, ledger)).collect()
+    assert sorted(got, key=str) == sorted(secrets.digest(secrets.findings(*secrets.scan(docs))).collect(), key=str)

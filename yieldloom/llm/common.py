@@ -52,11 +52,20 @@ def materialize(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system once nothing reads it."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files, where = _files(spark, path)
+    files.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -88,6 +97,19 @@ def text_of(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that none of their names can clash with an operator's own."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("held"))
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """What was held(), under its names and in its order."""
+    others = [c for c in columns if c not in ("doc_id", "text")]
+    back = {c: F.col(f"held.c{k}").alias(c) for k, c in enumerate(others)} | {c: F.col(c) for c in ("doc_id", "text")}
+    return rows.select(*[back[c] for c in columns])
+
+
 def slices(batch, column: str, limit: int = 6 << 20):
     """Cut an Arrow batch so that each part holds about `limit` bytes of the column, one row at least."""
     import numpy as np

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.llm import words
-from yieldloom.llm.common import materialize, slices, text_of
+from yieldloom.llm.common import held, materialize, restored, slices, text_of
 from yieldloom.llm.tiling import tile
 
 #: Tokens of a seed, and of the shortest tile.
@@ -197,11 +197,11 @@ def without_rows(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """The rows whose own text covers no item, whatever their doc_id is; all their columns."""
     row = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     bad = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark, coverage).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(materialize(bad, "contaminated"), row == F.col("__bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(held(docs).join(materialize(bad, "contaminated"), row == F.col("__bad"), "left_anti"), docs.columns)
 
 
 def without(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents that cover no item; all their columns. Rows with a null doc_id are kept."""
     # Written first, so that its size is known when the join is planned.
     bad = materialize(contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(held(docs).join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti"), docs.columns)

@@ -10,8 +10,9 @@ How many lists a query probes is set on the sample, so that RECALL of true neigh
 where the lists hold too few candidates.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, vectors of another than the most
-usual dimension, and rows without a vec_id take no part; rows that repeat a vec_id count once; fewer candidates than asked
-are all returned; an empty table yields no row; further columns are ignored.
+usual dimension, and rows without a vec_id take no part; of rows that repeat a vec_id the one with the least vector (by its
+first component, and so on) takes part; fewer candidates than asked are all returned; an empty table yields no row; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,24 +122,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     out = "query_id long, rank int, vec_id long, score double"
     if usual is None:
         return vectors.sparkSession.createDataFrame([], out)
-    dim, n = usual["dim"], usual["n"]
+    dim = usual["dim"]
     rows = rows.filter(F.size("embedding") == dim)
+    again = rows.groupBy("vec_id").agg(F.count("*").alias("k")).filter("k > 1").select("vec_id")
+    again = materialize(again, "repeated")
+    if not again.isEmpty():
+        one = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        rows = materialize(rows.join(again, "vec_id", "left_anti").unionByName(one), "distinct")
+    n, asked_for = rows.agg(F.count("*"), F.count_if(is_query)).first()
     picked = rows.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE)  # SAMPLE rows at most
     index = fit(_vectors(picked.toArrow().column("embedding"), dim), float(np.sqrt(usual["square"])), max(1, min(MOST_LISTS, round(np.sqrt(n) / 8))), k)
 
+    # Vectors travel as they are stored; all sums are of doubles.
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    narrow = pa.float32() if kind == "float" else pa.float64()
+
     def place(batches):
         for batch in batches:
             x = _vectors(batch.column("embedding"), dim)
             points = lengthened(x, index)
             lists = _nearest_lists(points, index.centroids)[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding").cast(pa.list_(pa.float64())), pa.array(lists, pa.int32())], ["vec_id", "embedding", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding").cast(pa.list_(narrow)), pa.array(lists, pa.int32())], ["vec_id", "embedding", "list"])
 
-    placed = materialize(rows.mapInArrow(place, "vec_id long, embedding array<double>, list int"), "vectors")
+    placed = materialize(rows.mapInArrow(place, f"vec_id long, embedding array<{kind}>, list int"), "vectors")
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
         sizes[r["list"]] = r["n"]
     blocks = np.maximum(1, -(-sizes // BLOCK))
-    queries = placed.filter(is_query).dropDuplicates(["vec_id"])
+    queries = placed.filter(is_query)
 
     def probe(batches):
         for batch in batches:
@@ -148,8 +159,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             row, col = np.nonzero(wanted)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("embedding").take(pa.array(row)), pa.array(order[row, col], pa.int32())], ["query_id", "query", "list"])
 
-    probed = queries.select("vec_id", "embedding").mapInArrow(probe, "query_id long, query array<double>, list int")
-    share = max(1, -(-(n // 20 + 1) * index.probes // len(index.centroids) // QUERIES))
+    probed = queries.select("vec_id", "embedding").mapInArrow(probe, f"query_id long, query array<{kind}>, list int")
+    share = max(1, -(-asked_for * index.probes // len(index.centroids) // QUERIES))
     block_of = F.array(*[F.lit(int(b)) for b in blocks])[F.col("list")]
     probed = probed.select("*", F.pmod(F.xxhash64("query_id"), F.lit(share)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), block_of - 1)).alias("block"))
     held = placed.select("*", F.pmod(F.xxhash64("vec_id", F.lit(3)), block_of).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(share - 1))).alias("part"))

@@ -57,8 +57,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from yieldloom.llm import secrets
 
-    paths, ledger = secrets.scan(table(spark, sf_dir, "documents"))
-    return secrets.digest(secrets.findings(paths, ledger))
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "ledger")
+    secrets.update(docs, path, secrets.BASE)
+    paths = secrets.update(docs, path, secrets.RULES)  # every blob lacks the added rules alone
+    return secrets.digest(secrets.findings(paths, secrets.read_ledger(spark, path)))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

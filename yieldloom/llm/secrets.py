@@ -16,10 +16,10 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import materialize, slices, text_of
+from yieldloom.llm.common import exists, materialize, release, scratch, slices, text_of
 
 
 class Rule(NamedTuple):
@@ -83,6 +83,22 @@ def pending(paths: DataFrame, ledger: DataFrame | None, rules: list[Rule]) -> Da
     return blobs.join(seen, "blob", "left").withColumn("todo", todo).filter(F.size("todo") > 0).drop("seen")
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger in a folder; nothing if there is none yet."""
+    return spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else None
+
+
+def update(docs: DataFrame, path: str, rules: list[Rule] = RULES) -> DataFrame:
+    """Scan what the ledger in a folder lacks, and append it there; the paths of docs."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        paths, new = scan(docs, read_ledger(spark, path), rules)
+        paths = materialize(paths, "paths", outlive=True)
+        new.write.mode("append").parquet(path)
+    release(spark)
+    return paths
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """(paths: doc_id and blob of every row; new ledger rows). The ledger's next state is the old one and these."""
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))

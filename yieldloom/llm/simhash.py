@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.llm import graph, words
-from yieldloom.llm.common import materialize, release, scratch, slices, text_of
+from yieldloom.llm.common import held, materialize, release, restored, scratch, slices, text_of
 
 #: Fingerprints at a grid point beyond which it is refined.
 CROWD = 48
@@ -123,11 +123,11 @@ def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
         stays = materialize(least.select(F.col("m.doc_id").alias("__stay"), F.col("m.t").alias("__t"), "m.k"), "stays", outlive=True)
     release(docs.sparkSession)
     repeated, stays = stays.filter("k > 1").drop("k"), stays.drop("k")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = held(docs)
     key = F.col("__stay").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__t") == F.xxhash64(F.coalesce("text", F.lit(""))))
     if repeated.isEmpty():
-        return docs.join(stays.hint("shuffle_hash"), key, "left_semi").select(*columns)
+        return restored(rows.join(stays.hint("shuffle_hash"), key, "left_semi"), docs.columns)
     once = stays.join(repeated.select(F.col("__stay").alias("i"), F.col("__t").alias("j")), F.col("__stay").eqNullSafe(F.col("i")) & (F.col("__t") == F.col("j")), "left_anti")
-    kept = docs.join(once.hint("shuffle_hash"), key, "left_semi").select(*columns)
-    again = docs.join(repeated, key, "left_semi").withColumn("__text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "__text"]).select(*columns)
-    return kept.unionByName(again)
+    kept = rows.join(once.hint("shuffle_hash"), key, "left_semi")
+    again = rows.join(repeated, key, "left_semi").withColumn("__text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return restored(kept.unionByName(again), docs.columns)

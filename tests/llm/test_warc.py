@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 from base64 import b32encode
@@ -17,7 +18,9 @@ def table(spark):
 
 @pytest.mark.parametrize("least", [0, 6])
 def test_pages_come_back(spark, monkeypatch, least):
-    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 300)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    monkeypatch.setattr(warc, "RUN_LINES", 3)
     rows = table(spark)
     path = new_path(spark, "w")
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, digest string"), path, least)
@@ -37,6 +40,11 @@ def test_pages_come_back(spark, monkeypatch, least):
     lines = sorted(warc.index(warc.read(spark, path)).collect(), key=lambda r: (r["range"], r["place"]))
     keys = [(r["url_key"], r["date"], r["page_id"] is None, r["page_id"] or 0) for r in lines]
     assert keys == sorted(keys) and len(keys) == len(rows)
+    for r in lines:  # each capture can be read alone
+        with open(r["file"].removeprefix("file:"), "rb") as f:
+            f.seek(r["position"])
+            (_, fields, _), = warc.records(gzip.decompress(f.read(r["size"])))
+        assert fields["warc-target-uri"] == r["url"] and fields["warc-payload-digest"] == "sha1:" + r["digest"]
     payloads = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(spark, path).collect() if r["payload"] is not None and r["page_id"]}
     assert all(payloads[p] == (h or "") for p, _, h, _ in rows if p in payloads)
 
@@ -61,3 +69,28 @@ def test_url_keys():
 def test_damage_is_noticed():
     with pytest.raises(ValueError, match="no WARC"):
         list(warc.records(b"junk\r\n\r\n"))
+
+
+def test_a_long_merge_holds_few_blocks(spark, monkeypatch):
+    """Blocks of runs that hardly overlap: the tree never holds more than those at one place."""
+    most, make = [0], warc.Losers.__init__
+
+    def seen(self, runs):
+        make(self, runs)
+        most[0] = max(most[0], self.k)
+
+    monkeypatch.setattr(warc.Losers, "__init__", seen)
+    runs = [[((k * 100 + i,), None) for i in range(150)] for k in range(40)]
+    blocks = sorted(run[a : a + 10] for run in runs for a in range(0, 150, 10))
+    assert [x[0][0] for x in warc.merged(iter(blocks))] == sorted(k * 100 + i for k in range(40) for i in range(150))
+    assert most[0] <= 5
+
+
+def test_ranges_follow_one_another(spark):
+    rng = random.Random(3)
+    rows = [(i, f"http://h{rng.randrange(30)}.org/{rng.randrange(50)}", f"page {i}") for i in range(3000)]
+    path = new_path(spark, "w")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7), path)
+    lines = sorted(warc.index(warc.read(spark, path)).collect(), key=lambda r: (r["range"], r["place"]))
+    keys = [(r["url_key"], r["date"], r["page_id"]) for r in lines]
+    assert keys == sorted(keys) and sorted(k[2] for k in keys) == [*range(3000)] and len({r["range"] for r in lines}) > 1

@@ -1,10 +1,14 @@
 """WARC archives of pages and their index.
 
 write() makes WARC 1.1 files: a record per page, `response` for the first page (smallest page_id) with a payload, and
-`revisit` for later ones with an equal payload, which refer to it and hold no payload. read() parses the files by their
-Content-Length. index() is an external merge: each file yields a run of index lines sorted by URL key and time; runs are
-dealt by ranges of (key, time, page), and each range merges its part of every run by a tree of losers, so reading the
-ranges in order gives every URL's capture history in global order.
+`revisit` for later ones with an equal payload, which refer to it and hold no payload. Each record is a gzip member of its own,
+so that a capture can be read alone, by its place and size. read() parses the files by their Content-Length.
+
+index() is an external merge. Each file's index lines are sorted by URL key and time where they are: a run. Runs are cut into
+blocks of BLOCK_LINES lines, and where one of the ranges of keys that a sample has set ends. A range gets its blocks in the order of
+their first lines; each block joins a tree of losers when the merge has come to its first line, and leaves when it is used up.
+So a task holds only the blocks that overlap where it stands, and reading the ranges in order gives every URL's capture
+history in global order.
 
 Defined results: a null html is an empty payload; null urls are written as an empty target; rows without a page_id, or that
 repeat one, each get a record (without one they come last and are never referred to, unless no other has the payload);
@@ -16,23 +20,28 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import zlib
 from base64 import b32encode
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import materialize, shuffle_partitions
+from yieldloom.llm.common import materialize, shuffle_partitions, small_batches
 
-#: Bytes of payload that one file holds at most, at the mean size of a payload; the reader holds one file at a time.
+#: Bytes of records after which a file ends; the writer and the reader hold one file at a time.
 FILE_BYTES = 16 << 20
+#: Lines of a run that are sorted together, lines of a block, and lines of the sample that sets the ranges of keys.
+RUN_LINES, BLOCK_LINES, SAMPLE = 100_000, 512, 20_000
 #: The capture time of page 0; page n was captured n seconds (modulo 10**9) later, unless the table has times of its own.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
+_PAD = "\0"
 
 
 def _sha1(payload: Column) -> Column:
@@ -80,13 +89,46 @@ def write(pages: DataFrame, path: str, least: int = 0, time: str | None = None)
     first = seen.filter(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "date", "url")).alias("first"), F.count("*").alias("k"))
     later = first.filter("k > 1 AND first.page_id IS NOT NULL").select(F.col("digest").alias("same"), "first")
     later = seen.filter(F.col("n") >= least).join(later, F.col("digest") == F.col("same")).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select(F.col("page_id").alias("again"), F.col("digest").alias("same"), "first").distinct()
-    sums = seen.agg(F.sum("n").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    each = max(1, FILE_BYTES * sums["rows"] // max(1, sums["bytes"] or 0))
     joined = rows.join(later, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same")), "left")
     records = joined.select(_record(F.col("first.page_id"), F.col("first.url"), F.col("first.date")).alias("record"))
-    # The text writer puts a value's bytes as they are, on any file system that Spark knows, and commits whole tasks.
-    out = records.select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    small_batches(pages.sparkSession)
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, held = [], 0
+        for batch in batches:
+            for record in batch.column("record"):
+                raw = record.as_py() + _END.encode()
+                members.append(gzip.compress(raw, 6, mtime=0))
+                held += len(raw)
+                if held >= FILE_BYTES:
+                    yield pa.record_batch([pa.array([b"".join(members)], pa.binary())], ["file"])
+                    members, held = [], 0
+        if members:
+            yield pa.record_batch([pa.array([b"".join(members)], pa.binary())], ["file"])
+
+    # The text writer puts a value's bytes as they are, on any file system that Spark knows, and commits whole tasks. A file is one
+    # value, and ends with a zero byte, which readers of gzip pass over.
+    out = records.mapInArrow(files, "file binary").select(F.col("file").cast("string").alias("value"))
+    out.write.option("lineSep", _PAD).option("maxRecordsPerFile", 1).text(path)
+
+
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(place, size, content) of each gzip member of a file."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        if data[at] == 0:
+            at += 1
+            continue
+        one, out, fed = zlib.decompressobj(31), [], at
+        while not one.eof:
+            if fed >= len(data):
+                raise ValueError(f"the gzip member at byte {at} is cut")
+            part = view[fed : fed + (1 << 14)]
+            out.append(one.decompress(part))
+            fed += len(part)
+        end = fed - len(one.unused_data)
+        yield at, end - at, b"".join(out)
+        at = end
 
 
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -109,14 +151,16 @@ PARSED = "file string, position long, size long, page_id long, url string, date
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record; payload_bytes and payload of a revisit are null. A response's digest is computed and compared."""
+    """A row for each record; position and size are those of its gzip member. payload_bytes and payload of a revisit are null. A
+    response's digest is computed and compared."""
+    small_batches(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("position", pa.int64()), ("size", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows, held = [], 0
-                for at, f, block in records(gzip.decompress(content.as_py())):
+                for at, size, f, block in ((at, size, f, block) for at, size, raw in members(content.as_py()) for _, f, block in records(raw)):
                     again, payload = f["warc-type"] == "revisit", None
                     digest = f["warc-payload-digest"].removeprefix("sha1:")
                     if not again:
@@ -124,7 +168,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         if digest != b32encode(hashlib.sha1(payload).digest()).decode():
                             raise ValueError(f"{name}: the payload at byte {at} doesn't have its digest")
                     page = f["x-page-id"]
-                    rows.append((name, at, len(block), None if page == "-" else int(page), f["warc-target-uri"].encode("utf-8", "surrogateescape").decode("utf-8", "replace"), f["warc-date"], f["warc-type"], digest, None if again else len(payload), int(f["x-refers-to-page-id"]) if again else None, payload))
+                    rows.append((name, at, size, None if page == "-" else int(page), f["warc-target-uri"].encode("utf-8", "surrogateescape").decode("utf-8", "replace"), f["warc-date"], f["warc-type"], digest, None if again else len(payload), int(f["x-refers-to-page-id"]) if again else None, payload))
                     held += len(block)
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -172,52 +216,98 @@ class Losers:
             node //= 2
         self.tree[0] = winner
 
+    def first(self):
+        """The least item, or nothing."""
+        return self.head[self.tree[0]] if self.k else None
+
+    def take(self):
+        i = self.tree[0]
+        item, self.head[i] = self.head[i], next(self.runs[i], None)
+        self._play(i)
+        return item
+
+    def rest(self) -> list[Iterator]:
+        """What is left of each run."""
+        return [chain([h], r) for h, r in zip(self.head, self.runs, strict=True) if h is not None]
+
     def __iter__(self):
-        while self.k and self.head[self.tree[0]] is not None:
-            i = self.tree[0]
-            yield self.head[i]
-            self.head[i] = next(self.runs[i], None)
-            self._play(i)
+        while self.first() is not None:
+            yield self.take()
 
 
-INDEX = "range int, place long, url_key string, date string, page_id long, url string, record_type string, digest string, file string, position long, size long"
+LINE = "url_key string, date string, page_id long, file string, position long, url string, record_type string, digest string, size long"
+INDEX = f"range int, place long, {LINE}"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+_LINE = pa.struct([(x.split()[0], _ARROW[x.split()[1]]) for x in LINE.split(", ")])
+#: What orders lines; a missing page_id comes last.
+_ORDER = ["url_key", "date", "none", "page", "file", "position"]
+
+
+def _order(line: tuple) -> tuple:
+    """line: in the order of LINE."""
+    return line[0], line[1], line[2] is None, line[2] or 0, line[3], line[4]
+
+
+def merged(blocks: Iterator[list[tuple]]) -> Iterator[tuple]:
+    """Sorted blocks of (order, line) pairs, in the order of their first pairs, as one sorted sequence."""
+    tree = Losers([])
+    for block in blocks:
+        while tree.k and tree.first() is not None and tree.first() < block[0]:
+            yield tree.take()
+        tree = Losers([*tree.rest(), iter(block)])
+    yield from tree
 
 
 def index(parsed: DataFrame) -> DataFrame:
     """Index lines with range and place: ordered by both, they are ordered by url_key, date and page_id."""
-    names = ["url_key", "date", "page_id", "file", "position", "url", "record_type", "digest", "size"]
+    spark, names = parsed.sparkSession, [f.name for f in _LINE]
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """Sorted runs of (order, line) pairs, each of one file."""
+        run, file = [], None
         for batch in batches:
-            key = pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([key, *(batch.column(c) for c in names[1:])], names)
-
-    lines = parsed.select(*names[1:]).mapInArrow(keys, "url_key string, date string, page_id long, file string, position long, url string, record_type string, digest string, size long")
-    lines = materialize(lines, "index-lines")
-    # A range ends within a key where a key has many captures. Within it, each file's lines are a sorted run.
-    order = ["url_key", "date", F.col("page_id").asc_nulls_last(), "file", "position"]
-    runs = lines.repartitionByRange(shuffle_partitions(parsed.sparkSession), *order).sortWithinPartitions("file", *order[:3], "position")
+            columns = [batch.column(c).to_pylist() for c in names[1:]]
+            for row in zip(*columns, strict=True):
+                line = (url_key(row[names.index("url") - 1]), *row)
+                if run and (line[3] != file or len(run) >= RUN_LINES):
+                    yield sorted(run)
+                    run = []
+                file = line[3]
+                run.append((_order(line), line))
+        if run:
+            yield sorted(run)
+
+    ranges = shuffle_partitions(spark)
+    few = parsed.orderBy(F.xxhash64("file", "position"), "file", "position").limit(SAMPLE).select("url", "date", "page_id", "file", "position")
+    keys = sorted(_order((url_key(r["url"]), r["date"], r["page_id"], r["file"], r["position"])) for r in few.collect())  # SAMPLE rows at most
+    ends = [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in lines(batches):
+            at = 0
+            while at < len(run):
+                own = bisect_right(ends, run[at][0])
+                to = min(at + BLOCK_LINES, bisect_left(run, (ends[own],)) if own < len(ends) else len(run))
+                block = [dict(zip(names, line, strict=True)) for _, line in run[at:to]]
+                first = run[at][0]
+                columns = [pa.array([own], pa.int32()), *(pa.array([x], t) for x, t in zip(first, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64()), strict=True)), pa.array([block], pa.list_(_LINE))]
+                yield pa.RecordBatch.from_arrays(columns, ["range", *_ORDER, "lines"])
+                at = to
+
+    blocks = parsed.select(*names[1:]).mapInArrow(cut, f"range int, url_key string, date string, none boolean, page long, file string, position long, lines array<struct<{LINE.replace(' ', ':').replace(',:', ',')}>>")
+    # Keys that share a first byte or a site still spread: a range holds as many lines of the sample as another.
+    dealt = blocks.repartition(ranges, "range").sortWithinPartitions("range", *_ORDER).select("range", "lines")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list] = {}
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                parts.setdefault(row[3], []).append(((row[0], row[1], row[2] is None, row[2] or 0, row[3], row[4]), row))
-        here, place, out = TaskContext.get().partitionId(), 0, []
-        for _, row in Losers([*parts.values()]):
-            out.append((here, place, *(row[names.index(c)] for c in _INDEX_NAMES[2:])))
-            place += 1
-            if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _INDEX_TYPES, strict=True)], _INDEX_NAMES)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _INDEX_TYPES, strict=True)], _INDEX_NAMES)
-
-    return runs.mapInArrow(merge, INDEX)
-
-
-_INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
-_INDEX_TYPES = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in INDEX.split(", ")]
+        rows = ((own, block) for batch in batches for own, block in zip(batch.column("range").to_pylist(), batch.column("lines"), strict=True))
+        for own, group in groupby(rows, key=lambda r: r[0]):
+            runs = ([(_order(line), line) for line in zip(*(block.values.field(c).to_pylist() for c in names), strict=True)] for _, block in group)
+            place, ordered = 0, merged(runs)
+            while out := [*islice(ordered, 5000)]:
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(out), pa.int32()), pa.array(range(place, place + len(out)), pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*(line for _, line in out), strict=True), _LINE, strict=True))], ["range", "place", *names])
+                place += len(out)
+
+    return dealt.mapInArrow(merge, INDEX)
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
@@ -75,6 +75,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def by_hash(share: float, *columns) -> Column:
+    """About that share of all rows, chosen by a hash of the columns. Filtered by it, a sample of a known size comes to the driver
+    with few rows more, however many tasks there are; an ordered limit alone would bring the limit from each task."""
+    return F.pmod(F.xxhash64(*columns, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import materialize
+from yieldloom.llm.common import by_hash, materialize
 
 #: Rows on which lists and probes are fitted.
 SAMPLE = 6000
@@ -130,7 +130,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         one = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         rows = materialize(rows.join(again, "vec_id", "left_anti").unionByName(one), "distinct")
     n, asked_for = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    picked = rows.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE)  # SAMPLE rows at most
+    picked = rows.filter(by_hash(2 * SAMPLE / n, "vec_id")).orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE)  # SAMPLE rows at most
     index = fit(_vectors(picked.toArrow().column("embedding"), dim), float(np.sqrt(usual["square"])), max(1, min(MOST_LISTS, round(np.sqrt(n) / 8))), k)
 
     # Vectors travel as they are stored; all sums are of doubles.

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.llm import strings
-from yieldloom.llm.common import slices, text_of
+from yieldloom.llm.common import by_hash, slices, text_of
 from yieldloom.llm.language import held_out
 
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
@@ -219,7 +219,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     mixed = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    picks = [known.filter(F.col("toxic") == k).orderBy(mixed, "doc_id").limit(SAMPLE) for k in (0, 1)]
+    counts = {r["toxic"]: r["n"] for r in known.filter("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    picks = [known.filter((F.col("toxic") == k) & by_hash(2 * SAMPLE / counts.get(k, 1), "doc_id")).orderBy(mixed, "doc_id").limit(SAMPLE) for k in (0, 1)]
     chosen = picks[0].unionByName(picks[1])  # 2 x SAMPLE rows at most
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(chosen), "doc_id").filter(F.char_length("text") <= SAMPLE_CHARS)
 

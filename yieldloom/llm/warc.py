@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import materialize, shuffle_partitions, small_batches
+from yieldloom.llm.common import by_hash, materialize, shuffle_partitions, small_batches
 
 #: Bytes of records after which a file ends; the writer and the reader hold one file at a time.
 FILE_BYTES = 16 << 20
-#: Lines of a run that are sorted together, lines of a block, and lines of the sample that sets the ranges of keys.
+#: Lines of a run that are sorted together, lines of a block, and about how many lines set the ranges of keys.
 RUN_LINES, BLOCK_LINES, SAMPLE = 100_000, 512, 20_000
 #: The capture time of page 0; page n was captured n seconds (modulo 10**9) later, unless the table has times of its own.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -278,8 +278,8 @@ def index(parsed: DataFrame) -> DataFrame:
             yield sorted(run)
 
     ranges = shuffle_partitions(spark)
-    few = parsed.orderBy(F.xxhash64("file", "position"), "file", "position").limit(SAMPLE).select("url", "date", "page_id", "file", "position")
-    keys = sorted(_order((url_key(r["url"]), r["date"], r["page_id"], r["file"], r["position"])) for r in few.collect())  # SAMPLE rows at most
+    few = parsed.filter(by_hash(SAMPLE / max(1, parsed.count()), "file", "position")).select("url", "date", "page_id", "file", "position")
+    keys = sorted(_order((url_key(r["url"]), r["date"], r["page_id"], r["file"], r["position"])) for r in few.collect())  # about SAMPLE rows
     ends = [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,3 +130,17 @@ def slices(batch, column: str, limit: int = 6 << 20):
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the machine; else each keeps the most it has ever needed."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass

@@ -105,24 +105,26 @@ def _landmarks(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[str
     and again, each time without the units that hold one chosen before, so no landmark says what others have said.
     A piece tells something if its log-likelihood ratio is beyond what the best of so many pieces would have by chance."""
     # Counted by hash first, so that pieces of one or two texts, which are most, take no room.
-    bucket, counts = (1 << 22) - 1, np.zeros(1 << 22, np.int32)
+    bucket, counts, least = (1 << 22) - 1, np.zeros(1 << 22, np.int32), max(LEAST, len(toxic) // 100)
     for us in toxic:
         counts[[*{hash(p) & bucket for u in us for p in _pieces(u)}]] += 1
-    has = [{p for u in us for p in _pieces(u) if counts[hash(p) & bucket] >= LEAST} for us in toxic]
-    least = max(LEAST, len(toxic) // 100)
-    names = sorted(p for p, k in Counter(p for ps in has for p in ps).items() if k >= least)
+    total: Counter = Counter()
+    for us in toxic:
+        total.update({p for u in us for p in _pieces(u) if counts[hash(p) & bucket] >= least})
+    names = sorted(p for p, k in total.items() if k >= least)
     index = {p: i for i, p in enumerate(names)}
+    del total
+    parts = {u: np.array([index[p] for p in _pieces(u) if p in index], np.int32) for u in {u for us in toxic for u in us}}
+    left = [[u for u in us if len(parts[u])] for us in toxic]
+    has = [np.unique(np.concatenate([parts[u] for u in us] or [np.zeros(0, np.int32)])) for us in left]  # pieces of each text
     k, s = np.zeros(len(names)), np.zeros(len(names))
     for ps in has:
-        k[[index[p] for p in ps if p in index]] += 1
+        k[ps] += 1
     for us in clean:
         s[[*{index[p] for u in us for p in _pieces(u) if p in index}]] += 1
     surprise = 2 * np.log(max(2, len(names))) + MARGIN
     telling = {p: float(g) for p, g in zip(names, _surprise(k, s, len(toxic), len(clean)), strict=True) if g > surprise}
     rare = PRECISION * s * len(toxic) <= k * len(clean)
-    parts = {u: [index[p] for p in _pieces(u) if p in index] for us in toxic for u in us}
-    left = [{u for u in us if parts[u]} for us in toxic]
-    times = [Counter(p for u in us for p in parts[u]) for us in left]  # units of the text that have a piece
     length, chosen = np.array([len(p) for p in names]), []
     while names and len(chosen) < LANDMARKS:
         gain = np.where(rare, _surprise(k, s, len(toxic), len(clean)), 0)
@@ -130,12 +132,12 @@ def _landmarks(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[str
         if gain[best] <= surprise:
             break
         chosen.append(names[best])
-        for us, count in zip(left, times, strict=True):
-            if count[best]:
-                for u in [u for u in us if best in parts[u]]:
-                    us.remove(u)
-                    count.subtract(parts[u])
-                    k[[p for p in set(parts[u]) if not count[p]]] -= 1
+        for i, ps in enumerate(has):
+            at = int(np.searchsorted(ps, best))
+            if at < len(ps) and ps[at] == best:
+                left[i] = [u for u in left[i] if best not in parts[u]]
+                has[i] = np.unique(np.concatenate([parts[u] for u in left[i]] or [np.zeros(0, np.int32)]))
+                k[np.setdiff1d(ps, has[i], assume_unique=True)] -= 1
     return chosen, telling
 
 

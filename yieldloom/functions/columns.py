@@ -88,6 +88,12 @@ def production_week(t: Column, cutoff: int = CUTOFF_HOUR) -> Column:
     return F.date_trunc("week", production_day(t, cutoff)).cast("date")
 
 
+def in_order(few: DataFrame, *by: str | Column) -> DataFrame:
+    """Rows of days or other small groups, sorted in one task: their number doesn't grow with the input, and a global sort would
+    run an extra job to sample its ranges."""
+    return few.repartition(1).sortWithinPartitions(*by)
+
+
 def base_name(result: str) -> str:
     return result.removesuffix(RESULT)
 

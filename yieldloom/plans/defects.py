@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.config import CUTOFF_HOUR, OTHERS, RESULT
-from yieldloom.functions.columns import base_name, percent, production_day, result_columns, time_of
+from yieldloom.functions.columns import base_name, in_order, percent, production_day, result_columns, time_of
 from yieldloom.operators.filters import Filters, recorded, timed
 from yieldloom.operators.latest import latest_per_unit
 from yieldloom.plans.yields import ALL
@@ -38,14 +38,15 @@ def daily_trend(judged: DataFrame, names: list[str], filters: Filters = ALL) ->
     """By calendar day, the NG of each named dimension."""
     rows = timed(filters.apply(judged))
     sums = [F.coalesce(F.sum(F.col(f"`{n}{RESULT}`").cast("bigint")), F.lit(0)).alias(f"{n}_ng") for n in names]
-    return rows.groupBy(time_of(rows).cast("date").alias("day")).agg(*sums).orderBy("day")
+    return in_order(rows.groupBy(time_of(rows).cast("date").alias("day")).agg(*sums), "day")
 
 
 def _daily(rows: DataFrame, day: Column, columns: list[str], n: int) -> DataFrame:
     per = rows.groupBy(day.alias("production_day")).agg(*_counts(columns, True))
     long = _long(per, columns, "v").select("production_day", "fai_name", F.col("v.ng").alias("ng_count"), F.col("v.total").alias("total")).filter("ng_count > 0")
     ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy("production_day").orderBy(F.desc("ng_count"), "fai_name")))
-    return ranked.filter(F.col("rank") <= n).withColumn("ng_rate_pct", percent(F.col("ng_count"), F.col("total"))).orderBy(F.col("production_day").asc_nulls_last(), "rank")
+    best = ranked.filter(F.col("rank") <= n).withColumn("ng_rate_pct", percent(F.col("ng_count"), F.col("total")))
+    return in_order(best, F.col("production_day").asc_nulls_last(), "rank")
 
 
 def daily_top(judged: DataFrame, n: int = 10, filters: Filters = ALL) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.config import OVERALL, SAVE_RATE
-from yieldloom.functions.columns import base_name, percent, production_day, repairable, result_columns
+from yieldloom.functions.columns import base_name, in_order, percent, production_day, repairable, result_columns
 from yieldloom.operators.filters import Filters, recorded, timed
 from yieldloom.operators.latest import latest_per_unit
 from yieldloom.plans.yields import ALL
@@ -44,11 +44,12 @@ def daily(judged: DataFrame, tie: list, filters: Filters = ALL) -> DataFrame:
     columns = result_columns(judged)
     rows = latest_per_unit(timed(filters.apply(judged)), [OVERALL, *columns], tie)
     days = rows.groupBy(production_day(F.col("first_prod_time"), filters.cutoff).alias("production_day")).agg(*_counts(columns))
-    return _rates(days).orderBy("production_day")
+    return in_order(_rates(days), "production_day")
 
 
 def daily_report(yields: DataFrame, repairs: DataFrame) -> DataFrame:
     """Days with their yield and, after repair, expected OK (OK and saved), count saved and yield; days without are as they were."""
     own = repairs.select("production_day", "rectifiable", "saved_count", "post_yield")
     out = yields.join(own, "production_day", "left").fillna({"rectifiable": 0, "saved_count": 0})
-    return out.select("production_day", "total", "ok_count", "ng_count", "yield_pct", "rectifiable", (F.col("ok_count") + F.col("saved_count")).alias("expected_ok"), F.coalesce("post_yield", "yield_pct").alias("expected_yield")).orderBy("production_day")
+    out = out.select("production_day", "total", "ok_count", "ng_count", "yield_pct", "rectifiable", (F.col("ok_count") + F.col("saved_count")).alias("expected_ok"), F.coalesce("post_yield", "yield_pct").alias("expected_yield"))
+    return in_order(out, "production_day")

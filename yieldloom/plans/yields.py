@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.config import CORE, CUTOFF_HOUR, OVERALL, RESULT, UNKNOWN
-from yieldloom.functions.columns import percent, production_day, production_week, time_of, yield_columns
+from yieldloom.functions.columns import in_order, percent, production_day, production_week, time_of, yield_columns
 from yieldloom.operators.filters import Filters, recorded, timed
 from yieldloom.operators.latest import latest_per_unit
 
@@ -19,17 +19,17 @@ def summary(judged: DataFrame, filters: Filters = ALL) -> DataFrame:
 
 def daily(judged: DataFrame, filters: Filters = ALL) -> DataFrame:
     rows = timed(filters.apply(judged))
-    return rows.groupBy(production_day(time_of(rows), filters.cutoff).alias("production_day")).agg(*yield_columns()).orderBy("production_day")
+    return in_order(rows.groupBy(production_day(time_of(rows), filters.cutoff).alias("production_day")).agg(*yield_columns()), "production_day")
 
 
 def weekly(judged: DataFrame, filters: Filters = ALL) -> DataFrame:
     rows = timed(filters.apply(judged))
-    return rows.groupBy(production_week(time_of(rows), filters.cutoff).alias("production_week")).agg(*yield_columns(with_ng=False)).orderBy("production_week")
+    return in_order(rows.groupBy(production_week(time_of(rows), filters.cutoff).alias("production_week")).agg(*yield_columns(with_ng=False)), "production_week")
 
 
 def by_group(judged: DataFrame, column: str, filters: Filters = ALL) -> DataFrame:
     """By Line, Vendor or Project, the lowest yield first."""
-    return filters.apply(judged).groupBy(column).agg(*yield_columns()).orderBy(F.col("yield_pct").asc_nulls_last(), F.col(column).asc_nulls_last())
+    return in_order(filters.apply(judged).groupBy(column).agg(*yield_columns()), F.col("yield_pct").asc_nulls_last(), F.col(column).asc_nulls_last())
 
 
 def _collapsed(judged: DataFrame, filters: Filters, tie: list, keep: list[str]) -> DataFrame:
@@ -40,7 +40,7 @@ def regression_daily(judged: DataFrame, tie: list, filters: Filters = ALL) -> Da
     """Each unit once: its last verdict on the day of its first time. A unit without a readable time has a null day."""
     rows = _collapsed(judged, filters, tie, [OVERALL])
     day = production_day(F.col("first_prod_time"), filters.cutoff).alias("production_day")
-    return rows.groupBy(day).agg(*yield_columns()).orderBy(F.col("production_day").asc_nulls_last())
+    return in_order(rows.groupBy(day).agg(*yield_columns()), F.col("production_day").asc_nulls_last())
 
 
 def multi_production(judged: DataFrame, top: int = 20) -> DataFrame:
@@ -61,7 +61,8 @@ def daily_by_project_line(judged: DataFrame, tie: list, regression: bool = True,
     label = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(UNKNOWN)).otherwise(F.col(c))
     keys = [production_day(F.col("t"), filters.cutoff).alias("production_day"), label("Project").alias("project"), label("Line").alias("line")]
     total, ok, _, rate = yield_columns()
-    return rows.groupBy(*keys).agg(total, ok, rate).select("production_day", "project", "line", "total", "ok_count", (F.col("total") - F.col("ok_count")).alias("ng_count"), "yield_pct").orderBy("production_day", "project", "line")
+    out = rows.groupBy(*keys).agg(total, ok, rate).select("production_day", "project", "line", "total", "ok_count", (F.col("total") - F.col("ok_count")).alias("ng_count"), "yield_pct")
+    return in_order(out, "production_day", "project", "line")
 
 
 def duplicate_units(judged: DataFrame) -> DataFrame:
@@ -142,4 +143,4 @@ def gap_filled(collapsed: DataFrame, plain: DataFrame) -> DataFrame:
     own = plain.select("production_day", *[F.col(c).alias(f"__{c}") for c in ("total", "ok_count", "yield_pct")])
     both = collapsed.join(own, "production_day", "left")
     pick = [F.when(F.col("total") == 0, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ("total", "ok_count", "yield_pct")]
-    return both.select("production_day", *pick).filter("total > 0").orderBy("production_day")
+    return in_order(both.select("production_day", *pick).filter("total > 0"), "production_day")

@@ -26,11 +26,10 @@ class Filters:
         for name, value in (("Project", self.project), ("Line", self.line), ("Vendor", self.vendor)):
             if value:
                 df = df.filter(F.col(name) == F.lit(value))
-        t = time_of(df)
         if self.start:
-            df = df.filter(t >= F.lit(self.start).cast("date").cast("timestamp_ntz"))
+            df = df.filter(time_of(df) >= F.lit(self.start).cast("date").cast("timestamp_ntz"))
         if self.end:
-            df = df.filter(t < F.date_add(F.lit(self.end).cast("date"), 1).cast("timestamp_ntz"))
+            df = df.filter(time_of(df) < F.date_add(F.lit(self.end).cast("date"), 1).cast("timestamp_ntz"))
         return df
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from yieldloom.operators.judge import judge
 
@@ -27,18 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.concat_ws("-", e("user_id").cast("string"), (e("event_id") % 20).cast("string")).alias("SN"),
-        F.when(e("event_id") % 97 != 0, e("ts").cast("timestamp_ntz")).alias("Time"),
-        e("event_type").alias("Line"),
-        F.concat(F.lit("P"), (e("user_id") % 3).cast("string")).alias("Project"),
-        F.when(e("user_id") % 2 == 0, "LY").otherwise("LK").alias("Vendor"),
-        F.when(e("event_id") % 11 != 0, e("value")).alias("FAI312"),
-        F.get_json_object("props", "$.k").cast("double").alias("FAI313"),
-        (e("value") * (e("event_id") % 7)).alias("FAI001"),
-        e("value").alias("FAI002"),
+        "concat_ws('-', user_id, event_id % 20) AS SN",
+        "CASE WHEN event_id % 97 <> 0 THEN ts END AS Time",
+        "event_type AS Line",
+        "concat('P', user_id % 3) AS Project",
+        "CASE WHEN user_id % 2 = 0 THEN 'LY' ELSE 'LK' END AS Vendor",
+        "CASE WHEN event_id % 11 <> 0 THEN value END AS FAI312",
+        "CAST(get_json_object(props, '$.k') AS DOUBLE) AS FAI313",
+        "value * (event_id % 7) AS FAI001",
+        "value AS FAI002",
     )
 
 
@@ -47,9 +45,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").cast("string").alias("SN"), F.col("l_shipdate").cast("timestamp_ntz").alias("Time"), F.col("l_returnflag").alias("Line"), F.lit("P").alias("Project"), F.col("l_linestatus").alias("Vendor"),
-        F.col("l_quantity").alias("FAI312_T"), F.col("l_extendedprice").alias("FAI313"), F.col("l_discount").alias("FAI001"), F.col("l_tax").alias("FAI002"), F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), F.col("l_suppkey").alias("k3"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_partkey AS STRING) AS SN", "l_shipdate AS Time", "l_returnflag AS Line", "'P' AS Project", "l_linestatus AS Vendor",
+        "l_quantity AS FAI312_T", "l_extendedprice AS FAI313", "l_discount AS FAI001", "l_tax AS FAI002", "l_orderkey AS k1", "l_linenumber AS k2", "l_suppkey AS k3",
     )
 
 

@@ -89,11 +89,17 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, limit=2048)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import exact
+
+    return exact.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from yieldloom.llm import lines
+    from yieldloom.llm import exact, lines
 
-    return {"op4_line_dedup": lines.ORACLE_SQL}
+    return {"op4_line_dedup": lines.ORACLE_SQL, "op13_exact_dedup": exact.ORACLE_SQL}

@@ -89,6 +89,19 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, limit=2048)
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import infill
+
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from yieldloom.llm import conversations
+
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digest(conversations.damage(rows), rows)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from yieldloom.llm import exact
 
@@ -100,6 +113,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from yieldloom.llm import exact, lines
+    from yieldloom.llm import exact, infill, lines
 
-    return {"op4_line_dedup": lines.ORACLE_SQL, "op13_exact_dedup": exact.ORACLE_SQL}
+    return {"op4_line_dedup": lines.ORACLE_SQL, "op11_infill": infill.ORACLE_SQL, "op13_exact_dedup": exact.ORACLE_SQL}

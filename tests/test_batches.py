@@ -85,7 +85,7 @@ def test_csv_files(spark, tmp_path):
     (tmp_path / "q.csv").write_text('SN,Time,CFG,FAI1\n"two\nlines",2026-01-02,L,1\nx,2026-01-03,L,2\n')
     info = tables.csv_info(spark, str(tmp_path / "a.csv"))
     assert info == {"encoding": "utf-8", "delimiter": ",", "header": ["SN", "Time", "Line", "FAI1"], "rows": 50}
-    assert not tables._csv(spark, str(tmp_path / "a.csv"))[1]["multiLine"] and tables._csv(spark, str(tmp_path / "q.csv"))[1]["multiLine"]
+    assert not tables._csv(spark, str(tmp_path / "a.csv"))[0].quoted_line_ends and tables._csv(spark, str(tmp_path / "q.csv"))[0].quoted_line_ends
     assert sorted(r["SN"] for r in tables.read_csv(spark, str(tmp_path / "q.csv")).collect()) == ["two\nlines", "x"]
     batch, path = tables.csv_to_parquet(spark, str(tmp_path / "a.csv"), str(tmp_path / "d"))
     assert spark.read.parquet(path).count() == 50 and tables.list_batches(spark, str(tmp_path / "d")) == [(batch, path)]

@@ -8,7 +8,10 @@ YIELD_TARGET = 95.0
 METADATA = ("SN", "Time", "Line", "Project", "Vendor", "Yield3")
 REQUIRED_METADATA = ("Vendor", "Project", "Line")
 MIGRATION_FILL = {"Project": "967E1", "Vendor": "LY"}
-REPAIRABLE = tuple(f"FAI{n}" for n in (*range(312, 328), 344, 346, 347, 348))
+REPAIRABLE = (
+    "FAI312", "FAI313", "FAI314", "FAI315", "FAI316", "FAI317", "FAI318", "FAI319", "FAI320", "FAI321",
+    "FAI322", "FAI323", "FAI324", "FAI325", "FAI326", "FAI327", "FAI344", "FAI346", "FAI347", "FAI348",
+)
 HEADER_ALIASES = {
     "SN": ("SN", "FG号", "序列号", "ProductSN", "SerialNumber"),
     "Time": ("Time", "检测时间", "测量时间", "测试时间", "TestTime", "Timestamp"),
@@ -20,3 +23,5 @@ UNKNOWN, OTHERS = "未知", "其他"
 
 RESULT, OVERALL = "_result", "overall_result"
 CORE = ("SN", "Line", "Time", "Project", "Vendor", "Yield3", OVERALL)
+#: Columns that give an imported row's place in its file: the byte range that it begins in, and its number there.
+PLACE = ("__range", "__row")

@@ -41,12 +41,12 @@ def raw_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType() if n in TEXT_COLUMNS else T.TimestampNTZType() if n == "Time" else T.DoubleType()) for n in names])
 
 
-def normalize(df: DataFrame) -> DataFrame:
-    """Canonical names and types of a raw table, whatever it was read from."""
+def normalize(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Canonical names and types of a raw table, whatever it was read from. keep: columns that stay as they are."""
     headers = canonical_headers(df.columns)
     df = df.toDF(*[h or f"__{k}" for k, h in enumerate(headers)]).select(*[F.col(f"`{h}`") for h in headers if h])
     convert = lambda f: safe_text(F.col(f"`{f.name}`")) if f.name in TEXT_COLUMNS else safe_timestamp(F.col(f"`{f.name}`")) if f.name == "Time" and not isinstance(f.dataType, T.TimestampNTZType) else F.col(f"`{f.name}`") if f.name == "Time" else safe_float(F.col(f"`{f.name}`"))
-    return df.select(*[convert(f).alias(f.name) for f in df.schema])
+    return df.select(*[F.col(f"`{f.name}`") if f.name in keep else convert(f).alias(f.name) for f in df.schema])
 
 
 def detect_dimensions(names: list[str], spec_names: list[str]) -> tuple[list[str], list[str]]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-import re
+import io
 import uuid
 from datetime import datetime
 from functools import reduce
@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldloom.config import METADATA, RESULT
+from yieldloom.config import METADATA, PLACE, RESULT
 from yieldloom.operators.cleaning import canonical_headers, normalize, raw_schema
-from yieldloom.sources import files, workbook
+from yieldloom.sources import csv_ranges, files, workbook
 
-# Fixed values.
+# Fixed values; the one with a mark stands first, as plain UTF-8 would read its mark as a letter.
 ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "gb2312", "latin-1")
 DELIMITERS = ",\t;|"
 
@@ -94,28 +94,37 @@ def sniff_delimiter(text: str) -> str:
         return ","
 
 
-def _csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(the cells of a CSV file, what its beginning says about it). Only quoted line ends in that beginning make Spark read the
-    file in one task; else it is split."""
+def _csv(spark: SparkSession, path: str) -> tuple[csv_ranges.Scan, list[str], str]:
+    """(the records of a CSV file, its heading, its delimiter). The beginning of the file names these two and what encoding to try
+    first; all of it is looked at for quoted line ends and bytes of another encoding."""
     sample = files.head(spark, path, 100_000)
     encoding = sniff_encoding(sample)
     text = sample.decode(encoding, "ignore")
-    if encoding.startswith("gb"):  # Spark reads these only when asked to, now and when the plan runs
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    quoted = re.search(r'"[^"\n]*\n[^"]*"(?:\W|$)', re.sub(r'"[^"\n]*"', "", text)) is not None
-    found = {"sep": sniff_delimiter(text), "encoding": "utf-8" if encoding == "utf-8-sig" else encoding, "multiLine": quoted}
-    return spark.read.options(**found, header=True, mode="DROPMALFORMED", nullValue="", enforceSchema=False).csv(path), found
+    sep = sniff_delimiter(text)
+    header = next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])
+    first = "utf-8" if encoding == "utf-8-sig" else encoding
+    rest = [e for e in ENCODINGS if e not in ("utf-8-sig", first)]
+    return csv_ranges.scan(spark, path, max(1, len(header)), sep, [first, *rest]), header, sep
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file as raw rows: canonical names and types; broken lines are skipped."""
-    return normalize(_csv(spark, path)[0])
+def read_csv(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """A CSV file as raw rows: canonical names and types; broken lines are skipped. places: with the columns PLACE, in whose order the
+    rows stand in the file."""
+    found, header, _ = _csv(spark, path)
+    names = canonical_headers(header)
+    cells = found.cells.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names) if n], *(PLACE if places else ()))
+    return normalize(cells, PLACE)
 
 
 def csv_info(spark: SparkSession, path: str) -> dict:
     """Encoding, delimiter, canonical header and number of rows of a CSV file."""
-    cells, found = _csv(spark, path)
-    return {"encoding": found["encoding"], "delimiter": found["sep"], "header": canonical_headers(cells.columns), "rows": cells.select(F.lit(1)).count()}
+    found, header, sep = _csv(spark, path)
+    return {"encoding": found.encoding, "delimiter": sep, "header": canonical_headers(header), "rows": found.cells.count()}
+
+
+def csv_broken(spark: SparkSession, path: str) -> int:
+    """Records of a CSV file that read_csv skips."""
+    return _csv(spark, path)[0].broken()
 
 
 def csv_to_parquet(spark: SparkSession, path: str, folder: str, batch: str | None = None) -> tuple[str, str]:

@@ -130,3 +130,25 @@ def test_workbooks(spark):
     got = [tuple(r) for r in tables.import_workbook(spark, data).collect()]
     assert got[:3] == [("a<&>", datetime(2024, 10, 30, 6, 58, 10), "L", None), (None, datetime(2026, 1, 2), None, 2.0), ("b", None, None, None)]
     assert workbook._column(701) == "ZZ" and workbook._place("AA10") == 26
+
+
+def test_versions_at_times(spark):
+    import bisect
+    import random
+    from datetime import timedelta
+
+    rnd, start = random.Random(3), datetime(2025, 1, 1)
+    moments = sorted(start + timedelta(seconds=rnd.randrange(40 * 86400)) for _ in range(3000)) + [start + timedelta(days=9, seconds=k) for k in range(2000)]
+    versions = spark.createDataFrame([(f"v{k:05d}", m) for k, m in enumerate(moments)] + [("none", None)], "version_id string, imported_at timestamp_ntz")
+    asked = [start + timedelta(seconds=rnd.randrange(-86400, 45 * 86400)) for _ in range(4000)] + moments[:50] + [None, None]
+    times = spark.createDataFrame([(k, a) for k, a in enumerate(asked)], "k int, t timestamp_ntz")
+    newest = {}
+    for k, m in enumerate(moments):
+        newest[m] = max(newest.get(m, ""), f"v{k:05d}")
+    known = sorted(newest)
+    want = [None if a is None or a < known[0] else newest[known[bisect.bisect_right(known, a) - 1]] for a in asked]
+    for grain in ("hour", "day", "minute"):
+        got = spec_store.at_times(versions, times, "t", grain)
+        assert [r["version_id"] for r in got.orderBy("k").collect()] == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

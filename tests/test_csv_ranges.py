@@ -59,8 +59,8 @@ def read(spark, path, split):
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
         found, header, _ = tables._csv(spark, str(path))
-        rows = sorted(found.cells.collect(), key=lambda r: (r["__range"], r["__row"]))
-        return found, header, [tuple(x or "" for x in r[:-2]) for r in rows], found.cells.rdd.getNumPartitions(), found.broken()
+        rows = sorted(found.cells.collect(), key=lambda r: r[-3:])
+        return found, header, [tuple(x or "" for x in r[:-3]) for r in rows], found.cells.rdd.getNumPartitions(), found.broken()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
@@ -124,3 +124,15 @@ def test_empty_and_heading_alone(spark, tmp_path):
         found, got, rows, _, _ = read(spark, tmp_path / "a.csv", 8)
         assert (got, rows) == (header, [])
         assert tables.read_csv(spark, str(tmp_path / "a.csv")).count() == 0
+
+
+def test_a_folder_of_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    want = []
+    for k in range(4):
+        body = "".join(f'"s{k}\n{i}",t,{i}\n' if (i + k) % 3 else f"s{i},t,{i}\n" for i in range(20 * k + 5))
+        (tmp_path / "d" / f"p{k}.csv").write_text("SN,Time,n\n" + body + ('"open,t,1\n' if k == 2 else ""))
+        want += plain("SN,Time,n\n" + body)[1]
+    (tmp_path / "d" / "_SUCCESS").write_text("")
+    for split in (60, 1 << 20):
+        assert read(spark, tmp_path / "d", split)[2] == want

@@ -23,5 +23,5 @@ UNKNOWN, OTHERS = "未知", "其他"
 
 RESULT, OVERALL = "_result", "overall_result"
 CORE = ("SN", "Line", "Time", "Project", "Vendor", "Yield3", OVERALL)
-#: Columns that give an imported row's place in its file: the byte range that it begins in, and its number there.
-PLACE = ("__range", "__row")
+#: Columns that give an imported row's place: its file, the byte range that it begins in, and its number there.
+PLACE = ("__file", "__range", "__row")

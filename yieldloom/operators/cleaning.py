@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldloom.config import HEADER_ALIASES, METADATA, MIGRATION_FILL, REQUIRED_METADATA
+from yieldloom.config import HEADER_ALIASES, METADATA, MIGRATION_FILL, PLACE, REQUIRED_METADATA
 from yieldloom.functions.columns import missing, safe_float, safe_text, safe_timestamp
 from yieldloom.sources import files
 
@@ -79,14 +79,16 @@ def rewrite(df: DataFrame, target: str) -> None:
     new = f"{target.rstrip('/')}.new-{uuid.uuid4().hex}"
     try:
         df.write.parquet(new)
-        files.replace(spark, new, target.rstrip("/"))
-    finally:
+    except Exception:
         files.remove(spark, new)
+        raise
+    files.replace(spark, new, target.rstrip("/"))
 
 
 def clean_table(spark: SparkSession, path: str, target: str | None = None, dry_run: bool = False) -> dict:
     """Inspect a Parquet table and, unless dry_run, write its clean rows to another path or in its own place (a file becomes a
     folder of that name). A table without dirty rows is left as it is in its own place."""
+    files.recover(spark, path)
     if not files.exists(spark, path):
         raise FileNotFoundError(path)
     df = spark.read.parquet(path)
@@ -163,9 +165,12 @@ def migrate(df: DataFrame) -> DataFrame:
 
 
 def import_rows(df: DataFrame, values: dict[str, str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """The upload pipeline but for the judge: normalize, fill, drop null rows, dirty rows and repeats; one plan."""
-    rows = normalize(df)
+    """The upload pipeline but for the judge: normalize, fill, drop null rows, dirty rows and repeats; one plan. Of repeats the first in
+    the given order stays; by default that of the file, where the rows have their place (PLACE), which then goes; without either, any."""
+    places = [c for c in PLACE if c in df.columns]
+    rows = normalize(df, places)
     if values:
         rows = fill(rows, values)
     rows = clean(drop_null_rows(rows))
-    return drop_repeats(rows, order) if order else rows.dropDuplicates(["SN", "Time"])
+    by = order or places
+    return (drop_repeats(rows, by) if by else rows.dropDuplicates(["SN", "Time"])).drop(*places)

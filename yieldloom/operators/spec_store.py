@@ -28,20 +28,24 @@ def active(versions: DataFrame, limits: DataFrame) -> DataFrame:
     return newest.select("version_id").join(limits, "version_id").select("version_id", "fai_name", "lower_limit", "upper_limit", "nominal").orderBy("fai_name")
 
 
-def at_times(versions: DataFrame, times: DataFrame, column: str) -> DataFrame:
+def at_times(versions: DataFrame, times: DataFrame, column: str, grain: str = "hour") -> DataFrame:
     """For each time the newest version imported by then, or null.
 
-    The versions that hold at some moment of a day are few, so times join them by their day: an equi-join whose small side
-    has a row for each day and change of version. Times are neither sorted nor spread by anything but their day, and not
-    even that where Spark finds the small side small enough to send to every task.
+    Times are looked up by hour (or another unit of date_trunc): an equi-join whose other side has, for each hour that any time is in,
+    the version that the hour begins with and those imported within it. To find what an hour begins with, hours and versions are
+    sorted as one stream, which the last version is carried along; that stream is as long as the hours and versions there are,
+    however many times fall into them. Times are neither sorted nor spread by anything but their hour, and not even that where Spark
+    finds the other side small enough to send to every task. A finer grain suits versions that come by the thousand an hour.
     """
-    marks = versions.groupBy(F.col("imported_at").alias("__from")).agg(F.max("version_id").alias("version_id"))
-    held = marks.withColumn("__until", F.lead("__from").over(Window.orderBy("__from")))  # a row for each version
-    days = times.select(F.col(column).cast("date").alias("__day")).filter("__day IS NOT NULL").distinct()
-    spans = days.join(held, (F.col("__day") >= F.col("__from").cast("date")) & (F.col("__until").isNull() | (F.col("__day") <= F.col("__until").cast("date"))))
+    marks = versions.filter("imported_at IS NOT NULL").groupBy(F.col("imported_at").alias("__from")).agg(F.max("version_id").alias("version_id"))
     t = F.col(column)
-    on = (t.cast("date") == F.col("__day")) & (t >= F.col("__from")) & (F.col("__until").isNull() | (t < F.col("__until")))
-    return times.join(spans, on, "left").select(*times.columns, "version_id")
+    hour = lambda c: F.date_trunc(grain, c).cast("timestamp_ntz")
+    hours = times.select(hour(t).alias("__from")).filter("__from IS NOT NULL").distinct()
+    points = hours.withColumn("__mark", F.lit(0)).unionByName(marks.withColumn("__mark", F.lit(1)), allowMissingColumns=True)
+    stream = Window.orderBy("__from", "__mark")
+    held = points.select("__from", F.last("version_id", ignorenulls=True).over(stream).alias("version_id"), F.lead("__from").over(stream).alias("__until"), hour(F.col("__from")).alias("__hour"))
+    on = (hour(t) == F.col("__hour")) & (t >= F.col("__from")) & (F.col("__until").isNull() | (t < F.col("__until")))
+    return times.join(held, on, "left").select(*times.columns, "version_id")
 
 
 def at_time(versions: DataFrame, moment: str) -> DataFrame:

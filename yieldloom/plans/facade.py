@@ -22,7 +22,7 @@ def set_default_source(source: Source | None) -> None:
 
 def folder_source(spark: SparkSession, folder: str, mapper: Mapper | None = None) -> Source:
     """The judged batches of a folder, and of those that come later; mapper: their columns under this package's names."""
-    return lambda: mapped(tables.judged(spark, f"{folder.rstrip('/')}/judged_*"), mapper or {})
+    return lambda: mapped(tables.judged_of(spark, folder), mapper or {})
 
 
 Mapper = Mapping[str, str]

@@ -53,10 +53,10 @@ def _answers(sep: str, encoding: str):
     a line is not of the encoding."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[int, list] = {}
+        done: dict[tuple[str, int], list] = {}
         for batch in batches:
-            for start, raw, bare in zip(*(batch.column(c).to_pylist() for c in ("start", "line", "bare")), strict=True):
-                now = done.setdefault(start, [False, True, False, False, False, False])
+            for file, start, raw, bare in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "line", "bare")), strict=True):
+                now = done.setdefault((file, start), [False, True, False, False, False, False])
                 try:
                     line = raw.decode(encoding)
                 except UnicodeDecodeError:
@@ -65,15 +65,16 @@ def _answers(sep: str, encoding: str):
                 opens, stays = ends_within(line, False, sep), ends_within(line, True, sep)
                 now[0], now[1] = (stays if now[0] else opens), (stays if now[1] else opens)
                 now[2], now[3], now[4] = now[2] or not now[1], now[3] or opens, now[4] or bare
-        yield pa.RecordBatch.from_arrays([pa.array([*done], pa.int64()), *(pa.array([v[k] for v in done.values()], pa.bool_()) for k in range(6))], ["start", *_ANSWERS])
+        place = [pa.array([k[0] for k in done], pa.string()), pa.array([k[1] for k in done], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*place, *(pa.array([v[k] for v in done.values()], pa.bool_()) for k in range(6))], ["file", "start", *_ANSWERS])
 
     return run
 
 
 @dataclass(frozen=True)
 class Marks:
-    """starts: ranges after which the state changes or the open record does; owners: for each of them the range in which the record that
-    is open at its end begins, or -1 for none; at 0 stands the beginning of the file."""
+    """Of one file. starts: ranges after which the state changes or the open record does; owners: for each of them the range in which the record that
+    is open at its end begins, or -1 for none."""
 
     starts: tuple[int, ...]
     owners: tuple[int, ...]
@@ -88,8 +89,11 @@ class Marks:
         return self.owners[-1] if self.owners else -1
 
 
+_NONE = Marks((), ())
+
+
 def marks(answers: list[tuple[int, bool, bool, bool]]) -> Marks:
-    """From (start, after0, after1, back) of the ranges that have a quote."""
+    """From (start, after0, after1, back) of a file's ranges that have a quote."""
     starts, owners, owner = [], [], -1
     for start, after0, after1, back in sorted(answers):
         inside = after1 if owner >= 0 else after0
@@ -101,14 +105,19 @@ def marks(answers: list[tuple[int, bool, bool, bool]]) -> Marks:
     return Marks(tuple(starts), tuple(owners))
 
 
-def _records(sep: str, encoding: str, found: Marks):
-    """Lines, in order, to records. owner, row: the range that the record begins in, and its number there; start: this range; whole:
-    whether the record is complete here."""
+def _records(sep: str, encoding: str, found: dict[str, Marks]):
+    """Lines, in order, to records, but for one that is open at a file's end. owner, row: the range that the record begins in, and its
+    number there; start: this range; whole: whether the record is complete here. found: of the files that have quoted line ends."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["owner", "row", "start", "whole", "record"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+        names, kinds = ["file", "owner", "row", "start", "whole", "record"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
         made: list[tuple] = []
-        here, owner, row, parts, within, crosses = None, -1, 0, [], False, False
+        name, here, own, owner, row, parts, within, crosses = None, None, _NONE, -1, 0, [], False, False
+
+        def piece() -> None:
+            """What there is of a record that other ranges have the rest of."""
+            if parts and owner != own.last:
+                made.append((name, owner, row if owner == here else 0, here, False, "\n".join(parts)))
 
         def table() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], t) for k, t in enumerate(kinds)], names)
@@ -117,11 +126,11 @@ def _records(sep: str, encoding: str, found: Marks):
 
         for batch in batches:
             size = 0
-            for start, raw in zip(batch.column("start").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                if start != here:
-                    if parts:  # a record that goes on in the next range
-                        made.append((owner, row if owner == here else 0, here, False, "\n".join(parts)))
-                    here, owner = start, found.at(start)
+            for file, start, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "line")), strict=True):
+                if start != here or file != name:
+                    piece()
+                    name, here, own = file, start, found.get(file, _NONE)
+                    owner = own.at(start)
                     within = crosses = owner >= 0
                     parts, row = [], 0
                 line = raw.decode(encoding, "replace")
@@ -135,11 +144,11 @@ def _records(sep: str, encoding: str, found: Marks):
                 parts.append(line)
                 if not within:
                     if crosses:
-                        made.append((owner, 0, here, False, "\n".join(parts)))
+                        piece()
                     elif parts == [""]:  # an empty line is no record
                         row -= 1
                     else:
-                        made.append((owner, row, here, True, parts[0] if len(parts) == 1 else "\n".join(parts)))
+                        made.append((name, owner, row, here, True, parts[0] if len(parts) == 1 else "\n".join(parts)))
                     parts, crosses = [], False
                 size += len(line)
                 if size > 1 << 22:
@@ -147,45 +156,45 @@ def _records(sep: str, encoding: str, found: Marks):
                     size = 0
             if made:
                 yield table()
-        if parts:
-            made.append((owner, row if owner == here else 0, here, False, "\n".join(parts)))
+        piece()
         if made:
             yield table()
 
     return run
 
 
-def _with_pieces(found: Marks) -> Column:
+def _with_pieces(found: dict[str, Marks]) -> Column:
     """Ranges that begin or end within a record."""
     stretches: list[list] = []
-    for a, b, owner in zip(found.starts, [*found.starts[1:], None], found.owners, strict=True):
-        if owner >= 0:  # from the range after which a record is open to the one in which it ends
-            if stretches and stretches[-1][1] == a:
-                stretches[-1][1] = b
-            else:
-                stretches.append([a, b])
+    for file, own in found.items():
+        for a, b, owner in zip(own.starts, [*own.starts[1:], None], own.owners, strict=True):
+            if owner >= 0:  # from the range after which a record is open to the one in which it ends
+                if stretches and stretches[-1][0] == file and stretches[-1][2] == a:
+                    stretches[-1][2] = b
+                else:
+                    stretches.append([file, a, b])
     out = F.lit(len(stretches) > STRETCHES)
-    for a, b in stretches if len(stretches) <= STRETCHES else []:
-        out = out | (F.col("start") >= a) & (F.lit(True) if b is None else F.col("start") <= b)
+    for file, a, b in stretches if len(stretches) <= STRETCHES else []:
+        out = out | (F.col("file") == file) & (F.col("start") >= a) & (F.lit(True) if b is None else F.col("start") <= b)
     return out
 
 
-def _split_records(lines: DataFrame, sep: str, encoding: str, found: Marks) -> DataFrame:
-    """The place and text of every record but the first, which is the heading, and but one that the file's end breaks off."""
-    raw = lines.select("start", F.col("value").cast("binary").alias("line"))
-    schema = "owner long, row long, start long, whole boolean, record string"
+def _split_records(lines: DataFrame, sep: str, encoding: str, found: dict[str, Marks]) -> DataFrame:
+    """The place and text of every record but each file's first, which is the heading, and but one that its end breaks off."""
+    raw = lines.select("file", "start", F.col("value").cast("binary").alias("line"))
+    schema = "file string, owner long, row long, start long, whole boolean, record string"
     split = _records(sep, encoding, found)
-    own = raw.mapInArrow(split, schema).filter("whole").select("owner", "row", "record")
-    if found.starts:
-        pieces = raw.filter(_with_pieces(found)).mapInArrow(split, schema).filter(~F.col("whole") & (F.col("owner") != found.last))
-        joined = pieces.groupBy("owner").agg(F.max("row").alias("row"), F.array_sort(F.collect_list(F.struct("start", "record"))).alias("p"))
-        own = own.unionByName(joined.select("owner", "row", F.concat_ws("\n", F.col("p.record")).alias("record")))
-    return own.filter("owner <> 0 OR row <> 1").select(F.col("owner").alias(PLACE[0]), F.col("row").alias(PLACE[1]), "record")
+    own = raw.mapInArrow(split, schema).filter("whole").select("file", "owner", "row", "record")
+    if found:
+        pieces = raw.filter(_with_pieces(found)).mapInArrow(split, schema).filter("NOT whole")
+        joined = pieces.groupBy("file", "owner").agg(F.max("row").alias("row"), F.array_sort(F.collect_list(F.struct("start", "record"))).alias("p"))
+        own = own.unionByName(joined.select("file", "owner", "row", F.concat_ws("\n", F.col("p.record")).alias("record")))
+    return own.filter("owner <> 0 OR row <> 1").select(*[F.col(c).alias(p) for c, p in zip(("file", "owner", "row"), PLACE, strict=True)], "record")
 
 
 @dataclass(frozen=True)
 class Scan:
-    """A CSV file's records below the heading. cells: c0, c1 ... as text, the empty ones null, and the records' place (PLACE) in the file;
+    """The records below the heading. cells: c0, c1 ... as text, the empty ones null, and the records' place (PLACE) among the files;
     records with more or fewer cells than the heading are left out. parsed: all records, the text of those left out in one more column."""
 
     cells: DataFrame
@@ -199,14 +208,14 @@ class Scan:
 
 
 def scan(spark: SparkSession, path: str, columns: int, sep: str = ",", encodings: Sequence[str] = ("utf-8", "latin-1")) -> Scan:
-    """The records of one file whose heading has so many cells. encodings: names that Python knows; the first that reads all lines
+    """The records of a file, or of a folder's files, whose heading has so many cells. encodings: names that Python knows; the first that reads all lines
     that have a quote or are not UTF-8 holds, else the last."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("start"), "value")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
     cr = F.instr("value", "\r")
     bare = (cr > 0) & (cr < F.char_length("value"))
-    asked = lines.filter(F.contains("value", F.lit('"')) | bare | ~F.is_valid_utf8("value")).select("start", F.col("value").cast("binary").alias("line"), bare.alias("bare"))
+    asked = lines.filter(F.contains("value", F.lit('"')) | bare | ~F.is_valid_utf8("value")).select("file", "start", F.col("value").cast("binary").alias("line"), bare.alias("bare"))
     for encoding in encodings:
-        answers = asked.mapInArrow(_answers(sep, encoding), "start long, " + ", ".join(f"{c} boolean" for c in _ANSWERS)).collect()
+        answers = asked.mapInArrow(_answers(sep, encoding), "file string, start long, " + ", ".join(f"{c} boolean" for c in _ANSWERS)).collect()
         if not any(a["unlike"] for a in answers):
             break
     names = [f"c{k}" for k in range(columns)]
@@ -214,9 +223,12 @@ def scan(spark: SparkSession, path: str, columns: int, sep: str = ",", encodings
     options = {"sep": sep, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": _BROKEN, "columnPruning": "false"}
     if encoding == "utf-8" and not any(a["opens"] or a["bare"] or a["unlike"] for a in answers):
         read = lambda schema, mode: spark.read.schema(schema).options(**options, header=True, enforceSchema=True, mode=mode).csv(path)
-        place = [F.col("_metadata.file_block_start").alias(PLACE[0]), F.monotonically_increasing_id().alias(PLACE[1])]
+        place = [c.alias(p) for c, p in zip((F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()), PLACE, strict=True)]
         return Scan(read(schema, "DROPMALFORMED").select(*own, *place), read(f"{schema}, {_BROKEN} string", "PERMISSIVE"), encoding, False)
-    found = marks([(a["start"], a["after0"], a["after1"], a["back"]) for a in answers])
+    by_file: dict[str, list] = {}
+    for a in answers:
+        by_file.setdefault(a["file"], []).append((a["start"], a["after0"], a["after1"], a["back"]))
+    found = {file: own for file, own in ((f, marks(rows)) for f, rows in by_file.items()) if own.starts}
     records = _split_records(lines, sep, encoding, found)
     parsed = records.select(F.from_csv("record", f"{schema}, {_BROKEN} string", options | {"multiLine": "true"}).alias("c"), *PLACE).select("c.*", *PLACE)
     return Scan(parsed.filter(f"{_BROKEN} IS NULL").select(*own, *PLACE), parsed, encoding, any(a["opens"] for a in answers))

@@ -7,17 +7,22 @@ import io
 import uuid
 from datetime import datetime
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from yieldloom.config import METADATA, PLACE, RESULT
 from yieldloom.operators.cleaning import canonical_headers, normalize, raw_schema
 from yieldloom.sources import csv_ranges, files, workbook
+from yieldloom.sources.tableset import TableSet
 
 # Fixed values; the one with a mark stands first, as plain UTF-8 would read its mark as a letter.
 ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "gb2312", "latin-1")
 DELIMITERS = ",\t;|"
+#: Jobs that read footers at a time.
+FOOTER_JOBS = 16
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -30,37 +35,75 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
 
 
+def _compatible(schemas: list[T.StructType]) -> T.StructType | None:
+    """All columns of the schemas, if none has two types."""
+    kinds: dict[str, T.StructField] = {}
+    for schema in schemas:
+        for field in schema:
+            if kinds.setdefault(field.name, field).dataType != field.dataType:
+                return None
+    return T.StructType([*kinds.values()])
+
+
 def judged(spark: SparkSession, *paths: str) -> DataFrame:
-    """All judged batches as one table; with differing schemas, by name."""
+    """All judged batches as one table; with differing schemas, by name. Where a column's type differs between files, footers are read by
+    a few jobs at a time, and files whose types agree are one scan: there are as many scans as there are sets of types."""
     try:
         return spark.read.option("mergeSchema", True).parquet(*paths)
     except Exception as e:  # types that differ between files cannot be merged
         every = [f for p in paths for f in files.matching(spark, p)]
         if "CANNOT_MERGE_SCHEMAS" not in str(e) or len(every) < 2:
             raise
-        return union_by_name([spark.read.parquet(p) for p in every])
+    with ThreadPool(FOOTER_JOBS) as jobs:
+        schemas = jobs.map(lambda p: spark.read.parquet(p).schema, every)
+    alike: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path, schema in zip(every, schemas, strict=True):
+        alike.setdefault(schema.json(), (schema, []))[1].append(path)
+    scans: list[list] = []
+    for schema, own in alike.values():
+        for scan in scans:
+            if (both := _compatible([scan[0], schema])) is not None:
+                scan[0], scan[1] = both, scan[1] + own
+                break
+        else:
+            scans.append([schema, own])
+    frames = [spark.read.schema(schema).parquet(*own) for schema, own in scans]
+    return union_by_name(frames) if len(frames) > 1 else frames[0]
+
+
+def judged_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The judged batches of a folder, as its manifest has them just now."""
+    tables = TableSet(spark, folder)
+    return judged(spark, *[p for name in tables.names("judged_") for p in tables.paths(name)])
 
 
 def list_batches(spark: SparkSession, folder: str, kind: str = "raw") -> list[tuple[str, str]]:
-    """(batch id, path) of the batches of a kind (raw or judged) in a folder, in order."""
-    found = files.names(spark, folder, f"{kind}_*")
-    return [(n.removeprefix(f"{kind}_").removesuffix(".parquet"), f"{folder.rstrip('/')}/{n}") for n in found]
+    """(batch id, path) of the batches of a kind (raw or judged) in a folder, in order; of several paths the first."""
+    tables = TableSet(spark, folder)
+    return [(n.removeprefix(f"{kind}_").removesuffix(".parquet"), tables.paths(n)[0]) for n in tables.names(f"{kind}_")]
+
+
+def read_batch(spark: SparkSession, folder: str, batch: str, kind: str = "raw") -> DataFrame:
+    tables = TableSet(spark, folder)
+    for name in (f"{kind}_{batch}", f"{kind}_{batch}.parquet"):
+        if paths := tables.paths(name):
+            return spark.read.parquet(*paths)
+    raise FileNotFoundError(f"no {kind} batch {batch} in {folder}")
 
 
 def batch_info(spark: SparkSession, path: str) -> dict:
-    """Rows, columns and dimensions of a batch; only its footers are read."""
-    df = spark.read.parquet(path)
+    """Rows, columns, dimensions, size and time of a batch; only its footers are read."""
+    df, own = spark.read.parquet(path), files.listing(spark, path)
     meta = {m.lower() for m in METADATA}
     dimensions = [c for c in df.columns if c.lower() not in meta and not c.endswith(RESULT)]
-    return {"path": path, "rows": df.count(), "columns": len(df.columns), "dimensions": len(dimensions), "names": df.columns}
+    times = {"bytes": sum(b for _, b, _ in own), "changed": datetime.fromtimestamp(max(t for *_, t in own) / 1000) if own else None}
+    return {"path": path, "rows": df.count(), "columns": len(df.columns), "dimensions": len(dimensions), "names": df.columns, **times}
 
 
 def write_raw(df: DataFrame, folder: str, batch: str | None = None) -> tuple[str, str]:
     """Write raw rows as a new batch; (its id, its path). A batch of that id that is there already is an error."""
     batch = batch or f"{datetime.now():%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:6]}"
-    path = f"{folder.rstrip('/')}/raw_{batch}"
-    df.write.option("compression", "snappy").parquet(path)
-    return batch, path
+    return batch, TableSet(df.sparkSession, folder).write(f"raw_{batch}", df, new=True)
 
 
 def batch_of(df: DataFrame) -> DataFrame:
@@ -95,9 +138,9 @@ def sniff_delimiter(text: str) -> str:
 
 
 def _csv(spark: SparkSession, path: str) -> tuple[csv_ranges.Scan, list[str], str]:
-    """(the records of a CSV file, its heading, its delimiter). The beginning of the file names these two and what encoding to try
-    first; all of it is looked at for quoted line ends and bytes of another encoding."""
-    sample = files.head(spark, path, 100_000)
+    """(the records of a CSV file, its heading, its delimiter); also of a folder of files with one heading. The beginning of the (first)
+    file names these two and what encoding to try first; all is looked at for quoted line ends and bytes of another encoding."""
+    sample = files.head(spark, files.first(spark, path), 100_000)
     encoding = sniff_encoding(sample)
     text = sample.decode(encoding, "ignore")
     sep = sniff_delimiter(text)
@@ -132,15 +175,17 @@ def csv_to_parquet(spark: SparkSession, path: str, folder: str, batch: str | Non
     return write_raw(read_csv(spark, path), folder, batch)
 
 
-def rows_to_raw(spark: SparkSession, header: list, rows: list[list]) -> DataFrame:
-    """A sheet's cells as raw rows; short rows are filled up, cells without a header dropped."""
+def rows_to_raw(spark: SparkSession, header: list, rows: list[list], places: bool = False) -> DataFrame:
+    """A sheet's cells as raw rows; short rows are filled up, cells without a header dropped. places: with each row's number."""
     names = canonical_headers(header)
     keep = [k for k, n in enumerate(names) if n]
     cells = [[None if k >= len(r) or r[k] is None else str(r[k]) for k in keep] for r in rows]
     kept = [names[k] for k in keep]
-    frame = spark.createDataFrame(cells, ", ".join(f"`{n}` string" for n in kept)) if kept else spark.createDataFrame([], "SN string")
-    out = normalize(frame)
-    return out.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in raw_schema(out.columns)])
+    placed = [(*r, k) for k, r in enumerate(cells)]
+    frame = spark.createDataFrame(placed, ", ".join([*[f"`{n}` string" for n in kept], f"{PLACE[-1]} bigint"])) if kept else spark.createDataFrame([], "SN string")
+    out = normalize(frame, PLACE)
+    own = [F.col(f"`{f.name}`").cast(f.dataType) for f in raw_schema([c for c in out.columns if c not in PLACE])]
+    return out.select(*own, *([PLACE[-1]] if places and kept else []))
 
 
 def pick_sheet(names: list[str]) -> str:
@@ -162,9 +207,9 @@ def read_sheet(data: bytes, sheet: str | None = None) -> tuple[list, list[list]]
     return (cells[0], cells[1:]) if cells else ([], [])
 
 
-def import_workbook(spark: SparkSession, data: bytes, sheet: str | None = None) -> DataFrame:
+def import_workbook(spark: SparkSession, data: bytes, sheet: str | None = None, places: bool = False) -> DataFrame:
     """A workbook's data sheet as raw rows."""
-    return rows_to_raw(spark, *read_sheet(data, sheet))
+    return rows_to_raw(spark, *read_sheet(data, sheet), places)
 
 
 def spec_rows(header: list, rows: list[list]) -> list[tuple]:

@@ -58,8 +58,12 @@ def daily_top(judged: DataFrame, n: int = 10, filters: Filters = ALL) -> DataFra
 def daily_top_regression(judged: DataFrame, tie: list, n: int = 10, filters: Filters = ALL) -> DataFrame:
     """The same of units' last rows, on the day of their first time."""
     columns = result_columns(judged)
-    rows = latest_per_unit(recorded(filters.apply(judged)), columns, tie)
-    return _daily(rows, production_day(F.col("first_prod_time"), filters.cutoff), columns, n)
+    return daily_top_of(latest_per_unit(recorded(filters.apply(judged)), columns, tie), n, filters.cutoff)
+
+
+def daily_top_of(units: DataFrame, n: int = 10, cutoff: int = CUTOFF_HOUR) -> DataFrame:
+    """daily_top_regression of units that are collapsed already."""
+    return _daily(units, production_day(F.col("first_prod_time"), cutoff), result_columns(units), n)
 
 
 def top_regression(judged: DataFrame, tie: list, n: int = 20, filters: Filters = ALL, exact: bool = False) -> DataFrame:

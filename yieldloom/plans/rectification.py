@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.config import OVERALL, SAVE_RATE
+from yieldloom.config import CUTOFF_HOUR, OVERALL, SAVE_RATE
 from yieldloom.functions.columns import base_name, in_order, percent, production_day, repairable, result_columns
 from yieldloom.operators.filters import Filters, recorded, timed
 from yieldloom.operators.latest import latest_per_unit
@@ -35,15 +35,24 @@ def _rates(df: DataFrame) -> DataFrame:
 
 def stats(judged: DataFrame, tie: list, filters: Filters = ALL) -> DataFrame:
     columns = result_columns(judged)
-    rows = latest_per_unit(recorded(filters.apply(judged)), [OVERALL, *columns], tie)
-    return _rates(rows.agg(*_counts(columns)))
+    return stats_of(latest_per_unit(recorded(filters.apply(judged)), [OVERALL, *columns], tie))
+
+
+def stats_of(units: DataFrame) -> DataFrame:
+    """stats of units that are collapsed already."""
+    return _rates(units.agg(*_counts(result_columns(units))))
 
 
 def daily(judged: DataFrame, tie: list, filters: Filters = ALL) -> DataFrame:
     """The same by production day; what is saved is rounded down day by day."""
     columns = result_columns(judged)
-    rows = latest_per_unit(timed(filters.apply(judged)), [OVERALL, *columns], tie)
-    days = rows.groupBy(production_day(F.col("first_prod_time"), filters.cutoff).alias("production_day")).agg(*_counts(columns))
+    return daily_of(latest_per_unit(timed(filters.apply(judged)), [OVERALL, *columns], tie), filters.cutoff)
+
+
+def daily_of(units: DataFrame, cutoff: int = CUTOFF_HOUR) -> DataFrame:
+    """daily of units that are collapsed already; those without a time are on no day."""
+    rows = units.filter("first_prod_time IS NOT NULL")
+    days = rows.groupBy(production_day(F.col("first_prod_time"), cutoff).alias("production_day")).agg(*_counts(result_columns(units)))
     return in_order(_rates(days), "production_day")
 
 

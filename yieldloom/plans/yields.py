@@ -38,9 +38,13 @@ def _collapsed(judged: DataFrame, filters: Filters, tie: list, keep: list[str])
 
 def regression_daily(judged: DataFrame, tie: list, filters: Filters = ALL) -> DataFrame:
     """Each unit once: its last verdict on the day of its first time. A unit without a readable time has a null day."""
-    rows = _collapsed(judged, filters, tie, [OVERALL])
-    day = production_day(F.col("first_prod_time"), filters.cutoff).alias("production_day")
-    return in_order(rows.groupBy(day).agg(*yield_columns()), F.col("production_day").asc_nulls_last())
+    return daily_of(_collapsed(judged, filters, tie, [OVERALL]), filters.cutoff)
+
+
+def daily_of(units: DataFrame, cutoff: int = CUTOFF_HOUR) -> DataFrame:
+    """regression_daily of units that are collapsed already (see KeptUnits)."""
+    day = production_day(F.col("first_prod_time"), cutoff).alias("production_day")
+    return in_order(units.groupBy(day).agg(*yield_columns()), F.col("production_day").asc_nulls_last())
 
 
 def multi_production(judged: DataFrame, top: int = 20) -> DataFrame:
@@ -84,14 +88,20 @@ def unique_counts(judged: DataFrame) -> DataFrame:
 
 def regression_rows(judged: DataFrame, tie: list, columns: str = "core", filters: Filters = ALL) -> DataFrame:
     """Each unit's last row with its first time, newest first. columns: core, minimal (no verdicts), all."""
+    keep = _kept_columns(judged.columns, columns)
+    return rows_of(latest_per_unit(filters.apply(judged), list(dict.fromkeys([*keep, "Time"])), tie), columns, keep)
+
+
+def _kept_columns(names: list[str], columns: str) -> list[str]:
     if columns == "core":
-        keep = [c for c in CORE if c in judged.columns]
-    elif columns == "minimal":
-        keep = [c for c in judged.columns if not c.endswith(RESULT)]
-    else:
-        keep = judged.columns
-    rows = latest_per_unit(filters.apply(judged), list(dict.fromkeys([*keep, "Time"])), tie)
-    out = rows.withColumn("Time", F.col("first_prod_time")).orderBy(F.col("Time").desc_nulls_last(), F.col("SN").asc_nulls_last())
+        return [c for c in CORE if c in names]
+    return [c for c in names if not c.endswith(RESULT)] if columns == "minimal" else names
+
+
+def rows_of(units: DataFrame, columns: str = "core", keep: list[str] | None = None) -> DataFrame:
+    """regression_rows of units that are collapsed already."""
+    keep = keep or _kept_columns([c for c in units.columns if c != "first_prod_time"], columns)
+    out = units.withColumn("Time", F.col("first_prod_time")).orderBy(F.col("Time").desc_nulls_last(), F.col("SN").asc_nulls_last())
     return out.select(*keep)
 
 

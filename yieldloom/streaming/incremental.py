@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from yieldloom.config import CUTOFF_HOUR, OVERALL
+from yieldloom.functions.columns import in_order, percent
 from yieldloom.operators.judge import Limits, judge
+from yieldloom.sources.tableset import TableSet
 
 
 def judge_new(spark: SparkSession, raw: str, judged: str, checkpoint: str, schema: T.StructType, limits: Limits, spec_version: str = "") -> StreamingQuery:
@@ -26,6 +29,93 @@ def daily_yield(rows: DataFrame, cutoff: int = 7, late: str = "2 days", week: bo
     return days.agg(F.count(F.lit(1)).alias("total"), ok).select(F.col("window.start").cast("date").alias("production_week" if week else "production_day"), "total", "ok_count")
 
 
+class _Unit(StatefulProcessor):
+    """State of a unit: its first time, and of its last row the order and the kept columns, as JSON. Says what changes: the old state
+    with -1, the new one with 1."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.unit = handle.getValueState("unit", "first_us long, place string, kept string")
+
+    def handleInputRows(self, key, rows, timer_values):  # noqa: N802  the interface's name
+        import pandas as pd
+
+        old = tuple(self.unit.get()) if self.unit.exists() else None
+        now = old
+        for part in rows:
+            for t, place, kept in zip(part["t"].tolist(), part["place"].tolist(), part["kept"].tolist(), strict=True):
+                if now is None:
+                    now = (t, place, kept)
+                else:
+                    now = (min(now[0], t), *((place, kept) if place > now[1] else now[1:]))
+        if now == old:
+            return
+        self.unit.update(now)
+        if old is None:
+            yield pd.DataFrame({"SN": [key[0]], "first_us": [now[0]], "kept": [now[2]], "change": [1]})
+        elif (old[0], old[2]) != (now[0], now[2]):
+            yield pd.DataFrame({"SN": [key[0]] * 2, "first_us": [old[0], now[0]], "kept": [old[2], now[2]], "change": [-1, 1]})
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(t: Column) -> Column:
+    """A wall-clock time as microseconds, whatever the session's zone."""
+    whole = (F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(t)) * 3600 + F.minute(t) * 60
+    return whole * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
+def _sortable(c: Column, kind: T.DataType) -> Column:
+    """A whole number, time or text as text whose order is the column's own; nulls are first."""
+    if isinstance(kind, T.IntegralType):
+        text = F.lpad(F.hex(c.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
+    elif isinstance(kind, T.StringType):
+        text = F.concat(F.hex(c.cast("binary")), F.lit(" "))
+    else:
+        raise TypeError(f"a tie must be a whole number or text, not {kind.simpleString()}")
+    return F.coalesce(F.concat(F.lit("1"), text), F.lit("0"))
+
+
+def unit_changes(rows: DataFrame, keep: list[str], tie: list[str]) -> DataFrame:
+    """A stream of judged rows as changes of collapsed units: SN, first_us (microseconds), the kept columns, and change: -1 withdraws
+    what was said of the unit before, 1 says what holds now. Re-tests may come however late and in any order: of each unit the state
+    store holds its first time, and the order and kept columns of its last row. tie: whole numbers or text. Needs the RocksDB state store."""
+    t = F.col("Time").cast("timestamp_ntz")
+    place = F.concat(_sortable(_micros(t), T.LongType()), *[_sortable(F.col(c), rows.schema[c].dataType) for c in tie])
+    kept = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in keep])
+    own = rows.filter("Time IS NOT NULL").select("SN", _micros(t).alias("t"), place.alias("place"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in keep])).alias("kept"))
+    shown = T.StructType([T.StructField("SN", rows.schema["SN"].dataType), T.StructField("first_us", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("change", T.IntegerType())])
+    changes = own.groupBy("SN").transformWithStateInPandas(_Unit(), shown, "Update", "None")
+    return changes.withColumn("kept", F.from_json("kept", kept)).select("SN", "first_us", "kept.*", "change")
+
+
+def keep_daily(rows: DataFrame, folder: str, checkpoint: str, tie: list[str], name: str = "days", cutoff: int = CUTOFF_HOUR) -> StreamingQuery:
+    """Keep the daily yield of collapsed units (regression_daily) of a stream: each micro-batch's changes are summed by day and verdict and
+    added to a small table, in one commit with the batch's number, so a batch that runs twice counts once. Ends when all is read."""
+
+    def add(changes: DataFrame, batch: int) -> None:
+        days = TableSet(changes.sparkSession, folder)
+        before = days.entry(name)
+        if before and before["batch"] >= batch and before["checkpoint"] == checkpoint:
+            return
+        day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((F.col("first_us") - cutoff * 3_600_000_000) / 86_400_000_000).cast("int"))
+        new = changes.groupBy(day.alias("production_day"), OVERALL).agg(F.sum("change").alias("units"))
+        sums = days.read(name).unionByName(new) if before else new
+        sums = sums.groupBy("production_day", OVERALL).agg(F.sum("units").alias("units")).filter("units <> 0")
+        days.write(name, sums.coalesce(1), batch=batch, checkpoint=checkpoint)
+
+    changes = unit_changes(rows, [OVERALL], tie)
+    return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
+
+
+def kept_daily(spark: SparkSession, folder: str, name: str = "days") -> DataFrame:
+    """The table that keep_daily keeps, with its rates."""
+    units = lambda c: F.coalesce(F.sum(F.when(c, F.col("units")).otherwise(0)), F.lit(0))
+    total, ok, ng = F.sum("units"), units(F.col(OVERALL) == 0), units(F.col(OVERALL) == 1)
+    days = TableSet(spark, folder).read(name).groupBy("production_day")
+    return in_order(days.agg(total.alias("total"), ok.alias("ok_count"), ng.alias("ng_count"), percent(ok, total).alias("yield_pct")), F.col("production_day").asc_nulls_last())
+
+
 def merge_latest(state: DataFrame, batch: DataFrame, tie: list[str]) -> DataFrame:
     """One row for each SN: first_time, and the row with the last Time, of what was known and what came. For foreachBatch.
     tie: the columns that decide between equal times; the larger wins."""

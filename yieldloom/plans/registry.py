@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldloom.functions import columns as C
-from yieldloom.operators import cleaning, filters, spec_store
+from yieldloom.operators import batches, cleaning, filters, spec_store
 from yieldloom.operators.filters import Filters
 from yieldloom.operators.judge import judge
+from yieldloom.operators.kept import KeptUnits
 from yieldloom.plans import defects, rectification, report, views, yields
 from yieldloom.plans.views import EVENT_TIE, EVENTS_SQL, ITEM_TIE, ITEMS_SQL, LATEST_SQL
-from yieldloom.sources import tables
+from yieldloom.sources import files, tables
+from yieldloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -237,7 +239,101 @@ query("s5_s6_row_count", "SELECT count(*) AS n, CAST(greatest(1, ceil(count(*) /
 )
 
 
+def _csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """Events as a folder of CSV files; a fiftieth have line ends, quotes and commas within a field."""
+    path = files.new_path(spark, "csv")
+    sn = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit('two\nlines, "'), F.col("event_id").cast("string"), F.lit('"\n'))).otherwise(F.concat(F.lit("s"), F.col("event_id").cast("string")))
+    cells = views.table(spark, sf_dir, "events").select(sn.alias("SN"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Time"), F.col("event_type").alias("CFG"), F.col("value").alias("FAI312"))
+    cells.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+query("s11_csv", """SELECT CASE WHEN event_id % 50 = 0 THEN 'two' || chr(10) || 'lines, "' || CAST(event_id AS VARCHAR) || '"' || chr(10) ELSE 's' || CAST(event_id AS VARCHAR) END AS SN,
+ date_trunc('second', ts) AS Time, event_type AS Line, value AS FAI312 FROM events""")(lambda s, d: tables.read_csv(s, _csv_files(s, d)))
+
+
+# --- batches in a folder of their own, from import to judge
+def _store(spark: SparkSession, limits: dict) -> spec_store.SpecStore:
+    store = spec_store.SpecStore(spark, files.new_path(spark, "specs"))
+    version = store.create("limits")
+    store.save_limits(version, [(name, low, high, None) for name, (low, high) in limits.items()])
+    store.activate(version)
+    return store
+
+
+def _upload_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.new_path(spark, "batches")
+    cells = _dirty(spark, sf_dir).withColumns({"CFG": F.col("Line"), "event_id": F.col("event_id")}).drop("Line")
+    batches.upload(spark, cells, folder, _store(spark, {"FAI312": (5.0, 450.0)}), batch="all", order=["event_id"])
+    return tables.read_batch(spark, folder, "all", "judged").select("event_id", "SN", "Line", "FAI312", "FAI312_result", "overall_result")
+
+
+query("c16_upload_judge", events_sql(f"SELECT event_id::DOUBLE AS event_id, SN, Line, FAI312, v AS FAI312_result, v AS overall_result FROM (SELECT *, CAST(CASE WHEN FAI312 IS NULL OR isnan(FAI312) OR FAI312 BETWEEN 5 AND 450 THEN 0 ELSE 1 END AS TINYINT) AS v, row_number() OVER (PARTITION BY SN, Time ORDER BY event_id) AS n FROM X WHERE (SN IS NOT NULL OR Time IS NOT NULL) AND NOT ({_ANY})) WHERE n = 1", _DIRTY_SQL))(_upload_judge)
+
+
+def _judge_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four raw batches, the first of which has been judged by an older version; the others are judged by ranges of their files."""
+    folder, raw = files.new_path(spark, "batches"), views.raw_events(spark, sf_dir).select("event_id", "SN", "Time", "FAI312", "FAI313")
+    for k in range(4):
+        tables.write_raw(raw.filter(F.col("event_id") % 4 == k), folder, f"b{k}")
+    batches.judge_one(spark, folder, "b0", {"FAI312": (None, 100.0)}, "old")
+    batches.judge_new(spark, folder, {"FAI312": (5.0, 450.0), "FAI313": (3.0, 95.0)}, "v1")
+    judged = tables.judged_of(spark, folder).groupBy(F.concat(F.lit("b"), (F.col("event_id") % 4).cast("string")).alias("batch_id"), "spec_version")
+    ng = lambda c: F.sum(F.col(c).cast("bigint")).alias(c)
+    return judged.agg(F.count(F.lit(1)).alias("total"), ng("overall_result"), ng("FAI312_result"), ng("FAI313_result"))
+
+
+query("j12_judge_new", events_sql("""SELECT 'b' || CAST(event_id % 4 AS VARCHAR) AS batch_id, CASE WHEN event_id % 4 = 0 THEN 'old' ELSE 'v1' END AS spec_version, count(*) AS total,
+ CAST(sum(CASE WHEN event_id % 4 = 0 THEN CAST(coalesce(FAI312 > 100, false) AS INTEGER) ELSE greatest(FAI312_result, FAI313_result) END) AS BIGINT) AS overall_result,
+ CAST(sum(CASE WHEN event_id % 4 = 0 THEN CAST(coalesce(FAI312 > 100, false) AS INTEGER) ELSE FAI312_result END) AS BIGINT) AS FAI312_result, CAST(sum(CASE WHEN event_id % 4 <> 0 THEN FAI313_result END) AS BIGINT) AS FAI313_result FROM J GROUP BY 1, 2"""))(_judge_new)
+
+
+def _kept_units(spark: SparkSession, sf_dir: str) -> KeptUnits:
+    """Events in three batches that come out of order."""
+    units, judged = KeptUnits(spark, files.new_path(spark, "kept"), EVENT_TIE), views.events(spark, sf_dir)
+    for k in (2, 0, 1):
+        units.update(f"b{k}", judged.filter(F.col("event_id") % 3 == k))
+    return units
+
+
+query("st_late_units", events_sql("SELECT SN, Line, first_prod_time AS Time, Project, Vendor, overall_result FROM L", LATEST_SQL.replace(" WHERE Time IS NOT NULL", "").replace("Time DESC,", "Time DESC NULLS LAST,")))(lambda s, d: _kept_units(s, d).unit_rows())
+
+
+def _signed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of three micro-batches that all days are spread over."""
+    source, out = files.new_path(spark, "stream"), files.new_path(spark, "days")
+    own = views.events(spark, sf_dir).select("SN", "Time", "event_id", "overall_result")
+    for k in (2, 0, 1):
+        own.filter(F.col("event_id") % 3 == k).write.parquet(f"{source}/p{k}")
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/p*")
+    incremental.keep_daily(stream, out, f"{out}/checkpoint", EVENT_TIE).awaitTermination()
+    return incremental.kept_daily(spark, out)
+
+
+on_events("st_daily_signed", f"SELECT {FIRST_DAY} AS production_day, {YIELD} FROM L GROUP BY 1", lambda j: j, LATEST_SQL)
+_QUERIES["st_daily_signed"] = _signed_days
+
+
 # --- specifications, from suppliers and parts
+def _store_of_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version for each region with a limit for each of its nations, saved twice; the last but one by name is the active one."""
+    store = spec_store.SpecStore(spark, files.new_path(spark, "specs"))
+    regions = {r["r_name"]: r["r_regionkey"] for r in views.table(spark, sf_dir, "region").orderBy("r_name").collect()}  # five rows
+    nations = views.table(spark, sf_dir, "nation").collect()  # 25 rows
+    made = {name: store.create(name) for name in regions}
+    for name, key in regions.items():
+        own = [(n["n_name"], float(n["n_nationkey"]), float(n["n_nationkey"] + 10), None) for n in nations if n["n_regionkey"] == key]
+        store.save_limits(made[name], own[:1])
+        store.save_limits(made[name], own)
+    for name in sorted(regions)[-2:][::-1]:
+        store.activate(made[name])
+    again = spec_store.SpecStore(spark, store.folder)
+    sums = again.limits.groupBy("version_id").agg(F.sum("lower_limit").alias("lower"), F.sum("upper_limit").alias("upper"))
+    return spec_store.versions_with_counts(again.versions, again.limits).join(sums, "version_id", "left").select("source_file", "is_active", "fai_count", "lower", "upper")
+
+
+query("p1_p4_store", """SELECT r_name AS source_file, r_name = (SELECT r_name FROM region ORDER BY r_name DESC LIMIT 1 OFFSET 1) AS is_active, count(n_name) AS fai_count,
+ sum(n_nationkey::DOUBLE) AS lower, sum(n_nationkey::DOUBLE + 10) AS upper FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")(_store_of_regions)
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nation = views.table(spark, sf_dir, "nation")
     v = nation.select(F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("version_id"), F.col("n_name").alias("source_file"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("n_nationkey").cast("int"), hours=F.col("n_regionkey").cast("int"))).alias("imported_at"), (F.col("n_nationkey") % 4 == 1).alias("is_active"), F.lit("").alias("description"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,7 +108,20 @@ def keep_daily(rows: DataFrame, folder: str, checkpoint: str, tie: list[str], na
         days.write(name, sums.coalesce(1), batch=batch, checkpoint=checkpoint)
 
     changes = unit_changes(rows, [OVERALL], tie)
-    return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
+    with _rocks(rows.sparkSession):
+        return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within the block keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def kept_daily(spark: SparkSession, folder: str, name: str = "days") -> DataFrame:

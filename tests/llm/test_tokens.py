@@ -38,6 +38,17 @@ def test_ids_of_any_text(name, texts):
     assert encoded(name, pa.array(texts, pa.string())) == expected(name, texts)
 
 
+PIECES = st.sampled_from(["a", "Bc", " ", "  ", "\n", "\n\n", "\t", "\u2003", ".", "é", "<|endoftext|>", "<|startoftext|>", "<|endof"])
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=9).map("".join), max_size=4))
+def test_ids_beside_added_tokens(name, texts):
+    texts = [*texts, "end of one.\n\n<|endoftext|>Start of next"]
+    assert encoded(name, pa.array(texts, pa.string())) == expected(name, texts)
+
+
 def test_idle_workers_forget(monkeypatch):
     import time
 

@@ -123,6 +123,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = _kind(path)
+        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = rf"{_WS}(?:{added})|(?:{added}){_WS}" if added else None
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.spelled = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(128, 256)}
@@ -183,12 +185,15 @@ class Encoder:
         return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n"), "\0")
 
     def _uneasy(self, texts: pa.Array) -> np.ndarray:
-        """Texts in which a cut could change the ids: long or final runs of white space, or the mark of a cut."""
+        """Texts in which a cut could change the ids: long or final runs of white space, also beside an added token, which the library
+        takes out first, or the mark of a cut."""
         if not self.kind:
             return np.ones(len(texts), bool)
         found = pc.match_substring(texts, "\0")
         if self.kind == "byte":
             found = pc.or_(found, pc.match_substring_regex(texts, rf"{_WS}{{3}}|{_WS}{{2}}\z"))
+        if self.added:
+            found = pc.or_(found, pc.match_substring_regex(texts, self.added))
         return found.to_numpy(zero_copy_only=False)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

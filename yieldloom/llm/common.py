@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yieldloom.sources.files import exists, new_path, remove, shared_dir  # noqa: F401  the operators take them from here
+
 BATCH_BYTES = 8 << 20
 
 
@@ -18,22 +19,6 @@ BATCH_BYTES = 8 << 20
 _open: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, else the context's checkpoint folder. Where
-    neither is set, a session on one machine gets a fresh one; on a cluster that would be a folder of each machine's own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="yieldloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What materialize() writes within the block is deleted at its end, but for what is asked to outlive it."""
@@ -52,20 +37,9 @@ def materialize(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _files(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    files, where = _files(spark, path)
-    return files.exists(where)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system once nothing reads it."""
-    files, where = _files(spark, path)
-    files.delete(where, True)
+    remove(spark, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -14,5 +14,4 @@ def spark(tmp_path_factory):
     session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(shared / "warehouse")).getOrCreate()
     if not session.conf.get("spark.checkpoint.dir", None):
         session.sparkContext.setCheckpointDir(f"file://{shared}")
-        session.conf.set("spark.checkpoint.dir", f"file://{shared}")
     return session

@@ -230,3 +230,18 @@ def test_the_first_of_repeats_in_the_file_stays(spark, tmp_path):
     sheet = tables.rows_to_raw(spark, ["SN", "Time", "Line", "Vendor", "Project", "FAI1"], [["x", "2026-01-02", "L", "V", "P", k] for k in range(50)], places=True)
     got = cleaning.import_rows(sheet.repartition(5))
     assert [r["FAI1"] for r in got.collect()] == [0.0] and "__row" not in got.columns
+
+
+def test_shared_folder_without_any_setting():
+    from types import SimpleNamespace
+
+    def session(master, given=None, checkpoint=None):
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}", getCheckpointDir=lambda: checkpoint)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: given))
+
+    own = files.shared_dir(session("local[4]"))
+    assert own.startswith("file:///") and files.shared_dir(session("local[4]")) == own
+    assert files.shared_dir(session("spark://x", "hdfs://a/b/")) == "hdfs://a/b" and files.shared_dir(session("spark://x", None, "hdfs://c")) == "hdfs://c"
+    for master in ("spark://x", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            files.shared_dir(session(master))

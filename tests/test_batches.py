@@ -112,9 +112,18 @@ def test_command_line(spark, tmp_path):
     do = lambda *a: run(spark, parser().parse_args([str(x) for x in a]))
     version = do("load-spec", tmp_path / "w.xlsx", tmp_path / "s")
     assert do("specs", tmp_path / "s")[0]["is_active"] and do("upload", tmp_path / "w.xlsx", tmp_path / "d", tmp_path / "s", "--batch", "x")["spec_version"] == version
-    assert do("batches", tmp_path / "d")[0][0] == "x" and do("status", tmp_path / "d")[0]["judged"] and do("judge", tmp_path / "d", tmp_path / "s") == []
+    assert do("batches", tmp_path / "d")[0]["batch"] == "x" and do("batches", tmp_path / "d")[0]["bytes"] > 0 and do("status", tmp_path / "d")[0]["judged"] and do("judge", tmp_path / "d", tmp_path / "s") == []
     assert do("clean", tmp_path / "d" / "raw_*", "--dry-run")["all"]["removed"] == 0 and do("rejudge", tmp_path / "d", tmp_path / "s", "x")["ng_count"] == 1
     assert do("info", tmp_path / "d" / "raw_x")["rows"] == 2
+    assert do("show-spec", tmp_path / "s")["fai_count"] == 2 and do("show-spec", tmp_path / "s", "--name", "FAI1")["upper_limit"] == 5.0 and do("show-spec", tmp_path / "s", "--name", "no") is None
+    assert do("summary", tmp_path / "d") == {"total": 2, "ok_count": 1, "ng_count": 1, "yield_pct": 50.0}
+    told = do("report", tmp_path / "d")
+    assert [*told] == ["summary", "lines", "days", "units", "top"] and told["days"] == [{"production_day": "2026-01-02", "total": 2, "ok_count": 1, "ng_count": 1, "yield_pct": 50.0}]
+    assert do("top-defects", tmp_path / "d", "--top", "5") == [{"rank": 1, "fai_name": "FAI1", "ng_count": 1, "total": 2, "ng_rate_pct": 50.0}]
+    assert [(r["SN"], r["measured"], r["Time"]) for r in do("fai-detail", tmp_path / "d", "FAI1")] == [("b", 9.0, "2026-01-02 09:00:00")]
+    files_ = do("export", tmp_path / "d", tmp_path / "out", "--tie", "FAI1")
+    assert len(files_) == 2 and all([*workbook.titles(open(f, "rb").read())] == list(report.SHEETS) for f in files_)
+    assert do("export", tmp_path / "d", tmp_path / "out", "--mode", "post")[0].split("/")[-1].startswith("daily_report_regression") and do("tasks", tmp_path / "t") == []
 
 
 def test_running_yield_by_day_and_week(spark, tmp_path):

@@ -81,6 +81,8 @@ def test_filters_and_facade(spark):
     assert Filters(line="x' OR '1'='1").apply(j).count() == 0
     q = DashboardQueries(j, ["n"])
     assert q.get_summary("L1").first()["total"] == 3 and q.get_daily_yield(days=2).count() == 2 and q.get_regression_unique_sn_rawdata().columns == ["SN", "Time", "Line", "Project", "Vendor", "n"]
+    assert q.get_regression_unique_sn_fast(full_columns=True).columns == j.columns and "overall_result" in q.get_regression_unique_sn_fast(vendor="none").columns
+    assert q.get_regression_unique_sn_rawdata(vendor="none").count() == 0 and q.get_regression_unique_sn_rawdata(columns="core").columns[0] == "SN"
     assert [r[0] for r in q.get_projects().collect()] == ["P"] and [r[0] for r in q.get_lines_for_project("P").collect()] == ["L1", "L2"]
     assert q.get_rectification_stats(line="L2").first()["total"] == 2 and q.get_vendor_yield().count() == 2 and q.get_line_yield().count() == 3
 

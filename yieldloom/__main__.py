@@ -34,13 +34,28 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--keep", action="store_true", help="leave the active version as it is")
     add("specs", "all versions", "store")
     add("activate", "make a version the active one", "store", "version")
+    add("show-spec", "the active version, or one of its limits", "store").add_argument("--name")
+    add("tasks", "long tasks and how far they are", "folder")
+    add("summary", "totals of all judged batches", "folder")
+    add("report", "totals, lines, last days, units and the worst dimensions", "folder")
+    add("top-defects", "the dimensions with most NG", "folder").add_argument("--top", type=int, default=20)
+    c = add("fai-detail", "the newest NG rows of a dimension", "folder", "name")
+    c.add_argument("--top", type=int, default=50)
+    c = add("export", "daily report workbooks into a folder", "folder", "output")
+    c.add_argument("--top", type=int, default=10)
+    c.add_argument("--mode", choices=["pre", "post", "both"], default="both")
+    for c in commands.choices.values():
+        c.add_argument("--tie", action="append", default=[], help="a column that decides between equal times of a unit")
     return out
 
 
 def run(spark: SparkSession, a: argparse.Namespace):
     """What the command returns, as lists and dicts."""
+    from yieldloom.functions.columns import displayed
     from yieldloom.operators import batches, cleaning
+    from yieldloom.operators.progress import Tasks
     from yieldloom.operators.spec_store import SpecStore, versions_with_counts
+    from yieldloom.plans import facade, report
     from yieldloom.sources import tables
 
     store = SpecStore(spark, a.store) if "store" in a else None
@@ -50,7 +65,7 @@ def run(spark: SparkSession, a: argparse.Namespace):
         case "upload":
             return batches.upload_workbook(spark, Path(a.file).read_bytes(), a.folder, store, batch=a.batch)
         case "batches":
-            return tables.list_batches(spark, a.folder)
+            return [{"batch": b, **{k: v for k, v in tables.batch_info(spark, p).items() if k in ("path", "rows", "bytes", "changed")}} for b, p in tables.list_batches(spark, a.folder)]
         case "info":
             return tables.batch_info(spark, a.path)
         case "clean":
@@ -70,6 +85,25 @@ def run(spark: SparkSession, a: argparse.Namespace):
             return [r.asDict() for r in versions_with_counts(store.versions, store.limits).collect()]
         case "activate":
             return store.activate(a.version)
+        case "show-spec":
+            return store.show(a.name)
+        case "tasks":
+            return Tasks(spark, a.folder).list()
+    q = facade.DashboardQueries(facade.folder_source(spark, a.folder), a.tie)
+    rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  each a few rows
+    match a.command:
+        case "summary":
+            return rows(q.get_summary())[0]
+        case "report":
+            return {name: rows(df) for name, df in q.report().items()}
+        case "top-defects":
+            return [{"rank": k, **r} for k, r in enumerate(rows(displayed(q.get_top_defects(a.top))), 1)]
+        case "fai-detail":
+            return rows(displayed(q.get_fai_defect_detail(a.name, a.top), 20))
+        case "export":
+            modes = {"pre": [False], "post": [True], "both": [False, True]}[a.mode]
+            Path(a.output).mkdir(parents=True, exist_ok=True)
+            return [report.export_report(q.judged, a.tie, a.output, regression, a.top) for regression in modes]
 
 
 if __name__ == "__main__":

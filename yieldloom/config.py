@@ -4,7 +4,6 @@
 CUTOFF_HOUR = 7
 UNBOUNDED = 999_999
 SAVE_RATE = 0.86
-YIELD_TARGET = 95.0
 METADATA = ("SN", "Time", "Line", "Project", "Vendor", "Yield3")
 REQUIRED_METADATA = ("Vendor", "Project", "Line")
 MIGRATION_FILL = {"Project": "967E1", "Vendor": "LY"}

@@ -94,6 +94,18 @@ def in_order(few: DataFrame, *by: str | Column) -> DataFrame:
     return few.repartition(1).sortWithinPartitions(*by)
 
 
+#: Characters that a display shows of days, times and names.
+SHOWN = {"production_day": 10, "Time": 19, "first_time": 19, "last_time": 19, "fai_name": 35, "SN": 30}
+
+
+def displayed(df: DataFrame, rows: int | None = None, widths: dict[str, int] | None = None) -> DataFrame:
+    """The first rows of a result, for a display: its long columns as text cut to their widths. rows: nothing for all."""
+    widths = SHOWN if widths is None else widths
+    text = lambda c: F.substring(F.col(f"`{c}`").cast("string"), 1, widths[c]).alias(c)
+    shown = df.select(*[text(c) if c in widths else F.col(f"`{c}`") for c in df.columns])
+    return shown if rows is None else shown.limit(rows)
+
+
 def base_name(result: str) -> str:
     return result.removesuffix(RESULT)
 

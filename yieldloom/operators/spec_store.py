@@ -162,6 +162,16 @@ class SpecStore:
         """The dimensions that a version has limits for, in order."""
         return [r["fai_name"] for r in self.limits.filter(F.col("version_id") == version).select("fai_name").distinct().orderBy("fai_name").collect()]
 
+    def show(self, name: str | None = None, preview: int = 10) -> dict | None:
+        """The active version with its first limits by name, or one of its limits; None if there is no such thing."""
+        row = self.versions.filter("is_active").orderBy(F.col("imported_at").desc_nulls_last(), "version_id").first()
+        if row is None:
+            return None
+        limits = [r.asDict() for r in active(self.versions, self.limits).drop("version_id").collect()]  # some hundred rows
+        if name is not None:
+            return next((r | {"version_id": row["version_id"]} for r in limits if r["fai_name"] == name), None)
+        return row.asDict() | {"fai_count": len(limits), "limits": limits[:preview]}
+
     def active_version(self) -> str | None:
         row = self.versions.filter("is_active").orderBy(F.col("imported_at").desc_nulls_last(), "version_id").first()
         return row["version_id"] if row else None

@@ -6,8 +6,9 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from yieldloom.functions.columns import displayed
 from yieldloom.operators.filters import Filters
-from yieldloom.plans import rectification, yields
+from yieldloom.plans import defects, rectification, yields
 from yieldloom.sources import tables
 
 
@@ -34,8 +35,8 @@ def mapped(df: DataFrame, mapper: Mapper) -> DataFrame:
 
 
 def query_tables(spark: SparkSession, sql: str, **paths: str) -> DataFrame:
-    """Spark SQL over Parquet tables by the names given."""
-    return spark.sql(sql, **{name: spark.read.parquet(path) for name, path in paths.items()})
+    """Spark SQL over Parquet tables by the names given; a path within a folder of batches is what its manifest says."""
+    return spark.sql(sql, **{name: tables.read_table(spark, path) for name, path in paths.items()})
 
 
 class DashboardQueries:
@@ -81,5 +82,25 @@ class DashboardQueries:
     def get_rectification_stats(self, project: str | None = None, line: str | None = None) -> DataFrame:
         return rectification.stats(self.judged, self.tie, Filters(project, line))
 
-    def get_regression_unique_sn_rawdata(self, line: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-        return yields.regression_rows(self.judged, self.tie, "minimal", Filters(line=line, start=start, end=end))
+    def get_regression_unique_sn(self, line: str | None = None, start: str | None = None, end: str | None = None, columns: str = "core", vendor: str | None = None) -> DataFrame:
+        """Each unit's last row at its first time. columns: core, minimal (no verdicts), all; rows are filtered before they are collapsed."""
+        return yields.regression_rows(self.judged, self.tie, columns, Filters(line=line, vendor=vendor, start=start, end=end))
+
+    def get_regression_unique_sn_fast(self, line: str | None = None, start: str | None = None, end: str | None = None, full_columns: bool = False, vendor: str | None = None) -> DataFrame:
+        return self.get_regression_unique_sn(line, start, end, "all" if full_columns else "core", vendor)
+
+    def get_regression_unique_sn_rawdata(self, line: str | None = None, start: str | None = None, end: str | None = None, columns: str = "minimal", vendor: str | None = None) -> DataFrame:
+        return self.get_regression_unique_sn(line, start, end, columns, vendor)
+
+    def get_top_defects(self, n: int = 20, start: str | None = None, end: str | None = None) -> DataFrame:
+        return defects.top(self.judged, n, Filters(start=start, end=end))
+
+    def get_fai_defect_detail(self, name: str, n: int = 100, start: str | None = None, end: str | None = None) -> DataFrame:
+        return defects.detail(self.judged, name, self.tie, n, Filters(start=start, end=end))
+
+    def report(self, days: int = 10, top: int = 10) -> dict[str, DataFrame]:
+        """What a printed report has: totals, lines, last days, units and the worst dimensions, each a few rows."""
+        return {
+            "summary": self.get_summary(), "lines": self.get_line_yield(), "days": displayed(self.get_daily_yield(days=days)),
+            "units": self.get_regression_summary(), "top": displayed(self.get_top_defects(top)),
+        }

@@ -10,7 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.operators.filters import Filters
+from yieldloom.config import OVERALL
+from yieldloom.functions.columns import result_columns
+from yieldloom.operators.filters import Filters, recorded
+from yieldloom.operators.latest import latest_per_unit
 from yieldloom.plans import defects, rectification, yields
 from yieldloom.sources import workbook
 
@@ -26,8 +29,10 @@ def daily_tables(judged: DataFrame, tie: list, regression: bool, top: int = 10,
     """(days with their yield, top defects of each day); collapsed units also have the repair estimate."""
     if not regression:
         return yields.daily(judged, filters), defects.daily_top(judged, top, filters)
-    days = rectification.daily_report(yields.regression_daily(judged, tie, filters), rectification.daily(judged, tie, filters))
-    return days, defects.daily_top_regression(judged, tie, top, filters)
+    # One collapse for all three: Spark reuses the exchange of equal plans.
+    units = latest_per_unit(recorded(filters.apply(judged)), [OVERALL, *result_columns(judged)], tie)
+    days = rectification.daily_report(yields.daily_of(units, filters.cutoff), rectification.daily_of(units, filters.cutoff))
+    return days, defects.daily_top_of(units, top, filters.cutoff)
 
 
 def report_bytes(judged: DataFrame, tie: list, regression: bool, top: int = 10, filters: Filters = yields.ALL) -> bytes:

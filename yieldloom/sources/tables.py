@@ -83,6 +83,12 @@ def list_batches(spark: SparkSession, folder: str, kind: str = "raw") -> list[tu
     return [(n.removeprefix(f"{kind}_").removesuffix(".parquet"), tables.paths(n)[0]) for n in tables.names(f"{kind}_")]
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table by the path folder/name: what the folder's manifest has of that name, else what lies there."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return spark.read.parquet(*(TableSet(spark, folder).paths(name) or [path]))
+
+
 def read_batch(spark: SparkSession, folder: str, batch: str, kind: str = "raw") -> DataFrame:
     tables = TableSet(spark, folder)
     for name in (f"{kind}_{batch}", f"{kind}_{batch}.parquet"):

@@ -83,5 +83,48 @@ def test_few_labels_are_enough_for_plain_insults():
     toxic = [[f"^{w}$" for w in rng.sample(words, 40)] + [f"^{rng.choice(['grobnik', 'flumpf', 'zwackel'])}$"] for _ in range(30)]
     model = toxicity.fit(toxic, clean)
     assert len(model.landmarks) >= 3
-    rate = lambda u: 1 / (1 + np.exp(-(model.slope * toxicity.values(model, [u])[0] + model.shift)))
+    rate = lambda u: 0.7 + toxicity.values(model, [u])[0] - model.limits[0]  # noqa: E731  0.7 at the limit, as the score has it
     assert all(rate(u) >= 0.7 for u in ("^grobnik$", "^flumpf$", "^zwackel$", "^grobnnik$")) and max(rate(f"^{w}$") for w in words) < 0.7
+
+
+def plain_score(model, text):
+    """A text's score from the kernel's definition: units by a regular expression, the highest distinct ones, their limits."""
+    import re
+
+    words = [re.sub(r"[\W_]+", "", w.lower()) for w in re.split("[\t-\r ]+", text or "")]
+    runs = ["".join(m[0].split()).lower() for m in re.finditer(r"(?<!\S)[^\W\d_](?:\s+[^\W\d_]){2,}(?!\S)", text or "")]
+    values = []
+    for u in {f"^{w}$" for w in [*words, *runs] if w}:
+        parts = strings.windows(u)
+        best = max(sum(w * plain(p, m) ** 2 / (plain(p, p) * plain(m, m)) for w, m in zip(model.weights, model.landmarks, strict=True)) + model.bias for p in parts) if len(u) >= strings.ORDER else toxicity.FLOOR
+        values.append(max(best, toxicity.FLOOR))
+    top = (sorted(values, reverse=True) + [toxicity.FLOOR] * toxicity.TOP)[: toxicity.TOP]
+    above = max(v - t for v, t in zip(top, model.limits, strict=True))
+    return 1 / (1 + np.exp(-toxicity.SLOPE * above) * 0.3 / 0.7)
+
+
+def test_scores_equal_the_plain_ones(spark):
+    rows = corpus(300, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"), F.lit(True))
+    texts = [t for _, t, _ in rows[:12]] + ["", None, "g r o b n i k and x", "flumxpf", "flumpf zwackel flumpf", "!!", "a.b.c z-w-a-c-k-e-l"]
+    got = toxicity.rate(spark.createDataFrame([(i, False, t or "") for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string"), model).collect()
+    for r in got:
+        assert abs(r["score"] - plain_score(model, texts[r["doc_id"]])) < 1e-3, texts[r["doc_id"]]
+
+
+def test_one_high_value_or_two_lower_ones():
+    model = toxicity.Model([], np.zeros(0), 0.0, np.array([0.8, 0.2]))
+    import pyarrow as pa
+
+    texts = pa.array(["a b", "a a", "c d", "", "b"])
+    of, ends, names = toxicity.units(texts)
+    value = np.array([{"^a$": 0.5, "^b$": 0.3, "^c$": 0.9, "^d$": -0.9}.get(n, toxicity.FLOOR) for n in names])
+    got = toxicity.text_scores(model, None, texts, of, ends, value) >= 0.7
+    assert got.tolist() == [True, False, True, False, False]  # a unit that repeats counts once
+
+
+def test_threshold_parts_texts():
+    z, y = np.array([3.0, 2.9, 2.8, 0.1, -0.5, -1.0]), np.array([1.0, 1.0, 1.0, 0.0, 0.0, 0.0])
+    assert toxicity._threshold(z, y, y) == 1.0
+    assert toxicity._threshold(-z, y, y) > 1

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from yieldloom.llm import lines
 
 
@@ -72,3 +74,17 @@ def test_a_crowd_with_one_skeleton(spark):
 
 def test_empty_table(spark):
     assert lines.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lines_that_collide_hide_no_partner(spark, monkeypatch):
+    """With three bits of the first hash nearly all variants meet; the second keeps them apart."""
+    real = lines._hash
+    monkeypatch.setattr(lines, "_hash", lambda k, place: real(k, place).bitwiseAND(F.lit(7)) if k == 0 else real(k, place))
+    rng = random.Random(4)
+    base = [[rng.choice("abcdefgh") for _ in range(9)] for _ in range(12)]
+    rows = []
+    for i in range(1, 60):
+        w = list(rng.choice(base))
+        w[rng.randrange(9)] = rng.choice("xyz")
+        rows.append((i, " ".join(w)))
+    check(spark, rows)

@@ -26,6 +26,8 @@ from yieldloom.llm.common import materialize, release, scratch, shuffle_partitio
 #: Words of the shortest line that may be near another.
 WORDS = 5
 _KEY = ["__doc", "__version"]
+#: What a word's first and its second hash begin with.
+_SEEDS = ((), ("second",))
 _PLACE = [*_KEY, "__line"]
 
 
@@ -72,25 +74,32 @@ def _distinct_lines(docs: DataFrame) -> DataFrame:
     return found.select("m.*")
 
 
+def _hash(k: int, place: Column) -> Column:
+    return F.xxhash64(*map(F.lit, _SEEDS[k]), place, "word")
+
+
 def _variants(lines: DataFrame) -> DataFrame:
-    """v, at, n, place: the hash of a line of n words without the one at that place; with at -1 that of the whole line.
+    """v, w, at, n, place: two hashes of a line of n words without the one at that place; with at -1 those of the whole line.
     Words hash with their places, so a running xor of those before and of those after (each one place earlier) is the variant's
-    hash. What collides is found out when words are compared."""
+    hash. Lines meet by both hashes, 128 bits; what still collides is found out when words are compared."""
     # Dealt out by document before words are, so that each line's words stay together.
     own = lines.repartition(shuffle_partitions(lines.sparkSession), *_KEY)
     words = own.select(*_PLACE, "kinds", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     words = words.withColumn("s", _stretch("n - 2"))
     # The other line has the same beginning and differs after it, or the same end and differs before it.
     wanted = ((F.col("kinds") != 2) & (F.col("at") >= F.col("s"))) | ((F.col("kinds") != 1) & (F.col("at") < F.col("n") - F.col("s")))
-    hashed = words.select(*_PLACE, "n", "at", wanted.alias("wanted"), F.xxhash64("at", "word").alias("here"), F.xxhash64(F.col("at") - 1, "word").alias("moved"))
+    hashed = words.select(*_PLACE, "n", "at", wanted.alias("wanted"), *[_hash(k, place).alias(f"{name}{k}") for k in range(2) for name, place in (("here", F.col("at")), ("moved", F.col("at") - 1))])
     line = Window.partitionBy(*_PLACE).orderBy("at")
     so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-    rows = hashed.select(*_PLACE, "n", "at", "wanted", "here", F.bit_xor("here").over(so_far).alias("to"), F.bit_xor("moved").over(so_far).alias("gone"))
+    own = [f"{name}{k}" for name in ("here", "to", "gone") for k in range(2)]
+    sums = [F.bit_xor(f"{a}{k}").over(so_far).alias(f"{b}{k}") for a, b in (("here", "to"), ("moved", "gone")) for k in range(2)]
+    rows = hashed.select(*_PLACE, "n", "at", "wanted", "here0", "here1", *sums)
     # The last row of a line has the xor of all its words.
     last = Window.partitionBy(*_PLACE).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select(*_PLACE, "n", "at", "wanted", "here", "to", "gone", F.last("gone").over(last).alias("all"))
-    lacking = F.col("to").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("gone"))
-    variant, whole = F.struct(lacking.alias("v"), F.col("at")), F.struct(F.col("to").alias("v"), F.lit(-1).alias("at"))
+    rows = rows.select(*_PLACE, "n", "at", "wanted", *own, *[F.last(f"gone{k}").over(last).alias(f"all{k}") for k in range(2)])
+    lacking = [F.col(f"to{k}").bitwiseXOR(F.col(f"here{k}")).bitwiseXOR(F.col(f"all{k}")).bitwiseXOR(F.col(f"gone{k}")) for k in range(2)]
+    variant = F.struct(lacking[0].alias("v"), lacking[1].alias("w"), F.col("at"))
+    whole = F.struct(F.col("to0").alias("v"), F.col("to1").alias("w"), F.lit(-1).alias("at"))
     kinds = F.array(F.when(F.col("wanted"), variant), F.when(F.col("at") == F.col("n") - 1, whole))
     return rows.select("n", *_PLACE, F.explode(kinds).alias("k")).filter("k is not null").select("n", *_PLACE, "k.*")
 
@@ -104,11 +113,11 @@ def _near(lines: DataFrame) -> DataFrame:
     place = F.struct(*_PLACE).alias("place")
     every = materialize(_variants(lines), "variants")
     shared = every.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1").select("v")
-    met = materialize(every.join(shared.hint("shuffle_hash"), "v", "left_semi").select("v", "at", "n", place), "met")
-    variants, whole = met.filter("at >= 0"), met.filter("at < 0").select("v", (F.col("n") + 1).alias("n"), F.col("place").alias("short"))
-    least = variants.groupBy("v", "at", "n").agg(F.min("place").alias("other"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    same = variants.join(least, ["v", "at", "n"]).filter(F.col("other") < F.col("place")).select("place", "other", "at", F.lit("same").alias("kind"))
-    pairs = variants.join(whole, ["v", "n"])
+    met = materialize(every.join(shared.hint("shuffle_hash"), "v", "left_semi").select("v", "w", "at", "n", place), "met")
+    variants, whole = met.filter("at >= 0"), met.filter("at < 0").select("v", "w", (F.col("n") + 1).alias("n"), F.col("place").alias("short"))
+    least = variants.groupBy("v", "w", "at", "n").agg(F.min("place").alias("other"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    same = variants.join(least, ["v", "w", "at", "n"]).filter(F.col("other") < F.col("place")).select("place", "other", "at", F.lit("same").alias("kind"))
+    pairs = variants.join(whole, ["v", "w", "n"])
     longer = pairs.filter(F.col("short") < F.col("place")).select("place", F.col("short").alias("other"), "at", F.lit("long").alias("kind"))
     shorter = pairs.filter(F.col("short") > F.col("place")).select(F.col("short").alias("place"), F.col("place").alias("other"), "at", F.lit("short").alias("kind"))
     found = same.unionByName(longer).unionByName(shorter)

@@ -4,7 +4,8 @@ write() makes WARC 1.1 files: a record per page, `response` for the first page (
 `revisit` for later ones with an equal payload, which refer to it and hold no payload. Each record is a gzip member of its own,
 so that a capture can be read alone, by its place and size. read() parses the files by their Content-Length.
 
-index() is an external merge. Each file's index lines are sorted by URL key and time where they are: a run. Runs are cut into
+index() is an external merge. The index lines of the files that a task reads are sorted by URL key and time where they are: a run. Runs
+are cut into
 blocks of BLOCK_LINES lines, and where one of the ranges of keys that a sample has set ends. A range gets its blocks in the order of
 their first lines; each block joins a tree of losers when the merge has come to its first line, and leaves when it is used up.
 So a task holds only the blocks that overlap where it stands, and reading the ranges in order gives every URL's capture
@@ -23,20 +24,21 @@ import re
 import zlib
 from base64 import b32encode
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
-from itertools import chain, groupby, islice
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import by_hash, materialize, shuffle_partitions, small_batches
+from yieldloom.llm.common import by_hash, materialize, scratch, shuffle_partitions, small_batches
 
 #: Bytes of records after which a file ends; the writer and the reader hold one file at a time.
 FILE_BYTES = 16 << 20
-#: Lines of a run that are sorted together, lines of a block, and about how many lines set the ranges of keys.
-RUN_LINES, BLOCK_LINES, SAMPLE = 100_000, 512, 20_000
+#: Lines of a run that are sorted together, lines of a block, and about how many lines set the ranges of keys. Lines that a range has
+#: at least, so that a run's part of it is a block of some length.
+RUN_LINES, BLOCK_LINES, SAMPLE, RANGE_LINES = 100_000, 512, 20_000, 1000
 #: The capture time of page 0; page n was captured n seconds (modulo 10**9) later, unless the table has times of its own.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -189,53 +191,70 @@ def url_key(url: str) -> str:
 
 
 class Losers:
-    """A tree of losers over sorted runs: the next item costs one comparison for each level."""
+    """A tree of losers over sorted runs, to which runs can be added: the next item, and a new run, cost one comparison for each level."""
+
+    def __init__(self, runs: Iterable[Iterable] = ()):
+        self.k, self.free, self.head, self.runs = 0, [], [], []  # k: runs that are not used up; free: leaves without a run
+        self.won, self.lost = [], []  # by node; the leaves' own numbers follow
+        for run in runs:
+            self.add(run)
+
+    def add(self, run: Iterable) -> None:
+        run = iter(run)
+        first = next(run, None)
+        if first is None:
+            return
+        if not self.free:
+            self._grow()
+        leaf = self.free.pop()
+        self.runs[leaf], self.head[leaf], self.k = run, first, self.k + 1
+        node = (leaf + len(self.head)) // 2
+        while node:
+            self._match(node)
+            node //= 2
 
-    def __init__(self, runs: list[Iterator]):
-        self.runs = [iter(r) for r in runs]
-        self.k = len(self.runs)
-        self.head = [next(r, None) for r in self.runs]
-        self.tree = [-1] * self.k
-        for i in range(self.k):
-            self._play(i, building=True)
+    def _grow(self) -> None:
+        had = len(self.head)
+        size = max(1, 2 * had)
+        self.head += [None] * (size - had)
+        self.runs += [iter(())] * (size - had)
+        self.free += range(size - 1, had - 1, -1)
+        self.won, self.lost = [0] * size + [*range(size)], [0] * size
+        for node in range(size - 1, 0, -1):
+            self._match(node)
 
     def _less(self, i: int, j: int) -> bool:
         a, b = self.head[i], self.head[j]
         return a is not None and (b is None or (a, i) < (b, j))
 
-    def _play(self, winner: int, building: bool = False) -> None:
-        """From a leaf to the root: at each match the loser stays, the winner goes on."""
-        node = (winner + self.k) // 2
-        while node > 0:
-            if self.tree[node] < 0:
-                if building:
-                    self.tree[node] = winner
-                    return
-            elif self._less(self.tree[node], winner):
-                self.tree[node], winner = winner, self.tree[node]
-            node //= 2
-        self.tree[0] = winner
+    def _match(self, node: int) -> None:
+        a, b = self.won[2 * node], self.won[2 * node + 1]
+        self.won[node], self.lost[node] = (b, a) if self._less(b, a) else (a, b)
 
     def first(self):
         """The least item, or nothing."""
-        return self.head[self.tree[0]] if self.k else None
+        return self.head[self.won[1]] if self.k else None
 
     def take(self):
-        i = self.tree[0]
-        item, self.head[i] = self.head[i], next(self.runs[i], None)
-        self._play(i)
+        winner = self.won[1]
+        item, self.head[winner] = self.head[winner], next(self.runs[winner], None)
+        if self.head[winner] is None:
+            self.free.append(winner)
+            self.k -= 1
+        node = (winner + len(self.head)) // 2
+        while node:  # at each match the loser stays, the winner goes on
+            if self._less(self.lost[node], winner):
+                self.lost[node], winner = winner, self.lost[node]
+            self.won[node] = winner
+            node //= 2
         return item
 
-    def rest(self) -> list[Iterator]:
-        """What is left of each run."""
-        return [chain([h], r) for h, r in zip(self.head, self.runs, strict=True) if h is not None]
-
     def __iter__(self):
-        while self.first() is not None:
+        while self.k:
             yield self.take()
 
 
-LINE = "url_key string, date string, page_id long, file string, position long, url string, record_type string, digest string, size long"
+LINE = "url_key string, date string, page_id long, file string, position long, url string, record_type string, digest string, size long, payload_bytes long, refers_to long"
 INDEX = f"range int, place long, {LINE}"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 _LINE = pa.struct([(x.split()[0], _ARROW[x.split()[1]]) for x in LINE.split(", ")])
@@ -250,11 +269,11 @@ def _order(line: tuple) -> tuple:
 
 def merged(blocks: Iterator[list[tuple]]) -> Iterator[tuple]:
     """Sorted blocks of (order, line) pairs, in the order of their first pairs, as one sorted sequence."""
-    tree = Losers([])
+    tree = Losers()
     for block in blocks:
-        while tree.k and tree.first() is not None and tree.first() < block[0]:
+        while tree.k and tree.first() < block[0]:
             yield tree.take()
-        tree = Losers([*tree.rest(), iter(block)])
+        tree.add(block)
     yield from tree
 
 
@@ -263,22 +282,22 @@ def index(parsed: DataFrame) -> DataFrame:
     spark, names = parsed.sparkSession, [f.name for f in _LINE]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """Sorted runs of (order, line) pairs, each of one file."""
-        run, file = [], None
+        """Sorted runs of (order, line) pairs, of all files that a task reads."""
+        run = []
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in names[1:]]
             for row in zip(*columns, strict=True):
                 line = (url_key(row[names.index("url") - 1]), *row)
-                if run and (line[3] != file or len(run) >= RUN_LINES):
+                if len(run) >= RUN_LINES:
                     yield sorted(run)
                     run = []
-                file = line[3]
                 run.append((_order(line), line))
         if run:
             yield sorted(run)
 
-    ranges = shuffle_partitions(spark)
-    few = parsed.filter(by_hash(SAMPLE / max(1, parsed.count()), "file", "position")).select("url", "date", "page_id", "file", "position")
+    total = parsed.count()
+    ranges = max(1, min(shuffle_partitions(spark), total // RANGE_LINES))
+    few = parsed.filter(by_hash(SAMPLE / max(1, total), "file", "position")).select("url", "date", "page_id", "file", "position")
     keys = sorted(_order((url_key(r["url"]), r["date"], r["page_id"], r["file"], r["position"])) for r in few.collect())  # about SAMPLE rows
     ends = [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
 
@@ -311,13 +330,10 @@ def index(parsed: DataFrame) -> DataFrame:
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and the place in the merged index of each record."""
-    parsed = read(spark, path).drop("payload")
-    parsed = materialize(parsed, "records")
-    placed = index(parsed).select(F.col("file").alias("f"), F.col("position").alias("p"), "url_key", F.col("range").alias("index_range"), F.col("place").alias("index_place"))
-    rows = parsed.join(placed, (F.col("file") == F.col("f")) & (F.col("position") == F.col("p")))
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and the place of each record, all from the merged index."""
+    with scratch(spark):
+        history = materialize(index(materialize(read(spark, path).drop("payload"), "records")), "history", outlive=True)
     # A revisit's payload is as long as that of the response with its digest.
-    sizes = parsed.filter("record_type = 'response'").groupBy(F.col("digest").alias("d")).agg(F.first("payload_bytes").alias("length"))
-    rows = rows.join(sizes, F.col("digest") == F.col("d"), "left")
-    return rows.select("page_id", F.coalesce("payload_bytes", "length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "url_key", "index_range", "index_place")
-
+    sizes = history.filter("record_type = 'response'").groupBy(F.col("digest").alias("d")).agg(F.first("payload_bytes").alias("length"))
+    rows = history.join(sizes, F.col("digest") == F.col("d"), "left")
+    return rows.select("page_id", F.coalesce("payload_bytes", "length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "url_key", F.col("range").alias("index_range"), F.col("place").alias("index_place"))

@@ -63,7 +63,8 @@ class _Progress:
 
 def judge_one(spark: SparkSession, folder: str, batch: str, limits: Limits, spec_version: str = "", resume: bool = True, split: int = SPLIT_BYTES, progress: Callable[[int, int], None] | None = None) -> dict:
     """Judge a raw batch, again if it was judged before: its judged table is replaced when the new one is whole. resume: go on where a
-    run of the same raw files, limits, version and split broke off. progress: called with the ranges done and all of them."""
+    run of the same raw files, limits, version and split broke off. progress: called with the ranges done and all of them. A batch is judged by
+    one process at a time."""
     folder = folder.rstrip("/")
     path = dict(tables.list_batches(spark, folder)).get(batch)
     if path is None:

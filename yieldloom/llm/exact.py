@@ -90,5 +90,5 @@ def survivors(docs: DataFrame, bits: int = BITS) -> DataFrame:
     mine = held(docs)
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("i")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("w")) & (F.unhex(F.sha2(normalised(F.col("text")), 256)) == F.col("s"))
     once = mine.join(stays.filter("k = 1"), on, "left_semi")
-    again = mine.join(stays.filter("k > 1"), on).withColumn("u", F.coalesce("text", F.lit(""))).dropDuplicates(["i", "w", "s"])
+    again = mine.join(stays.filter("k > 1"), on).dropDuplicates(["i", "w", "s"])
     return restored(once.unionByName(again.select(*once.columns)), docs.columns)

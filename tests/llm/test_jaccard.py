@@ -71,3 +71,25 @@ def test_rows_stay_by_their_own_group(spark):
     rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (3, c), (3, "quite another text than that one"), (3, "quite another text than that one")]
     kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (None, b), (2, c), rows[-1]], key=str)
+
+
+def test_recall_between_080_and_085(spark):
+    """Pairs barely similar enough, where the bands are least sure: all are linked, and none below 0.8."""
+    rng = random.Random(11)
+    rows, want = [], []
+    while len(want) < 200:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(80, 300))]
+        copy = list(base)
+        for _ in range(rng.randint(1, 9)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+        share = len(a & b) / len(a | b)
+        if 0.78 <= share < 0.8 or 0.8 <= share <= 0.85:
+            k = len(rows)
+            rows += [(k, " ".join(base)), (k + 1, " ".join(copy))]
+            if share >= 0.8:
+                want.append(k)
+    got = {}
+    for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["root"], []).append(r["doc_id"])
+    assert sorted(min(ids) for ids in got.values() if len(ids) > 1) == want and max(map(len, got.values())) == 2

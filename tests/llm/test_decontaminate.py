@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from yieldloom.llm import decontaminate
@@ -105,3 +107,26 @@ def test_rows_without_an_id_go_by_their_own_text(spark, monkeypatch, limit):
     rows = [(None, ITEM), (None, "a text that has no id and no item"), (1, ITEM), (1, "another text of the first id"), (2, None)]
     kept = decontaminate.without_rows(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string"), spark.createDataFrame([(100, ITEM)], "item_id long, text string"))
     assert kept.columns == ["doc_id", "text", "source"] and {(r["doc_id"], r["text"]) for r in kept.collect()} == {rows[1], rows[3], rows[4]}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 1])
+def test_a_passage_that_all_items_and_texts_have(spark, monkeypatch, limit):
+    """Boilerplate of a third of an item's tokens is in every item and text: no pair comes of it alone, and none is lost."""
+    monkeypatch.setattr(decontaminate, "SEEDS", limit)
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(20)]
+    items = [[f"i{k}w{j}" for j in range(40)] for k in range(30)]
+    bench = [(k, " ".join([*common, *own])) for k, own in enumerate(items)]
+    docs, want = [], set()
+    for d in range(60):
+        words_ = [f"n{rng.randrange(10**6)}" for _ in range(30)]
+        if d % 3 == 0:
+            k = rng.randrange(30)
+            words_ += items[k][:30]
+            want.add((d, k))
+        docs.append((d, " ".join([*common, *words_])))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    rare = decontaminate.Benchmark.of_rows([k for k, _ in bench], pa.array([t for _, t in bench]), 0.5)
+    boilerplate = np.unique(decontaminate._seeds(decontaminate.tokens(pa.array([" ".join(common)]))[0]))
+    assert not np.isin(boilerplate, rare.seeds).any()

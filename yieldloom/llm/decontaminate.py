@@ -5,7 +5,9 @@ seeds (hashes of LEAST consecutive tokens) for the coverage asked are tiled: the
 again, and the share of the item's tokens in tiles of LEAST tokens or more is its coverage. Order doesn't matter, so a
 passage whose parts were moved is caught. As each tile consists of seeds, tokens outside seeds are left out beforehand.
 
-Up to SEEDS seeds the benchmark goes to every task; a larger one is joined by seed, then texts to the pairs found.
+A document that shares enough also has one of an item's rarer seeds: the most usual ones, which cover fewer tokens than are asked for,
+are not looked for, so a passage that all items and texts have makes no pairs. Up to SEEDS seeds the benchmark goes to every task; a
+larger one is joined by seed, then texts to the pairs found.
 
 Defined results: null and empty texts and items of fewer than LEAST tokens match nothing; a null doc_id or item_id is
 reported as null; repeated rows are each reported; empty tables give no row; further columns are ignored.
@@ -13,7 +15,7 @@ reported as null; repeated rows are each reported; empty tables give no row; fur
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -67,16 +69,42 @@ def _usable(firsts: np.ndarray, size: int) -> np.ndarray:
 class Benchmark(NamedTuple):
     ids: list
     items: list[np.ndarray]  # token hashes
-    seeds: np.ndarray  # ascending
+    seeds: np.ndarray  # ascending; of each item the rarest that it must share one of
     of: np.ndarray  # the item of each seed
 
     @staticmethod
-    def of_rows(ids: list, texts: pa.Array) -> Benchmark:
+    def of_rows(ids: list, texts: pa.Array, coverage: float) -> Benchmark:
         h, firsts, seeds = tokens(texts)
         good = _usable(firsts, len(h))
-        of = np.repeat(np.arange(len(ids)), np.diff(firsts))[good]
-        order = np.argsort(seeds[good], kind="stable")
-        return Benchmark(ids, [h[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)], seeds[good][order], of[order])
+        of, at = np.repeat(np.arange(len(ids)), np.diff(firsts))[good], (np.arange(len(h)) - np.repeat(firsts[:-1], np.diff(firsts)))[good]
+        pairs = np.unique(np.stack([seeds[good].view(np.int64), of], axis=1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
+        names, items = np.unique(pairs[:, 0], return_counts=True)  # in how many items each seed is
+        usual = items[np.searchsorted(names, seeds[good].view(np.int64))] if len(of) else np.zeros(0, np.int64)
+        order = np.lexsort((at, seeds[good], -usual, of))
+        rare, sizes = Rare(coverage), np.diff(firsts)
+        keep = order[[rare.keeps(i, int(sizes[i]), s, [p]) for i, s, p in zip(of[order].tolist(), seeds[good][order].tolist(), at[order].tolist(), strict=True)]] if len(of) else order
+        own = np.unique(np.stack([seeds[good][keep], of[keep].astype(np.uint64)], axis=1), axis=0)
+        return Benchmark(ids, [h[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)], own[:, 0], own[:, 1].astype(np.int64))
+
+
+class Rare:
+    """Tiles lie within the tokens that shared seeds cover. So of an item's seeds, the most usual first, those that together cover fewer
+    tokens than are asked for need not be looked for: a document that has enough has one of the others, too."""
+
+    def __init__(self, coverage: float):
+        self.coverage, self.item, self.last, self.covered, self.full = coverage, None, None, set(), False
+
+    def keeps(self, item, size: int, seed: int, places: list[int]) -> bool:
+        """Whether a seed of an item of so many tokens is looked for. Seeds come item by item, the most usual first, with their places."""
+        if self.item != (item, size):
+            self.item, self.last, self.covered, self.full = (item, size), None, set(), False
+        if self.full and seed != self.last:
+            return True
+        self.last = seed
+        for p in places:
+            self.covered.update(range(p, p + LEAST))
+        self.full = len(self.covered) >= self.coverage * size
+        return self.full
 
 
 def _cover(doc: np.ndarray, seeds: np.ndarray, bench: Benchmark, items: list[int], coverage: float):
@@ -100,9 +128,16 @@ def _cover(doc: np.ndarray, seeds: np.ndarray, bench: Benchmark, items: list[int
             yield item, share, tiles
 
 
-def _enough(shared: int, size: int, coverage: float) -> bool:
-    """A tile of n tokens holds n - LEAST + 1 seeds, so tiles cover at most LEAST tokens for each shared seed."""
-    return LEAST * shared >= coverage * size
+def _reach(item: np.ndarray, known: np.ndarray) -> int:
+    """Tokens of an item that lie in seeds which are among the known ones (ascending): tiles can't cover more."""
+    own = _seeds(item)
+    if not len(known) or not len(own):
+        return 0
+    shared = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
+    within = np.zeros(len(item), bool)
+    for k in range(LEAST):
+        within[shared + k] = True
+    return int(within.sum())
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
@@ -125,19 +160,17 @@ def _everywhere(docs: DataFrame, bench: Benchmark, coverage: float) -> DataFrame
                 at = np.flatnonzero(maybe[seeds >> np.uint64(42)] & _usable(firsts, len(h)))
                 lo, hi = (np.searchsorted(bench.seeds, seeds[at], side=side) for side in ("left", "right"))
                 at, lo, hi = at[lo < hi], lo[lo < hi], hi[lo < hi]
-                shared: dict[int, Counter] = defaultdict(Counter)
+                some: dict[int, set] = defaultdict(set)
                 docs_at = np.searchsorted(firsts, at, side="right") - 1
-                seen = set()
-                for d, s, a, b in zip(docs_at.tolist(), seeds[at].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    if (d, s) not in seen:
-                        seen.add((d, s))
-                        shared[d].update(bench.of[a:b].tolist())
+                for d, a, b in {*zip(docs_at.tolist(), lo.tolist(), hi.tolist(), strict=True)}:
+                    some[d].update(bench.of[a:b].tolist())
                 names, found = part.column("doc_id"), []
-                for d, counts in shared.items():
-                    items = [i for i, n in counts.items() if _enough(n, len(bench.items[i]), coverage)]
+                for d, candidates in sorted(some.items()):
                     a, b = firsts[d], firsts[d + 1]
                     own = seeds[a:b].copy()
                     own[max(0, b - a - LEAST + 1) :] = 0
+                    known = np.unique(own[: max(0, b - a - LEAST + 1)])
+                    items = [i for i in sorted(candidates) if _reach(bench.items[i], known) >= coverage * len(bench.items[i])]
                     found += [(names[d].as_py(), bench.ids[i], share, len(bench.items[i]), tiles) for i, share, tiles in _cover(h[a:b], own, bench, items, coverage)]
                 yield _rows(found)
 
@@ -147,34 +180,55 @@ def _everywhere(docs: DataFrame, bench: Benchmark, coverage: float) -> DataFrame
 def _by_seed(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
     """Seeds are joined, and texts to the pairs that share enough."""
 
-    def seeds(name: str, with_size: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text", 1 << 20):
-                    h, firsts, s = tokens(part.column("text"))
-                    good = _usable(firsts, len(h))
-                    for i in range(part.num_rows):
-                        own, times = np.unique(s[firsts[i] : firsts[i + 1]][good[firsts[i] : firsts[i + 1]]], return_counts=True)
-                        for k in range(0, len(own), 1 << 16):
-                            cut = own[k : k + (1 << 16)].view(np.int64)
-                            cols = [pa.array([part.column(name)[i].as_py()] * len(cut), pa.int64()), pa.array(cut), pa.array(np.full(len(cut), firsts[i + 1] - firsts[i])), pa.array(times[k : k + (1 << 16)])]
-                            yield pa.RecordBatch.from_arrays(cols[: 2 + 2 * with_size], [name, "seed", "size", "times"][: 2 + 2 * with_size])
-
-        return run
-
-    left = docs.mapInArrow(seeds("doc_id", False), "doc_id long, seed long")
-    right = benchmark.mapInArrow(seeds("item_id", True), "item_id long, seed long, size long, times long")
-    pairs = left.join(right, "seed").groupBy("doc_id", "item_id", "size").agg(F.sum("times").alias("shared"))  # each place in the item counts
-    pairs = materialize(pairs.filter(LEAST * F.col("shared") >= coverage * F.col("size")).select("doc_id", "item_id").distinct(), "pairs")
+    def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                h, firsts, s = tokens(part.column("text"))
+                good = _usable(firsts, len(h))
+                for name, a, b in zip(part.column("doc_id").to_pylist(), firsts[:-1], firsts[1:], strict=True):
+                    own = np.unique(s[a:b][good[a:b]]).view(np.int64)
+                    for k in range(0, len(own), 1 << 16):
+                        cut = own[k : k + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.int64()), pa.array(cut)], ["doc_id", "seed"])
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                h, firsts, s = tokens(part.column("text"))
+                good = _usable(firsts, len(h))
+                for name, a, b in zip(part.column("item_id").to_pylist(), firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+                    at = np.flatnonzero(good[a:b])
+                    own = s[a:b][at].view(np.int64)
+                    for k in range(0, len(own), 1 << 16):
+                        cut, n = own[k : k + (1 << 16)], len(own[k : k + (1 << 16)])
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(cut), pa.array(np.full(n, b - a)), pa.array(at[k : k + n])], ["item_id", "seed", "size", "place"])
+
+    def looked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = Rare(coverage)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("item_id", "size", "seed", "place")), strict=True)
+            yield batch.select(["item_id", "size", "seed"]).filter(pa.array([rare.keeps(i, n, s, [p]) for i, n, s, p in rows], pa.bool_()))
+
+    right = materialize(benchmark.mapInArrow(item_seeds, "item_id long, seed long, size long, place long"), "item-seeds")
+    names = right.groupBy("seed").agg(F.count_distinct("item_id").alias("items"))
+    left = materialize(docs.mapInArrow(doc_seeds, "doc_id long, seed long").join(names.select("seed"), "seed", "left_semi"), "doc-seeds")
+    # How many pairs a seed would make; one that no document has makes none and needn't be looked for either.
+    usual = names.join(left.groupBy("seed").agg(F.count("*").alias("docs")), "seed").select("seed", (F.col("items") * F.col("docs")).alias("pairs"))
+    order = ["item_id", "size", F.desc("pairs"), "seed", "place"]
+    rare = right.join(usual, "seed").repartition("item_id", "size").sortWithinPartitions(*order).select("item_id", "size", "seed", "place")
+    rare = rare.mapInArrow(looked_for, "item_id long, size long, seed long").distinct()
+    pairs = materialize(left.join(rare, "seed").select("doc_id", "item_id").distinct(), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for row in batch.to_pylist():
-                bench = Benchmark.of_rows([row["item_id"]], pa.array([row["item"]]))
+                item, _, _ = tokens(pa.array([row["item"]]))
                 h, firsts, s = tokens(pa.array([row["text"]]))
                 s[~_usable(firsts, len(h))] = 0
-                found += [(row["doc_id"], row["item_id"], share, len(bench.items[i]), tiles) for i, share, tiles in _cover(h, s, bench, [0] if len(bench.items[0]) >= LEAST else [], coverage)]
+                if len(item) >= LEAST and _reach(item, np.unique(s)) >= coverage * len(item):
+                    bench = Benchmark([row["item_id"]], [item], s[:0], firsts[:0])
+                    found += [(row["doc_id"], row["item_id"], share, len(item), tiles) for _, share, tiles in _cover(h, s, bench, [0], coverage)]
             yield _rows(found)
 
     with_items = pairs.withColumnRenamed("item_id", "i").join(benchmark.withColumnRenamed("text", "item"), F.col("i").eqNullSafe(F.col("item_id"))).drop("i")
@@ -190,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     if size > SEEDS:
         return _by_seed(docs, benchmark, coverage)
     rows = benchmark.toArrow()
-    return _everywhere(docs, Benchmark.of_rows(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks()), coverage)
+    return _everywhere(docs, Benchmark.of_rows(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks(), coverage), coverage)
 
 
 def without_rows(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -7,7 +7,7 @@ batches may come in any order. Questions that filter rows before they are collap
 
 from __future__ import annotations
 
-import re
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ from yieldloom.sources.tableset import TableSet
 _KEY = "__unit"
 
 
+def _named(kind: str, path: str) -> str:
+    """The name by which the session's catalog knows the buckets of a path."""
+    return f"{kind}_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
 class KeptUnits:
     """tie: the columns that decide between equal times of a unit; the larger wins. Times must be timestamps. buckets: of a new table;
     as many as a shuffle has partitions by default, as Spark keeps the buckets of a side only if they are not fewer."""
@@ -38,7 +43,7 @@ class KeptUnits:
 
     def _table(self, entry: dict) -> DataFrame:
         path = self.tables.paths(self.name)[0]
-        known = "kept_" + re.sub(r"\W", "_", entry["paths"][0].rsplit("/", 1)[-1]) + f"_{abs(hash(path)):x}"
+        known = _named("kept", path)
         if not self.spark.catalog.tableExists(known):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(entry["schema"]))
             self.spark.sql(f"CREATE TABLE {known} ({columns}) USING parquet CLUSTERED BY ({_KEY}) INTO {entry['buckets']} BUCKETS LOCATION '{path}'")
@@ -61,7 +66,7 @@ class KeptUnits:
         out = self._merged(self._table(before), new) if before else new
         path = self.tables.new_folder(self.name)
         target = f"{self.tables.folder}/{path}"
-        made = f"kept_new_{abs(hash(target)):x}"
+        made = _named("kept_new", target)
         dealt = out if before else out.repartition(buckets, _KEY)  # else each task would write a file for each bucket
         dealt.write.bucketBy(buckets, _KEY).format("parquet").option("path", target).saveAsTable(made)
         self.spark.sql(f"DROP TABLE {made}")  # its files stay

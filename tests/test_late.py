@@ -112,3 +112,18 @@ def test_batches_with_other_columns(spark, tmp_path):
     tables.TableSet(spark, str(tmp_path / "d")).write("judged_b", spark.createDataFrame([("x", later, 3, 0)], "SN string, Time timestamp_ntz, event_id long, FAI2_result int"))
     assert update_all(units, str(tmp_path / "d")) == ["a", "b"] and update_all(units, str(tmp_path / "d")) == []
     assert {r["SN"]: (r["first_prod_time"], r["FAI1_result"], r["FAI2_result"]) for r in units.rows().collect()} == {"x": (first, None, 0), "y": (first, 0, None)}
+
+
+def test_state_is_kept_by_parts_of_units(spark, tmp_path):
+    """However many units there are, a micro-batch makes a call for each part, not for each unit; a checkpoint keeps their number."""
+    rows = [(None if k % 50 == 0 else f'u"{k % 300}', datetime(2026, 1, 1) + timedelta(hours=k % 90), k, 0, 0, k % 2, "X") for k in range(900)]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = keep_daily(stream(), str(tmp_path / "out"), str(tmp_path / "c"), ["event_id"], parts=8)
+    query.awaitTermination()
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]] == [8, 8, 8]
+    same(kept_daily(spark, str(tmp_path / "out")), yields.regression_daily(spark.createDataFrame(rows, SCHEMA), ["event_id"]))
+    spark.createDataFrame(rows[:1], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="8 parts, not in 9"):
+        keep_daily(stream(), str(tmp_path / "out"), str(tmp_path / "c"), ["event_id"], parts=9).awaitTermination()

@@ -305,7 +305,8 @@ def _signed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = views.events(spark, sf_dir).select("SN", "Time", "event_id", "overall_result")
     for k in (2, 0, 1):
         own.filter(F.col("event_id") % 3 == k).write.parquet(f"{source}/p{k}")
-    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/p*")
+    third = -(-len(spark.read.schema(own.schema).parquet(f"{source}/p*").inputFiles()) // 3)
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", third).parquet(f"{source}/p*")
     incremental.keep_daily(stream, out, f"{out}/checkpoint", EVENT_TIE).awaitTermination()
     return incremental.kept_daily(spark, out)
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from yieldloom.llm import jaccard, simhash
 
 
@@ -93,3 +95,29 @@ def test_recall_between_080_and_085(spark):
     for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r["root"], []).append(r["doc_id"])
     assert sorted(min(ids) for ids in got.values() if len(ids) > 1) == want and max(map(len, got.values())) == 2
+
+
+def test_what_bands_and_picks_miss_is_found_exactly(spark, monkeypatch):
+    """With bands that link nothing all groups are those of brute force: near copies, barely similar ones, and crowds that share a passage."""
+    rng = random.Random(12)
+    rows, crowd = list(enumerate(texts())), [f"p{k}" for k in range(60)]
+    rows += [(1000 + k, " ".join(crowd + [f"q{rng.randrange(10**6)}" for _ in range(rng.randint(6, 14))])) for k in range(150)]
+    root = {i: i for i, _ in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    for i, a in sets:
+        for j, b in sets:
+            if j < i and len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    unlike = lambda h, bounds: (np.add.reduceat(h, bounds[:-1])[:, None] + np.arange(jaccard.BANDS, dtype=np.uint64)).view(np.int64)
+    monkeypatch.setattr(jaccard, "bands_of", unlike)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (64, 4):
+        monkeypatch.setattr(jaccard, "CROWD", limit)
+        assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == sorted({top(i) for i, _ in rows})

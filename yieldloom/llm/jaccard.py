@@ -8,8 +8,14 @@ A similarity of 0.8 is about 10 bits, where bit counts no longer tell pairs apar
 (BAND minima of their shingles under as many orders). BANDS bands miss a pair of similarity 0.8 with a probability of
 (1 - 0.8 ** BAND) ** BANDS, about 3 in a million, and a closer one far less often.
 
-No group makes pairs of all with all: in each band's group all are compared with one picked class; then what isn't connected
-yet is paired in groups of up to CROWD classes, and compared with another pick in larger ones, until a round links nothing.
+No band's group makes pairs of all with all: in each all are compared with one picked class; then what isn't connected yet is
+paired in groups of up to CROWD classes, and compared with another pick in larger ones, until a round links nothing.
+
+These only link early what is easily found; an exact pass finds the rest, whatever bands and picks have missed. A set's shingles
+are put in one order for all sets, and similar sets share one of their first fifth (and one more). At the first that they share,
+at places i and j of n and m, what may be common is at most min(n - i, m - j), which must reach 4/9 (n + m); so one of both is within
+its first ninth. All pairs of unconnected classes that meet so are compared, in groups of any size, dealt to tasks by blocks. The order
+puts shingles that are frequent in an eighth of the texts last: it says how many pairs meet, not which of the similar ones do.
 
 Defined results: null and blank texts are the empty set, linked with each other only; an empty table yields no row.
 """
@@ -20,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.llm import graph, simhash, words
@@ -30,6 +36,8 @@ from yieldloom.llm.common import materialize, release, slices, text_of
 BAND, BANDS = 4, 24
 #: Classes of a band's group up to which those that aren't connected are paired.
 CROWD = 64
+#: One of how many texts is looked at for frequent shingles, and bits of the map of them by hash.
+SHARE, MAP_BITS = 8, 23
 _ORDERS = np.random.default_rng(5).integers(1, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,8 +84,37 @@ def bands_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, t (a hash of the text), cls (the name of its set), n (the set's size), fp (the fingerprint) and bands."""
+def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
+    """A map of shingles by the last MAP_BITS bits: those that more than CROWD texts seem to have, by a share of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                h, bounds = sets_of(part.column("text"), shingle)
+                t = np.repeat(part.column("t").to_numpy(), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t)], ["h", "t"])
+
+    found = docs.select("t", "text").filter(F.pmod("t", F.lit(SHARE)) == 0).mapInArrow(run, "h long, t long")
+    many = found.groupBy("h").agg(F.count("*").alias("k"), F.min("t").alias("low"), F.max("t").alias("high")).filter((F.col("k") > max(1, CROWD // SHARE)) & (F.col("low") < F.col("high")))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    slots = many.groupBy(F.expr(f"shiftright(h & {(1 << MAP_BITS) - 1}L, 6)").alias("slot")).agg(F.bit_or(bit).alias("bits")).collect()  # 2^17 rows at most
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[[r["slot"] for r in slots]] = [r["bits"] for r in slots]
+    return out.view(np.uint64)
+
+
+def prefixes_of(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first shingles of each set in the common order, as many as similar sets must share one of; how many each set has)."""
+    n = np.diff(bounds)
+    slot = (h & np.uint64((1 << MAP_BITS) - 1)) >> np.uint64(6)
+    usual = (frequent[slot.astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
+    h = h[np.lexsort((h, usual, np.repeat(np.arange(len(n)), n)))]
+    take = np.where(n > 0, n // 5 + 1, 0)
+    return h[np.repeat(bounds[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())], take
+
+
+def _described(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, t (a hash of the text), cls (the name of its set), n (the set's size), fp (the fingerprint), bands and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +127,11 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
                 made = bands_of(h, np.append(bounds[:-1][some], len(h))) if len(some) else np.zeros((0, BANDS), np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(made.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(_names(h, bounds)), pa.array(n), pa.array(fp), lists], ["doc_id", "t", "cls", "n", "fp", "bands"])
+                first, take = prefixes_of(h, bounds, frequent)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(first.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(_names(h, bounds)), pa.array(n), pa.array(fp), lists, prefix], ["doc_id", "t", "cls", "n", "fp", "bands", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, t long, cls long, n long, fp long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, t long, cls long, n long, fp long, bands array<long>, prefix array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -125,31 +164,60 @@ def _long_enough(n: Column, m: Column) -> Column:
     return 9 * F.least(n, m) >= 4 * (n + m)
 
 
+def _prefix_places(classes: DataFrame) -> DataFrame:
+    """h, cls, n, i: prefix shingles that several classes have, one of them within its first ninth."""
+    places = classes.select("cls", "n", F.posexplode("prefix").alias("i", "h"))
+    group = Window.partitionBy("h")
+    counted = places.select("*", F.count("*").over(group).alias("k"), F.max(9 * F.col("i") <= F.col("n")).over(group).alias("early"))
+    return counted.filter("k > 1 AND early").select("h", "cls", "n", "i")
+
+
+def _prefix_pairs(places: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b of all unconnected classes that may be similar."""
+    now = places.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    now = materialize(now, "now")
+    early = 9 * F.col("i") <= F.col("n")
+    open_ = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / CROWD).cast("int").alias("blocks")).filter("low < high").select("h", "blocks")
+    now = now.join(open_, "h")
+    x = now.filter(early).select("h", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "i", "root")])
+    y = now.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), early.alias("early"), *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "i", "root")])
+    need = 4 * (F.col("x_n") + F.col("y_n"))
+    fits = (9 * (F.col("x_n") - F.col("x_i")) >= need) & (9 * (F.col("y_n") - F.col("y_i")) >= need)
+    met = x.join(y, ["h", "block"]).filter((F.col("x_root") != F.col("y_root")) & (~F.col("early") | (F.col("x_cls") < F.col("y_cls"))) & fits)
+    met = met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"), (F.col("x_n") + F.col("y_n")).alias("sizes"), *[F.when(F.col("x_cls") < F.col("y_cls"), F.col(f"{p}_n") - F.col(f"{p}_i")).otherwise(F.col(f"{q}_n") - F.col(f"{q}_i")).alias(f"{p}_left") for p, q in (("x", "y"), ("y", "x"))])
+    # What a pair shares up to its last common shingle here, and what is left behind it.
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("x_left").alias("u"), F.min("y_left").alias("v"), F.first("sizes").alias("sizes"))
+    return pairs.filter(9 * (F.col("k") + F.least("u", "v") - 1) >= 4 * F.col("sizes")).select("a", "b")
+
+
 def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, t (xxhash64 of the text, a null one as empty) and root (the same for all texts that links connect) of each row."""
     docs = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("t", F.xxhash64("text"))
-    rows = materialize(_described(docs, shingle), "described")
-    classes = materialize(rows.groupBy("cls", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    rows = materialize(_described(docs, shingle, _frequent(docs, shingle)), "described")
+    classes = materialize(rows.groupBy("cls", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")), "classes")
     pairs = materialize(_fingerprint_pairs(classes), "pairs")
 
     places = classes.select("cls", "n", F.explode("bands").alias("h"))
     shared = places.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
     met = materialize(places.join(shared.hint("shuffle_hash"), "h", "left_semi"), "met")
 
-    # The sets of all classes that have a candidate, from one text of each.
-    wanted = met.select("cls").unionByName(pairs.select(F.col("a").alias("cls"))).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = classes.select("cls", F.col("row.doc_id").alias("__id"), F.col("row.t").alias("__t")).join(wanted, "cls", "left_semi")
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 h, bounds = sets_of(part.column("text"), shingle)
                 yield pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], ["cls", "s"])
 
-    key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))
-    found = docs.join(materialize(texts, "wanted").hint("shuffle_hash"), key).select("cls", "text")
-    own = materialize(found.mapInArrow(sets, "cls long, s array<long>").dropDuplicates(["cls"]), "sets")
-    release(docs.sparkSession)
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        """The sets of classes, from one text of each."""
+        texts = materialize(classes.select("cls", F.col("row.doc_id").alias("__id"), F.col("row.t").alias("__t")).join(wanted.distinct(), "cls", "left_semi"), "wanted")
+        key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))
+        found = docs.join(texts.hint("shuffle_hash"), key).select("cls", "text")
+        out = materialize(found.mapInArrow(sets, "cls long, s array<long>").dropDuplicates(["cls"]), "sets")
+        release(docs.sparkSession)
+        return out
+
+    ends = lambda pairs: pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    own = sets_for(met.select("cls").unionByName(ends(pairs)))
 
     links = materialize(_similar(pairs, own), "links")
     k, grown = 0, True
@@ -173,5 +241,9 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
         grown = k < 1 or not more.isEmpty()
         links = materialize(links.unionByName(more), "links")
         k += 1
+    rest = materialize(_prefix_pairs(materialize(_prefix_places(classes), "places"), graph.components(links)), "pairs")
+    release(docs.sparkSession)
+    if not rest.isEmpty():
+        links = links.unionByName(materialize(_similar(rest, sets_for(ends(rest))), "links"))
     roots = graph.components(links).withColumnRenamed("node", "cls")
     return rows.select("doc_id", "t", "cls").join(roots, "cls", "left").select("doc_id", "t", F.coalesce("root", "cls").alias("root"))

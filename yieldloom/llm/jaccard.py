@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.llm import graph, simhash, words
-from yieldloom.llm.common import materialize, release, slices, text_of
+from yieldloom.llm.common import materialize, release, scratch, slices, text_of
 
 #: Minima of a band, and bands of a text.
 BAND, BANDS = 4, 24
@@ -195,15 +195,14 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     docs = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("t", F.xxhash64("text"))
     rows = materialize(_described(docs, shingle, _frequent(docs, shingle)), "described")
     classes = materialize(rows.groupBy("cls", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")), "classes")
-    pairs = materialize(_fingerprint_pairs(classes), "pairs")
-
-    places = classes.select("cls", "n", F.explode("bands").alias("h"))
-    shared = places.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
-    met = materialize(places.join(shared.hint("shuffle_hash"), "h", "left_semi"), "met")
+    release(docs.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # repeated rows meet in a task, and if one of them should not, its set is only compared twice
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            names = batch.column("cls").to_pylist()
+            new = [name not in seen and not seen.add(name) for name in names]
+            for part in slices(batch.filter(pa.array(new, pa.bool_())), "text", 1 << 20):
                 h, bounds = sets_of(part.column("text"), shingle)
                 yield pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], ["cls", "s"])
 
@@ -212,36 +211,48 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
         texts = materialize(classes.select("cls", F.col("row.doc_id").alias("__id"), F.col("row.t").alias("__t")).join(wanted.distinct(), "cls", "left_semi"), "wanted")
         key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))
         found = docs.join(texts.hint("shuffle_hash"), key).select("cls", "text")
-        out = materialize(found.mapInArrow(sets, "cls long, s array<long>").dropDuplicates(["cls"]), "sets")
+        out = materialize(found.mapInArrow(sets, "cls long, s array<long>"), "sets")
         release(docs.sparkSession)
         return out
 
     ends = lambda pairs: pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-    own = sets_for(met.select("cls").unionByName(ends(pairs)))
-
-    links = materialize(_similar(pairs, own), "links")
-    k, grown = 0, True
-    while grown:
-        roots = graph.components(links)
-        now = met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        now = materialize(now, "now")
-        pick = F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "n", "root")).alias("it")
-        open_ = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), pick).filter("low < high").drop("low", "high")
-        open_ = materialize(open_ if k < 2 else open_.filter(F.col("size") > CROWD), "open")
-        if open_.isEmpty():
-            break
-        star = open_ if k != 1 else open_.filter(F.col("size") > CROWD)
-        chosen = now.join(star.select("h", "it"), "h").filter((F.col("root") != F.col("it.root")) & _long_enough(F.col("n"), F.col("it.n")))
-        pairs = chosen.select(F.least("cls", "it.cls").alias("a"), F.greatest("cls", "it.cls").alias("b"))
-        if k == 1:
-            few = now.join(open_.filter(F.col("size") <= CROWD).select("h"), "h", "left_semi")
-            other = few.select("h", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-            pairs = pairs.unionByName(few.join(other, "h").filter((F.col("cls") < F.col("b")) & (F.col("root") != F.col("r")) & _long_enough(F.col("n"), F.col("m"))).select(F.col("cls").alias("a"), "b"))
-        more = materialize(_similar(materialize(pairs.distinct(), "pairs"), own), "links")
-        grown = k < 1 or not more.isEmpty()
-        links = materialize(links.unionByName(more), "links")
-        k += 1
-    rest = materialize(_prefix_pairs(materialize(_prefix_places(classes), "places"), graph.components(links)), "pairs")
+
+    with scratch(docs.sparkSession):  # nothing of this is needed by the exact pass but the links
+        pairs = materialize(_fingerprint_pairs(classes), "pairs")
+
+        places = classes.select("cls", "n", F.explode("bands").alias("h"))
+        shared = places.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+        met = materialize(places.join(shared.hint("shuffle_hash"), "h", "left_semi"), "met")
+        own = sets_for(met.select("cls").unionByName(ends(pairs)))
+
+        links = materialize(_similar(pairs, own), "links")
+        k, grown = 0, True
+        while grown:
+            roots = graph.components(links)
+            now = met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            now = materialize(now, "now")
+            pick = F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "n", "root")).alias("it")
+            open_ = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), pick).filter("low < high").drop("low", "high")
+            open_ = materialize(open_ if k < 2 else open_.filter(F.col("size") > CROWD), "open")
+            if open_.isEmpty():
+                break
+            star = open_ if k != 1 else open_.filter(F.col("size") > CROWD)
+            chosen = now.join(star.select("h", "it"), "h").filter((F.col("root") != F.col("it.root")) & _long_enough(F.col("n"), F.col("it.n")))
+            pairs = chosen.select(F.least("cls", "it.cls").alias("a"), F.greatest("cls", "it.cls").alias("b"))
+            if k == 1:
+                few = now.join(open_.filter(F.col("size") <= CROWD).select("h"), "h", "left_semi")
+                other = few.select("h", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
+                pairs = pairs.unionByName(few.join(other, "h").filter((F.col("cls") < F.col("b")) & (F.col("root") != F.col("r")) & _long_enough(F.col("n"), F.col("m"))).select(F.col("cls").alias("a"), "b"))
+            more = materialize(_similar(materialize(pairs.distinct(), "pairs"), own), "links")
+            grown = k < 1 or not more.isEmpty()
+            links = materialize(links.unionByName(more), "links")
+            k += 1
+        links = materialize(links.distinct(), "linked", outlive=True)
+    release(docs.sparkSession)
+
+    places = materialize(_prefix_places(classes), "places")
+    release(docs.sparkSession)
+    rest = materialize(_prefix_pairs(places, graph.components(links)), "pairs")
     release(docs.sparkSession)
     if not rest.isEmpty():
         links = links.unionByName(materialize(_similar(rest, sets_for(ends(rest))), "links"))

@@ -121,3 +121,33 @@ def test_what_bands_and_picks_miss_is_found_exactly(spark, monkeypatch):
     for limit in (64, 4):
         monkeypatch.setattr(jaccard, "CROWD", limit)
         assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == sorted({top(i) for i, _ in rows})
+
+
+def test_sketches_never_overstate():
+    """Whatever the sizes, what sketches tell apart is at most what differs, and equal sets are not apart; most of random sets is seen."""
+    rng = np.random.default_rng(13)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (0, 1, 5, 31, 32, 33, 64, 65, 300, 1000, 5000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * k // 10], sets[8]])) for s in sets for k in (1, 9)]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    words, size = jaccard.sketches_of(np.concatenate(sets), bounds)
+    ends = np.cumsum(size)
+    sketch = [words[e - k : e].view(np.int64) for e, k in zip(ends, size, strict=True)]  # signed, as they come from a table
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert jaccard.apart(sketch[i], sketch[j]) <= len(np.setxor1d(x, y, assume_unique=True)) and (i != j or not jaccard.apart(sketch[i], sketch[j]))
+    assert jaccard.apart(sketch[8], sketch[9]) > 300
+    one, none = np.array([1 << 63], np.uint64).view(np.int64), np.zeros(1, np.int64)
+    assert jaccard.apart(one, none) == 1 and jaccard.apart(~none, none) == 64
+
+
+def test_sets_are_compared_only_of_what_sketches_leave_open(spark, monkeypatch):
+    """Texts of one passage, far from similar: they meet in the exact pass by their many shared shingles, but none of their sets are made and sent."""
+    rng = random.Random(14)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join(passage + [f"q{rng.randrange(10**9)}" for _ in range(45)])) for k in range(40)]
+    met, compared, pairs_of, similar_of = [], [], jaccard._prefix_pairs, jaccard._similar
+    monkeypatch.setattr(jaccard, "_prefix_pairs", lambda *a: (met.append((pairs := pairs_of(*a)).count()), pairs)[1])
+    monkeypatch.setattr(jaccard, "_similar", lambda pairs, sets: (compared.append(pairs.count()), similar_of(pairs, sets))[1])
+    monkeypatch.setattr(jaccard, "bands_of", lambda h, bounds: (np.add.reduceat(h, bounds[:-1])[:, None] + np.arange(jaccard.BANDS, dtype=np.uint64)).view(np.int64))
+    assert simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).count() == 40
+    assert met[0] > 100 and sum(compared) == 0

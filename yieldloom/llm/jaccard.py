@@ -17,6 +17,11 @@ at places i and j of n and m, what may be common is at most min(n - i, m - j), w
 its first ninth. All pairs of unconnected classes that meet so are compared, in groups of any size, dealt to tasks by blocks. The order
 puts shingles that are frequent in an eighth of the texts last: it says how many pairs meet, not which of the similar ones do.
 
+Most of those pairs are not similar, and whole sets would have to travel to tell so. So sketches are compared first, a
+thirty-second to a sixteenth of a set: a bit for each value of the last digits of a shingle, the parity of how many shingles
+have it. Where two sketches differ, a shingle is in one set only, so as many as there are such bits; 0.8 allows (n + m) / 9. No
+similar pair is lost by it, and sets are made and compared only of pairs that sketches leave open.
+
 Defined results: null and blank texts are the empty set, linked with each other only; an empty table yields no row.
 """
 
@@ -113,8 +118,29 @@ def prefixes_of(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tupl
     return h[np.repeat(bounds[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())], take
 
 
+def sketches_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the sketches of sets: words of parities of their shingles by last digits; how many words each has, a power of two)."""
+    n = np.diff(bounds)
+    size = np.int64(1) << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)
+    word = ((h >> np.uint64(6)) & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(np.cumsum(size) - size, n)
+    out = np.zeros(size.sum(), np.uint64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (h & np.uint64(63)))
+    return out, size
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles only one of two sets has, at least, by their sketches; the longer one is folded."""
+    k = min(len(x), len(y))
+    differ = np.bitwise_xor.reduce(x.reshape(-1, k)) ^ np.bitwise_xor.reduce(y.reshape(-1, k))
+    return int(np.bitwise_count(differ.view(np.uint64)).sum())  # of a signed number it would count the bits of its amount
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
 def _described(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, t (a hash of the text), cls (the name of its set), n (the set's size), fp (the fingerprint), bands and prefix."""
+    """doc_id, t (a hash of the text), cls (the name of its set), n (the set's size), fp (the fingerprint), bands, prefix and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,13 +151,26 @@ def _described(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame
                 n = np.diff(bounds)
                 some = np.flatnonzero(n)
                 made = bands_of(h, np.append(bounds[:-1][some], len(h))) if len(some) else np.zeros((0, BANDS), np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(made.ravel()))
-                first, take = prefixes_of(h, bounds, frequent)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(first.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(_names(h, bounds)), pa.array(n), pa.array(fp), lists, prefix], ["doc_id", "t", "cls", "n", "fp", "bands", "prefix"])
+                lists = [_lists(made.ravel(), np.where(n > 0, BANDS, 0)), _lists(*prefixes_of(h, bounds, frequent)), _lists(*sketches_of(h, bounds))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(_names(h, bounds)), pa.array(n), pa.array(fp), *lists], ["doc_id", "t", "cls", "n", "fp", "bands", "prefix", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, t long, cls long, n long, fp long, bands array<long>, prefix array<long>, sketch array<long>")
 
-    return docs.mapInArrow(run, "doc_id long, t long, cls long, n long, fp long, bands array<long>, prefix array<long>")
+
+def _with(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs with x and y, which are s of a and of b."""
+    return pairs.join(of.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(of.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b of those pairs (of sets of together `sizes` shingles) that may be similar by their sketches."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [apart(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(9 * np.array(least, np.int64) <= batch.column("sizes").to_numpy()))
+
+    return _with(pairs, sketches).select("a", "b", "sizes", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -146,8 +185,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(9 * both >= 4 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return _with(pairs, sets).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
@@ -173,7 +211,7 @@ def _prefix_places(classes: DataFrame) -> DataFrame:
 
 
 def _prefix_pairs(places: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b of all unconnected classes that may be similar."""
+    """a, b and sizes (of both sets together) of all unconnected classes that may be similar."""
     now = places.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     now = materialize(now, "now")
     early = 9 * F.col("i") <= F.col("n")
@@ -187,14 +225,17 @@ def _prefix_pairs(places: DataFrame, roots: DataFrame) -> DataFrame:
     met = met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"), (F.col("x_n") + F.col("y_n")).alias("sizes"), *[F.when(F.col("x_cls") < F.col("y_cls"), F.col(f"{p}_n") - F.col(f"{p}_i")).otherwise(F.col(f"{q}_n") - F.col(f"{q}_i")).alias(f"{p}_left") for p, q in (("x", "y"), ("y", "x"))])
     # What a pair shares up to its last common shingle here, and what is left behind it.
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("x_left").alias("u"), F.min("y_left").alias("v"), F.first("sizes").alias("sizes"))
-    return pairs.filter(9 * (F.col("k") + F.least("u", "v") - 1) >= 4 * F.col("sizes")).select("a", "b")
+    return pairs.filter(9 * (F.col("k") + F.least("u", "v") - 1) >= 4 * F.col("sizes")).select("a", "b", "sizes")
 
 
 def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, t (xxhash64 of the text, a null one as empty) and root (the same for all texts that links connect) of each row."""
     docs = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("t", F.xxhash64("text"))
-    rows = materialize(_described(docs, shingle, _frequent(docs, shingle)), "described")
-    classes = materialize(rows.groupBy("cls", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")), "classes")
+    with scratch(docs.sparkSession):
+        described = materialize(_described(docs, shingle, _frequent(docs, shingle)), "described")
+        firsts = [F.first(c).alias(c) for c in ("fp", "bands", "prefix", "sketch")]
+        classes = materialize(described.groupBy("cls", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), *firsts), "classes", outlive=True)
+        rows = materialize(described.select("doc_id", "t", "cls"), "rows", outlive=True)
     release(docs.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +295,8 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     release(docs.sparkSession)
     rest = materialize(_prefix_pairs(places, graph.components(links)), "pairs")
     release(docs.sparkSession)
+    rest = materialize(_likely(rest, classes.select("cls", F.col("sketch").alias("s"))), "likely")
+    release(docs.sparkSession)
     if not rest.isEmpty():
         links = links.unionByName(materialize(_similar(rest, sets_for(ends(rest))), "links"))
     roots = graph.components(links).withColumnRenamed("node", "cls")
